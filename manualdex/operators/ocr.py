@@ -49,7 +49,7 @@ def merged_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
         .filter(F.col("page") > F.col("_saved"))
     )
 
-    def glue(c: str) -> Column:
+    def in_order() -> Column:
         ordered = F.array_sort(F.collect_list(F.struct("at", "text")))
         return F.array_join(F.transform(ordered, lambda s: s["text"]), "")
 
@@ -64,7 +64,7 @@ def merged_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
         )
         .groupBy("file_id", "piece")
         .agg(
-            glue("page").alias("text"),
+            in_order().alias("text"),
             F.max(F.struct("at", "total_pages")).alias("last"),
             F.count(F.lit(1)).alias("pages"),
         )
@@ -73,7 +73,7 @@ def merged_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
         pieces.withColumnRenamed("piece", "at")
         .groupBy("file_id")
         .agg(
-            glue("piece").alias("added_text"),
+            in_order().alias("added_text"),
             F.max("last").alias("last"),
             F.sum("pages").alias("added_pages"),
         )

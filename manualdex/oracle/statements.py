@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from manualdex.oracle import search
+from manualdex.oracle import catalog, search
 
-PARTS = [search.SEARCH, search.TEXT]
+PARTS = [search.SEARCH, search.TEXT, *catalog.PARTS]

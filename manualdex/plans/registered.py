@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from manualdex.functions import text as X
 from manualdex.operators import matching as M
-from manualdex.plans import explain, search as S
+from manualdex.plans import explain, registered_catalog
+from manualdex.plans import search as S
 from manualdex.sources import derived as D
 
 
@@ -182,4 +183,4 @@ TEXT = {
     "tech_groups": _tech_groups,
 }
 
-PARTS = [SEARCH, TEXT]
+PARTS = [SEARCH, TEXT, *registered_catalog.PARTS]

@@ -141,3 +141,44 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SCHEDULES_SQL, events=table(spark, sf_dir, "events"))
+
+
+EXTRACTION_RESULTS_SQL = """
+SELECT filepath,
+       CASE size % 7 WHEN 0 THEN '   short ' WHEN 1 THEN NULL ELSE ' text read from ' || filename END AS text,
+       CASE WHEN size % 11 < 3 THEN 'cannot open ' || filename END AS failure,
+       CASE size % 11 WHEN 0 THEN 'hydrate' WHEN 1 THEN 'stopped' WHEN 2 THEN 'extraction' END AS failure_kind,
+       extension = '.pdf' AND size % 3 = 0 AS ocr_required,
+       CASE WHEN size % 2 = 0 THEN 'preview of ' || filename ELSE '  x  ' END AS preview,
+       CAST(size % 9 AS INT) AS total_pages
+FROM {scan}
+"""
+
+OLD_FILES_SQL = """
+SELECT id, filename, filepath, extension, size, modified,
+       CASE WHEN id % 6 = 0 THEN ' brief   ' ELSE content END AS content,
+       CASE WHEN extension = '.jpg' AND id % 4 = 0 THEN 'ok' ELSE extraction_status END AS extraction_status,
+       extraction_error,
+       CASE WHEN id % 3 = 0 THEN NULL ELSE ocr_page END AS ocr_page
+FROM {files}
+"""
+
+ATTRIBUTES_SQL = """
+SELECT filepath,
+       CAST(CASE id % 9 WHEN 0 THEN 0 WHEN 1 THEN 32 WHEN 2 THEN 1024 WHEN 3 THEN 4096 + 32
+            WHEN 4 THEN 262144 WHEN 5 THEN 524288 + 4194304 WHEN 6 THEN 1048576 + 32
+            WHEN 7 THEN 4294967295 ELSE 4194304 + 512 END AS BIGINT) AS attributes
+FROM {files}
+"""
+
+
+def extraction_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EXTRACTION_RESULTS_SQL, scan=scan(spark, sf_dir))
+
+
+def old_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(OLD_FILES_SQL, files=catalog(spark, sf_dir))
+
+
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ATTRIBUTES_SQL, files=catalog(spark, sf_dir))
