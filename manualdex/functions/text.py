@@ -22,6 +22,11 @@ BLANK = r"[\s\x1c-\x1f]"
 REQUIREMENT_TYPE = "array<struct<kind:string,value:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
@@ -69,18 +74,15 @@ def merged_tokens(c: Column) -> Column:
     Each position first gets the word it would emit and the number of tokens that
     word covers; a fold then walks the array, skipping the covered positions.
     """
-    tokens = raw_tokens(c)
 
-    def offer(token: Column, i: Column) -> Column:
-        head = compact(token)
-        number = compact(F.get(tokens, i + 1))
-        tail = compact(F.get(tokens, i + 2))
+    def offer(token: Column, i: Column, words: Column) -> Column:
+        head, number, tail = F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)
         joins = (
             head.rlike(r"\A[a-zа-яё]{1,4}\z")
             & ~head.isin(*PREFIX_STOPWORDS)
-            & number.rlike(r"\A[0-9]+[a-zа-яё]*\z")
+            & F.coalesce(number.rlike(r"\A[0-9]+[a-zа-яё]*\z"), F.lit(False))
         )
-        with_tail = joins & tail.rlike(r"\A[a-zа-яё]{1,2}\z")
+        with_tail = joins & F.coalesce(tail.rlike(r"\A[a-zа-яё]{1,2}\z"), F.lit(False))
         return F.struct(
             F.when(with_tail, F.concat(head, number, tail))
             .when(joins, F.concat(head, number))
@@ -89,6 +91,12 @@ def merged_tokens(c: Column) -> Column:
             F.when(with_tail, 2).when(joins, 1).otherwise(0).alias("covers"),
         )
 
+    def offers(tokens: Column) -> Column:
+        return let(
+            F.transform(tokens, compact),
+            lambda words: F.transform(tokens, lambda t, i: offer(t, i, words)),
+        )
+
     start = F.struct(
         F.array().cast("array<string>").alias("words"), F.lit(0).alias("covers")
     )
@@ -104,7 +112,7 @@ def merged_tokens(c: Column) -> Column:
             )
         )
 
-    return F.aggregate(F.transform(tokens, offer), start, step, lambda s: s["words"])
+    return F.aggregate(let(raw_tokens(c), offers), start, step, lambda s: s["words"])
 
 
 def requirements(c: Column) -> Column:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from manualdex.oracle import catalog, search
+from manualdex.oracle import catalog, questions, search
 
-PARTS = [search.SEARCH, search.TEXT, *catalog.PARTS]
+PARTS = [search.SEARCH, search.TEXT, *catalog.PARTS, *questions.PARTS]
