@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from manualdex.functions import text as X
 from manualdex.operators.skew import join_groups
+from manualdex.session import cut_lineage
 
 
 def keyed(files: DataFrame) -> DataFrame:
@@ -29,11 +30,10 @@ def keyed(files: DataFrame) -> DataFrame:
     )
 
 
-def groups(files: DataFrame) -> DataFrame:
-    """One row per duplicate group, counted map-side first."""
+def groups(rows: DataFrame) -> DataFrame:
+    """One row per duplicate group of keyed rows, counted map-side first."""
     return (
-        keyed(files)
-        .groupBy("name_key", "hash")
+        rows.groupBy("name_key", "hash")
         .agg(
             F.count(F.lit(1)).alias("copies"),
             F.min(F.struct("filename", "id")).getField("id").alias("first_id"),
@@ -43,9 +43,13 @@ def groups(files: DataFrame) -> DataFrame:
 
 
 def members(files: DataFrame) -> DataFrame:
-    """Every file of every duplicate group; the first by name is marked."""
-    rows = keyed(files)
-    joined = join_groups(rows, groups(files), ["name_key", "hash"], "copies", "id")
+    """Every file of every duplicate group; the first by name is marked.
+
+    The narrow keyed rows are checkpointed, so each text is read and hashed once.
+    """
+    rows = cut_lineage(keyed(files))
+    found = groups(rows)
+    joined = join_groups(rows, found, found, ["name_key", "hash"], "copies", "id")
     return joined.withColumn("is_first", F.col("id") == F.col("first_id"))
 
 
@@ -65,7 +69,7 @@ def listing(files: DataFrame) -> DataFrame:
 
 
 def summary(files: DataFrame) -> DataFrame:
-    return groups(files).agg(
+    return groups(keyed(files)).agg(
         F.count(F.lit(1)).alias("groups"),
         F.coalesce(F.sum("copies"), F.lit(0)).alias("files"),
     )

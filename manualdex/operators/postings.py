@@ -9,6 +9,7 @@ from manualdex.functions import text as X
 
 CHUNK_CHARS = 3200
 ANY_KEY = "any"
+FREQUENT_SHARE = 0.001
 
 
 def searchable_text() -> Column:
@@ -37,6 +38,21 @@ def requirement_keys(kind: Column, value: Column) -> Column:
     return F.when(kind == "tech", runs).otherwise(parts)
 
 
+def frequent_keys(files: DataFrame, share: float = FREQUENT_SHARE) -> DataFrame:
+    """Keys held by at least ``share`` of the documents, with their document counts.
+
+    Kept beside a catalog version. It holds at most (average keys per document) / share
+    rows however large the catalog is. A key not in it is rarer than all of them.
+    """
+    total = files.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    keys = files.select(F.explode_outer(document_keys(searchable_text())).alias("key"))
+    return (
+        keys.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("documents"))
+        .filter(F.col("documents") >= max(2.0, total * share))
+    )
+
+
 def token_postings(files: DataFrame) -> DataFrame:
     """One row per kind, token and document."""
     text = searchable_text()
@@ -44,7 +60,7 @@ def token_postings(files: DataFrame) -> DataFrame:
         F.struct(F.lit("run").alias("kind"), X.text_runs(text).alias("tokens")),
         F.struct(F.lit("tok").alias("kind"), X.text_tokens(text).alias("tokens")),
     )
-    return files.select("id", F.explode(kinds).alias("k")).select(
+    return files.select("id", F.explode_outer(kinds).alias("k")).select(
         "k.kind", F.explode("k.tokens").alias("token"), "id"
     )
 
@@ -57,7 +73,8 @@ def document_codes(files: DataFrame) -> DataFrame:
             lambda t: X.fold_lookalikes(X.compact(t)),
         )
     )
-    return files.select("id", F.explode(codes).alias("code"))
+    # explode_outer: the plain form would add a filter that works the codes out twice.
+    return files.select("id", F.explode_outer(codes).alias("code")).filter("code IS NOT NULL")
 
 
 def code_inventory(files: DataFrame) -> DataFrame:
@@ -71,5 +88,5 @@ def document_chunks(files: DataFrame, chars: int = CHUNK_CHARS) -> DataFrame:
         F.coalesce("content", F.lit("")), F.lit(rf"(?s).{{1,{chars}}}"), F.lit(0)
     )
     return files.select(
-        F.col("id").alias("file_id"), F.posexplode(pieces).alias("chunk_index", "text")
-    )
+        F.col("id").alias("file_id"), F.posexplode_outer(pieces).alias("chunk_index", "text")
+    ).filter("text IS NOT NULL")

@@ -12,44 +12,38 @@ HOT_KEYS = 1000
 
 
 def join_groups(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, spread_by: str
+    rows: DataFrame,
+    groups: DataFrame,
+    sizes: DataFrame,
+    keys: Sequence[str],
+    size: str,
+    spread_by: str,
 ) -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` (one row per key, ``size`` members each).
+    """Inner join of ``rows`` with ``groups``, which has one row per key.
 
-    The largest keys, at most ``HOT_KEYS`` by construction and so safe to broadcast, are
-    found from the group sizes; their rows are dealt over ``SALTS`` shuffle partitions and
-    their group row is repeated for each. All other keys are joined unsalted.
+    ``sizes`` holds the number of rows per key and is read on its own, so that an expensive
+    ``groups`` is worked out once. The largest keys, at most ``HOT_KEYS`` by construction
+    and so safe to broadcast, have their rows dealt over ``SALTS`` shuffle partitions and
+    their group row repeated for each. All other keys are joined unsalted.
     """
     key = F.xxhash64(*keys)
-    hot = (
-        groups.select(key.alias("_key"), size)
+    hot = F.broadcast(
+        sizes.select(key.alias("_key"), size)
         .orderBy(F.col(size).desc())
         .limit(HOT_KEYS)
-        .select("_key", F.lit(True).alias("_hot"))
-        .distinct()
+        .groupBy("_key")
+        .agg(F.lit(True).alias("_hot"))
     )
-    salted_groups = (
-        groups.withColumn("_key", key)
-        .join(F.broadcast(hot), "_key", "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_key", "_hot")
+    salt_of_row = F.when(
+        F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    ).otherwise(0)
+    salts_of_group = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+        F.array(F.lit(0))
     )
-    salted_rows = (
-        rows.withColumn("_key", key)
-        .join(F.broadcast(hot), "_key", "left")
-        .withColumn(
-            "_salt",
-            F.when(
-                F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
-            ).otherwise(0),
-        )
-        .drop("_key", "_hot")
-    )
-    return salted_rows.join(salted_groups, [*keys, "_salt"]).drop("_salt")
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key", key).join(hot, "_key", "left").drop("_key")
+
+    dealt = marked(rows).withColumn("_salt", salt_of_row).drop("_hot")
+    repeated = marked(groups).withColumn("_salt", F.explode(salts_of_group)).drop("_hot")
+    return dealt.join(repeated, [*keys, "_salt"]).drop("_salt")

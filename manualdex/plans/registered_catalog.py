@@ -81,7 +81,7 @@ DUPLICATES = {
     "duplicates": _on_dups(
         lambda df: duplicates.members(df).select("hash", "id", "filename", "filepath", "is_first")
     ),
-    "duplicate_groups": _on_dups(lambda df: duplicates.groups(df)),
+    "duplicate_groups": _on_dups(lambda df: duplicates.groups(duplicates.keyed(df))),
     "duplicate_rows": _on_dups(duplicates.listing),
     "duplicate_summary": _on_dups(duplicates.summary),
 }

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from manualdex import session
+from manualdex.operators import postings as P
 from manualdex.sources import catalog as C
 
 _written: dict[tuple[str, str], str] = {}
+_frequent: dict[tuple[str, str], str] = {}
 
 FILES_SQL = """
 SELECT doc_id AS id, filename,
@@ -123,6 +125,17 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.read_snapshot(spark, _written[key], 1)
 
 
+def frequent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common keys of the derived catalog, written beside it on first use."""
+    files = catalog(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _frequent:
+        path = f"{_written[key]}/frequent_keys"
+        P.frequent_keys(files).write.mode("overwrite").parquet(path)
+        _frequent[key] = path
+    return spark.read.parquet(_frequent[key])
+
+
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SCAN_SQL, files=catalog(spark, sf_dir))
 
