@@ -195,3 +195,41 @@ def old_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ATTRIBUTES_SQL, files=catalog(spark, sf_dir))
+
+
+MANIFESTS_SQL = """
+SELECT doc_id AS id,
+       CASE doc_id % 11
+         WHEN 0 THEN '[1, 2]'
+         WHEN 1 THEN '{{"format": "other", "backup_version": 1}}'
+         WHEN 2 THEN '{{"format": "catalog-portable", "backup_version": "x", "database_schema": 13}}'
+         WHEN 3 THEN '{{"format": "catalog-portable", "backup_version": 2, "database_schema": 13}}'
+         WHEN 4 THEN '{{"format": "catalog-portable", "backup_version": 1, "database_schema": ' || CAST(n_chars % 26 AS STRING) || ', "database_filename": "a.db"}}'
+         WHEN 5 THEN '{{"format": "catalog-portable", "backup_version": " 1 ", "database_schema": 14.5}}'
+         WHEN 6 THEN '{{"format": "catalog-portable", "backup_version": true, "database_schema": 13, "database_filename": ""}}'
+         WHEN 7 THEN 'not json'
+         WHEN 8 THEN '{{"format": "catalog-portable", "database_schema": null, "database_filename": "a.db"}}'
+         WHEN 9 THEN '{{"format": "catalog-portable", "database_schema": "99", "database_filename": "' || source || '.db"}}'
+         ELSE '{{"format": "catalog-portable", "backup_version": 1, "database_schema": 13, "database_filename": "' || lang || '.db"}}' END AS json
+FROM {documents}
+"""
+
+SETTINGS_SQL = """
+SELECT event_id AS id, ts AS now,
+       CASE event_id % 6 WHEN 0 THEN 'true' WHEN 1 THEN ' YES ' WHEN 2 THEN '0' WHEN 3 THEN NULL WHEN 4 THEN 'On' ELSE '1' END AS enabled,
+       CASE event_id % 3 WHEN 0 THEN 'no' ELSE 'yes' END AS run_overdue,
+       event_id % 2 = 0 AS startup,
+       CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'soon' WHEN 2 THEN NULL WHEN 3 THEN ' 2024-01-05 '
+            WHEN 4 THEN '2024-01-10T08:15' WHEN 5 THEN '2024-02-30T10:00:00' ELSE '2024-01-20 23:59:30' END AS next_due,
+       CASE event_id % 9 WHEN 0 THEN 'UK_ua' WHEN 1 THEN ' en-GB' WHEN 2 THEN 'de' WHEN 3 THEN NULL WHEN 4 THEN 'ua'
+            WHEN 5 THEN 'RU' WHEN 6 THEN 'ru_RU' WHEN 7 THEN 'english' ELSE '' END AS language
+FROM {events}
+"""
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(MANIFESTS_SQL, documents=table(spark, sf_dir, "documents"))
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SETTINGS_SQL, events=table(spark, sf_dir, "events"))
