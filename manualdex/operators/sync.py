@@ -64,13 +64,19 @@ def missing(catalog: DataFrame, listing: DataFrame, root: str) -> DataFrame:
     )
 
 
-def classify(catalog: DataFrame, listing: DataFrame, root: str) -> DataFrame:
-    """Every catalog or listed path with its action and whether to read its text."""
+def classify(
+    catalog: DataFrame, listing: DataFrame, root: str, listed_only: bool = False
+) -> DataFrame:
+    """Every catalog or listed path with its action and whether to read its text.
+
+    ``listed_only`` leaves out catalog rows the listing does not name, for listings that
+    arrive in parts.
+    """
     old = with_text_facts(catalog).select(
         "filepath", F.struct(*[c for c in STATE if c != "filepath"]).alias("old")
     )
     new = listing.select("filepath", F.struct(*LISTED).alias("new"))
-    both = old.join(new, "filepath", "full_outer")
+    both = old.join(new, "filepath", "right" if listed_only else "full_outer")
 
     o, n = F.col("old"), F.col("new")
     cloud = (F.coalesce(o["is_cloud"], F.lit(0)) != 0) | (F.coalesce(n["is_cloud"], F.lit(0)) != 0)
@@ -127,6 +133,11 @@ def _state_after(rows: DataFrame) -> DataFrame:
     )
 
 
+def listed_state(classified: DataFrame) -> DataFrame:
+    """New state of the listed rows; rows new to the catalog have no id yet."""
+    return _state_after(classified).select(*STATE, "sync_action", "should_extract")
+
+
 def apply(classified: DataFrame, next_id: int) -> DataFrame:
     """New catalog state: missing rows dropped, new rows numbered after ``next_id``."""
     state = _state_after(classified.filter(F.col("sync_action") != "missing"))

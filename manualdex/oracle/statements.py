@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from manualdex.oracle import catalog, questions, scalars, search
+from manualdex.oracle import catalog, jobs, questions, scalars, search
 
-PARTS = [search.SEARCH, search.TEXT, *catalog.PARTS, *questions.PARTS, *scalars.PARTS]
+PARTS = [search.SEARCH, search.TEXT, *catalog.PARTS, *questions.PARTS, *scalars.PARTS, *jobs.PARTS]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from manualdex.functions import text as X
 from manualdex.operators import matching as M
-from manualdex.plans import explain, registered_batch, registered_catalog, registered_scalars
+from manualdex.plans import explain, registered_batch, registered_catalog, registered_jobs, registered_scalars
 from manualdex.plans import search as S
 from manualdex.sources import derived as D
 
@@ -183,4 +183,4 @@ TEXT = {
     "tech_groups": _tech_groups,
 }
 
-PARTS = [SEARCH, TEXT, *registered_catalog.PARTS, *registered_batch.PARTS, *registered_scalars.PARTS]
+PARTS = [SEARCH, TEXT, *registered_catalog.PARTS, *registered_batch.PARTS, *registered_scalars.PARTS, *registered_jobs.PARTS]

@@ -7,6 +7,11 @@ names stand for the input tables.
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from manualdex import session
@@ -15,6 +20,7 @@ from manualdex.sources import catalog as C
 
 _written: dict[tuple[str, str], str] = {}
 _frequent: dict[tuple[str, str], str] = {}
+_folders: dict[tuple[str, str], str] = {}
 
 FILES_SQL = """
 SELECT doc_id AS id, filename,
@@ -233,3 +239,82 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SETTINGS_SQL, events=table(spark, sf_dir, "events"))
+
+
+# Raw bytes of text files: with a byte-order mark and CR LF, in a single-byte code page
+# where the text allows it, or plain UTF-8.
+RAW_TEXT_SQL = """
+SELECT doc_id AS id,
+       CASE WHEN doc_id % 3 = 0 THEN encode('\ufeff' || replace(text, chr(10), chr(13) || chr(10)), 'UTF-8')
+            WHEN doc_id % 3 = 1 AND NOT text RLIKE '[^\\u0000-\\u00ff]' THEN encode(text, 'ISO-8859-1')
+            ELSE encode(text, 'UTF-8') END AS content
+FROM {documents}
+"""
+
+
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RAW_TEXT_SQL, documents=table(spark, sf_dir, "documents"))
+
+
+def text_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Documents written as text files in one folder per language; files stay small enough
+    to be read back whole."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _folders:
+        path = session.run_folder(spark, "folder")
+        table(spark, sf_dir, "documents").select("lang", "text").write.option(
+            "maxRecordsPerFile", 1000
+        ).partitionBy("lang").text(path)
+        _folders[key] = path
+    return _folders[key]
+
+
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed as word-processor files, one paragraph per line."""
+
+    def pack(batches):
+        for batch in batches:
+            yield pd.DataFrame(
+                {
+                    "path": [f"/lib/{i}.docx" for i in batch["doc_id"]],
+                    "content": [_docx_bytes(t.split("\n")) for t in batch["text"]],
+                }
+            )
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(
+        pack, "path string, content binary"
+    )
+
+
+def _docx_bytes(paragraphs: list[str]) -> bytes:
+    ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(
+        f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in paragraphs
+    )
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr(
+            "word/document.xml", f'<w:document xmlns:w="{ns}"><w:body>{body}</w:body></w:document>'
+        )
+    return packed.getvalue()
+
+
+def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "documents").schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "documents*.parquet")
+        .parquet(sf_dir)
+    )
+
+
+def files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FILES_SQL, documents=document_stream(spark, sf_dir))
+
+
+def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SCAN_SQL, files=files_stream(spark, sf_dir))
+
+
+def ocr_page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(OCR_PAGES_SQL, files=files_stream(spark, sf_dir))
