@@ -12,7 +12,8 @@ from manualdex.streaming import jobs as J
 
 
 def _scan_folder(spark, sf):
-    return Fo.scan_folder(spark, D.text_folder(spark, sf)).select(
+    files = Fo.scan_folder(spark, D.text_folder(spark, sf)).filter(F.col("extension") == ".txt")
+    return files.select(
         "filename", "extension", "size", "is_cloud", "extractable"
     )
 

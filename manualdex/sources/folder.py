@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,19 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from manualdex.functions import scalars as Sc
+from manualdex.session import run_folder
 from manualdex.sources.office import office_text
 
-LISTING = T.StructType(
-    [
-        T.StructField("filename", T.StringType()),
-        T.StructField("filepath", T.StringType()),
-        T.StructField("extension", T.StringType()),
-        T.StructField("size", T.LongType()),
-        T.StructField("modified", T.DoubleType()),
-        T.StructField("is_cloud", T.IntegerType()),
-        T.StructField("extractable", T.BooleanType()),
-    ]
-)
+ENTRIES_PER_PIECE = 10000
 
 
 def read_binary(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,27 +42,76 @@ def local_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\Afile:/+", "/")
 
 
-def scan_folder(
-    spark: SparkSession, folder: str, attributes: DataFrame | None = None
-) -> DataFrame:
-    """Listing of every file, supported or not; an absent folder gives an empty one.
-
-    Contents are pruned, only names, sizes and times are read. ``attributes``
-    (filepath, attributes) supplies storage attribute bits where they are known. Spark's
-    file sources do not list names that start with ``_`` or ``.``.
-    """
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Direct entries of each directory, in bounded pieces; unreadable ones are skipped."""
+    columns = ["path", "filename", "is_dir", "size", "modified"]
+    rows: list[tuple] = []
+    for batch in batches:
+        for folder in batch["path"]:
+            try:
+                entries = os.scandir(folder)
+            except OSError:
+                continue
+            for entry in entries:
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        rows.append((entry.path, entry.name, True, 0, 0.0))
+                    elif entry.is_file():
+                        stat = entry.stat()
+                        rows.append((entry.path, entry.name, False, stat.st_size, stat.st_mtime))
+                except OSError:
+                    continue
+                if len(rows) >= ENTRIES_PER_PIECE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+    yield pd.DataFrame(rows, columns=columns)
+
+
+def _walk(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below a mounted folder. Directories of one depth are listed in parallel,
+    and each depth is written to the shared folder, so a lost task lists only its share."""
+    work = run_folder(spark, "walk")
+    schema = "path string, filename string, is_dir boolean, size bigint, modified double"
+    folders = spark.createDataFrame([(folder,)], "path string")
+    depth, more = 0, True
+    while more:
+        level = f"{work}/depth={depth}"
+        tasks = spark.sparkContext.defaultParallelism
+        folders.repartition(tasks).mapInPandas(_entries, schema).write.parquet(level)
+        folders = spark.read.schema(schema).parquet(level).filter("is_dir").select("path")
+        more, depth = not folders.isEmpty(), depth + 1
+    files = spark.read.schema(schema).option("basePath", work).parquet(f"{work}/depth=*")
+    return files.filter("NOT is_dir").select("filename", F.col("path").alias("filepath"), "size", "modified")
+
+
+def _listed_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of an object store or distributed file system, contents pruned. Spark's own
+    listing leaves out empty files and names that start with ``_`` or ``.``."""
     try:
         found = read_binary(spark, folder)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LISTING)
-    rows = found.select(
+        return spark.createDataFrame([], "filename string, filepath string, size bigint, modified double")
+    return found.select(
         name_of(F.col("path")).alias("filename"),
         local_path(F.col("path")).alias("filepath"),
         F.col("length").alias("size"),
         (F.unix_micros("modificationTime") / F.lit(1e6)).alias("modified"),
-    ).withColumn("extension", extension_of(F.col("filename")))
+    )
+
+
+def scan_folder(
+    spark: SparkSession, folder: str, attributes: DataFrame | None = None
+) -> DataFrame:
+    """Listing of every file, supported or not; an absent folder gives an empty one.
+
+    A path without scheme is a folder mounted on all executors. ``attributes`` (filepath,
+    attributes) supplies storage attribute bits where they are known.
+    """
+    remote = "://" in folder
+    rows = _listed_by_source(spark, folder) if remote else _walk(spark, folder)
+    rows = rows.withColumn("extension", extension_of(F.col("filename")))
     if attributes is None:
         cloud = F.lit(0)
     else:
