@@ -9,14 +9,27 @@ from manualdex.functions import text as X
 
 
 def anchor(text: Column, pattern: Column) -> Column:
-    """``(start, length)`` of the first match, null where there is none."""
-    found = F.regexp_substr(text, pattern)
-    return F.when(
-        found.isNotNull(),
-        F.struct(
-            F.char_length(F.element_at(F.split(text, pattern, 2), 1)).alias("start"),
-            F.char_length(found).alias("length"),
-        ),
+    """``(start, length)`` of the first match, null where there is none.
+
+    Cutting the text once at its first match gives both: what is missing between the two
+    pieces is the match.
+    """
+
+    def measured(pieces: Column) -> Column:
+        start, rest = F.char_length(F.get(pieces, F.lit(0))), F.char_length(F.get(pieces, F.lit(1)))
+        return F.when(
+            F.size(pieces) > 1,
+            F.struct(start.alias("start"), (F.char_length(text) - start - rest).alias("length")),
+        )
+
+    return X.let(F.split(text, pattern, 2), measured)
+
+
+def first_start(text: Column, pattern: Column) -> Column:
+    """Position of the first match in characters, null where there is none."""
+    return X.let(
+        F.split(text, pattern, 2),
+        lambda pieces: F.when(F.size(pieces) > 1, F.char_length(F.get(pieces, F.lit(0)))),
     )
 
 

@@ -133,16 +133,23 @@ def _either_letter(group: Column) -> Column:
 
 
 def requirement_pattern(kind: Column, value: Column) -> Column:
-    """Java regular expression that finds one requirement in a field."""
-    edge = rf"(?![{WORD_CHARS}])"
+    """Java regular expression that finds one requirement in a field.
+
+    The first character is tried before its left edge is looked at, and letter case is
+    ignored in the body only: almost every position of a text then fails on one comparison.
+    """
     code = F.array_join(F.transform(code_groups(value), _either_letter), CODE_SEPARATOR)
-    right = F.when(~is_fault(value) & value.rlike(r"[0-9]\z"), F.lit("(?![0-9])")).otherwise(
-        F.lit(edge)
-    )
     word = F.regexp_replace(value, f"([^{WORD_CHARS}])", r"\\$1")
-    return F.when(
-        kind == "tech", F.concat(F.lit(rf"(?iuU)(?<![{WORD_CHARS}])"), code, right)
-    ).otherwise(F.concat(F.lit(rf"(?iuU)(?<![{WORD_CHARS}])"), word, F.lit(edge)))
+    body = F.when(kind == "tech", code).otherwise(word)
+    first, rest = (F.regexp_extract(body, r"(?s)\A(\[[^\]]*\]|\\.|.)(.*)\z", i) for i in (1, 2))
+    open_end = (kind == "tech") & ~is_fault(value) & value.rlike(r"[0-9]\z")
+    return F.concat(
+        F.lit("(?iU:"),
+        first,
+        F.lit(rf")(?<![{WORD_CHARS}](?s:.))(?iU:"),
+        rest,
+        F.when(open_end, ")(?![0-9])").otherwise(f")(?![{WORD_CHARS}])"),
+    )
 
 
 def one_line(c: Column) -> Column:
@@ -153,12 +160,12 @@ def text_runs(c: Column) -> Column:
     """Distinct folded letter runs and digit runs of a text."""
     folded = fold_lookalikes(F.lower(c))
     return F.array_distinct(
-        F.regexp_extract_all(folded, F.lit("([a-zа-яё]+|[0-9]+)"), F.lit(1))
+        F.regexp_extract_all(folded, F.lit("[a-zа-яё]+|[0-9]+"), F.lit(0))
     )
 
 
 def text_tokens(c: Column) -> Column:
     """Distinct alphanumeric tokens of a text, not folded."""
     return F.array_distinct(
-        F.regexp_extract_all(F.lower(c), F.lit("([0-9a-zа-яё]+)"), F.lit(1))
+        F.regexp_extract_all(F.lower(c), F.lit("[0-9a-zа-яё]+"), F.lit(0))
     )

@@ -45,7 +45,7 @@ def groups(rows: DataFrame) -> DataFrame:
 def members(files: DataFrame) -> DataFrame:
     """Every file of every duplicate group; the first by name is marked.
 
-    The narrow keyed rows are checkpointed, so each text is read and hashed once.
+    The narrow keyed rows are written out first, so each text is read and hashed once.
     """
     rows = cut_lineage(keyed(files))
     found = groups(rows)

@@ -15,7 +15,7 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str, start: int =
 
     Rows are cut into value ranges, each range numbers its own rows, and the sizes of
     the earlier ranges (one row per range, so bounded by the partition count) are added.
-    The ranges are checkpointed because both uses must see the same cut even when an
+    The ranges are written out because both uses must see the same cut even when an
     executor is lost.
     """
     ranged = cut_lineage(

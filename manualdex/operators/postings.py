@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from manualdex.functions import text as X
 
 CHUNK_CHARS = 3200
-ANY_KEY = "any"
+ANY_KEY = "*"
 FREQUENT_SHARE = 0.001
 
 
@@ -17,24 +17,22 @@ def searchable_text() -> Column:
 
 
 def document_keys(text: Column) -> Column:
-    """Distinct ``run:`` (folded letter or digit run) and ``tok:`` (whole token) keys."""
-    return F.concat(
-        F.array(F.lit(ANY_KEY)),
-        F.transform(X.text_runs(text), lambda t: F.concat(F.lit("run:"), t)),
-        F.transform(X.text_tokens(text), lambda t: F.concat(F.lit("tok:"), t)),
-    )
+    """Distinct folded letter and digit runs and whole tokens of a text.
+
+    Both kinds share one name space: most words are their own run, and a key that means the
+    other kind to a query only adds a pair for the verification to reject.
+    """
+    lowered = F.lower(text)
+    runs = F.regexp_extract_all(X.fold_lookalikes(lowered), F.lit("[a-zа-яё]+|[0-9]+"), F.lit(0))
+    tokens = F.regexp_extract_all(lowered, F.lit("[0-9a-zа-яё]+"), F.lit(0))
+    return F.array_distinct(F.concat(F.array(F.lit(ANY_KEY)), runs, tokens))
 
 
 def requirement_keys(kind: Column, value: Column) -> Column:
     """Keys every matching document has. Codes need each of their runs whole, words each
     of their alphanumeric parts whole; a word of punctuation only needs nothing."""
-    runs = F.transform(
-        X.code_groups(value), lambda g: F.concat(F.lit("run:"), X.fold_lookalikes(F.lower(g)))
-    )
-    parts = F.transform(
-        F.regexp_extract_all(value, F.lit("([0-9a-zа-яё]+)"), F.lit(1)),
-        lambda t: F.concat(F.lit("tok:"), t),
-    )
+    runs = F.transform(X.code_groups(value), lambda g: X.fold_lookalikes(F.lower(g)))
+    parts = F.regexp_extract_all(value, F.lit("[0-9a-zа-яё]+"), F.lit(0))
     return F.when(kind == "tech", runs).otherwise(parts)
 
 

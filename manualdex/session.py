@@ -1,4 +1,4 @@
-"""Session defaults and the shared folder for checkpoints and written tables."""
+"""Session defaults and the shared folder for written tables."""
 
 from __future__ import annotations
 
@@ -51,10 +51,12 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives lost executors."""
+    """The rows written once to the shared folder and read back.
+
+    Later steps survive lost executors without repeating the earlier ones, read only the
+    columns they need, and are planned with the real size of the table.
+    """
     spark = df.sparkSession
-    root = shared_root(spark)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return df.checkpoint()
+    path = run_folder(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

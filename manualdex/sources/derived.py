@@ -155,7 +155,8 @@ def dup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(QUESTIONS_SQL, conversations=table(spark, sf_dir, "conversations"))
+    conversations = C.spread(table(spark, sf_dir, "conversations"))
+    return spark.sql(QUESTIONS_SQL, conversations=conversations)
 
 
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
