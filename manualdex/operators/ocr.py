@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from manualdex.operators.numbering import number_rows
+from manualdex.operators.skew import join_groups
 from manualdex.schema import MIN_TEXT_CHARS, OCR_EXTENSIONS, OCR_STATUSES
 
 # Cost of one page in the queue order, final error text.
@@ -42,11 +43,12 @@ def merged_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
     resume = files.filter(waiting()).select(
         F.col("id").alias("file_id"), F.coalesce("ocr_page", F.lit(0)).alias("_saved")
     )
-    fresh = (
-        pages.groupBy("file_id", "page")
-        .agg(F.max(F.struct("total_pages", F.coalesce("text", F.lit("")).alias("text"))).alias("p"))
-        .join(resume, "file_id")
-        .filter(F.col("page") > F.col("_saved"))
+    once = pages.groupBy("file_id", "page").agg(
+        F.max(F.struct("total_pages", F.coalesce("text", F.lit("")).alias("text"))).alias("p")
+    )
+    sizes = pages.groupBy("file_id").agg(F.count(F.lit(1)).alias("pages"))
+    fresh = join_groups(once, resume, sizes, ["file_id"], "pages", "page").filter(
+        F.col("page") > F.col("_saved")
     )
 
     def in_order() -> Column:

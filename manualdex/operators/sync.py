@@ -17,9 +17,11 @@ from manualdex.schema import (
     IMAGE_EXTENSIONS,
     IMAGE_QUEUE_FLAG,
     MAX_ERROR_CHARS,
+    MIN_PDF_TEXT_CHARS,
     MIN_TEXT_CHARS,
     OCR_STATUSES,
 )
+from manualdex.session import cut_lineage
 from manualdex.sources.catalog import with_text_facts
 
 STATE = (
@@ -127,8 +129,10 @@ def _state_after(rows: DataFrame) -> DataFrame:
     state["extraction_error"] = F.when(~(fresh | no_text), o["extraction_error"])
     for c in ("ocr_page", "ocr_total_pages", "content_chars", "trimmed_chars", "stripped_chars"):
         state[c] = F.when(fresh, 0).otherwise(o[c])
+    recloud = ~state["is_cloud"].eqNullSafe(o["is_cloud"])
     return rows.select(
         o["id"].alias("id"), "filepath", "sync_action", "should_extract",
+        F.coalesce(relisted | no_text | recloud, F.lit(True)).alias("dirty"),
         *[v.alias(k) for k, v in state.items()],
     )
 
@@ -141,7 +145,7 @@ def listed_state(classified: DataFrame) -> DataFrame:
 def apply(classified: DataFrame, next_id: int) -> DataFrame:
     """New catalog state: missing rows dropped, new rows numbered after ``next_id``."""
     state = _state_after(classified.filter(F.col("sync_action") != "missing"))
-    columns = [*STATE, "sync_action", "should_extract"]
+    columns = [*STATE, "sync_action", "should_extract", "dirty"]
     known = state.filter(F.col("sync_action") != "new").select(*columns)
     added = number_rows(
         state.filter(F.col("sync_action") == "new").drop("id"), [F.col("filepath")], "id", next_id
@@ -157,6 +161,21 @@ def sync(catalog: DataFrame, listing: DataFrame, root: str) -> DataFrame:
     return apply(classify(catalog, listing, root), max_id(catalog))
 
 
+def pdf_layer_results(layers: DataFrame) -> DataFrame:
+    """Extraction results of PDF text layers (filepath, text, total_pages): a layer of too
+    few characters asks for recognition and keeps its text as a preview."""
+    enough = X.has_stripped_chars(F.col("text"), MIN_PDF_TEXT_CHARS)
+    return layers.select(
+        "filepath",
+        F.when(enough, F.col("text")).alias("text"),
+        F.lit(None).cast("string").alias("failure"),
+        F.lit(None).cast("string").alias("failure_kind"),
+        (~enough).alias("ocr_required"),
+        F.when(~enough, F.coalesce("text", F.lit(""))).alias("preview"),
+        "total_pages",
+    )
+
+
 def with_outcomes(state: DataFrame, results: DataFrame) -> DataFrame:
     """State after the texts of ``should_extract`` files were read.
 
@@ -218,7 +237,10 @@ def with_outcomes(state: DataFrame, results: DataFrame) -> DataFrame:
             "new_content": F.col("_text"),
             "success": replaced,
         }
-    ).select(*STATE, "sync_action", "should_extract", "outcome", "success", "new_content")
+    ).select(
+        *STATE, "sync_action", "should_extract", "outcome", "success", "new_content",
+        (F.col("dirty") | (w != "none")).alias("dirty"),
+    )
 
 
 def counters(classified: DataFrame, results: DataFrame) -> DataFrame:
@@ -242,19 +264,38 @@ def counters(classified: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def next_snapshot(catalog: DataFrame, after: DataFrame) -> DataFrame:
+def next_snapshot(catalog: DataFrame, after: DataFrame, gone: DataFrame) -> DataFrame:
     """Full catalog rows, text included, for the next written version.
 
-    Rows keep their stored text unless the sync cleared or replaced it; ``after`` is the
-    narrow state with ``new_content`` for files that were read again.
+    Only rows the sync touched take part in a join, as a written table whose size the
+    planner knows: while it is small the texts of all other rows stay where they are.
+    ``after`` is the state with ``new_content`` of files that were read; ``gone`` holds the
+    ids to drop. Rows keep their stored text unless the sync cleared or replaced it.
     """
-    text = catalog.select("id", F.col("content").alias("_kept"))
+    columns = [c for c in STATE if c != "id"]
     cleared = F.col("sync_action").isin("new", "changed") | F.col("success")
-    return after.join(text, "id", "left").select(
-        *[c for c in STATE if not c.endswith("_chars")],
-        F.when(cleared, F.col("new_content")).otherwise(F.col("_kept")).alias("content"),
-        "content_chars", "trimmed_chars", "stripped_chars",
+    touched = after.filter(F.col("dirty") & (F.col("sync_action") != "new"))
+    edits = cut_lineage(
+        touched.select(
+            "id",
+            F.struct(*columns, cleared.alias("cleared"), "new_content").alias("edit"),
+            F.lit(False).alias("gone"),
+        ).unionByName(gone.select("id", F.lit(True).alias("gone")), allowMissingColumns=True)
+    )
+    edit, edited = F.col("edit"), F.col("edit").isNotNull()
+    kept = with_text_facts(catalog).join(edits, "id", "left").filter(
+        ~F.coalesce("gone", F.lit(False))
+    )
+    content = F.when(edit["cleared"], edit["new_content"]).otherwise(F.col("content"))
+    old_rows = kept.select(
+        "id",
+        *[F.when(edited, edit[c]).otherwise(F.col(c)).alias(c) for c in columns],
+        content.alias("content"),
+    )
+    new_rows = after.filter(F.col("sync_action") == "new").select(
+        "id", *columns, F.col("new_content").alias("content")
     )
+    return old_rows.unionByName(new_rows)
 
 
 def repair(old: DataFrame, image_queue_done: bool) -> DataFrame:

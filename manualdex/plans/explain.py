@@ -10,6 +10,7 @@ from manualdex.functions import text as X
 from manualdex.operators import matching as M
 from manualdex.operators.topk import top_k
 from manualdex.schema import TEXT_BEARING_EXTENSIONS
+from manualdex.sources.catalog import lookup, with_text_facts
 
 CONTEXT_RADIUS = 140
 VARIANT_RADIUS = 120
@@ -69,20 +70,26 @@ def match_explain(
 ) -> DataFrame:
     """Per document and requirement: hits in each field and contexts in the text.
 
-    Documents whose path holds ``part`` in name or path and that bear text, those whose
-    path matches ``first_path`` first.
+    Of the documents that bear text and hold ``part`` in name or path, the first ``limit``
+    are explained, those whose path matches ``first_path`` before the others. They are
+    picked from catalog columns alone; texts are then read for the picked ids only.
     """
-    reqs = M.read_query(files.sparkSession, query)
+    spark = files.sparkSession
+    reqs = M.read_query(spark, query)
     named = F.lower(M.text_of("filename")).contains(part.lower()) | F.lower(
         M.text_of("filepath")
     ).contains(part.lower())
-    source = (
-        files.filter(named)
+    first = F.lower("filepath").like(first_path) if first_path else F.lit(True)
+    bearing = (
+        with_text_facts(files)
+        .filter(named)
         .filter(F.lower(M.text_of("extension")).isin(*TEXT_BEARING_EXTENSIONS))
-        .filter(F.char_length(F.trim(M.text_of("content"))) > 0)
+        .filter(F.col("trimmed_chars") > 0)
+        .select("id", "filename", F.when(first, 0).otherwise(1).alias("_group"))
     )
-    if not reqs:
-        return source.filter(F.lit(False)).select("id")
+    order = [F.col("_group"), F.col("filename"), F.col("id")]
+    picked = top_k(bearing, order, limit, rank="position").select("position", "id").collect()
+    places = spark.createDataFrame(picked, "position int, id bigint")
     content = M.text_of("content")
     rows = F.array(
         *[
@@ -98,17 +105,10 @@ def match_explain(
             for i, r in enumerate(reqs)
         ]
     )
-    first = F.lower("filepath").like(first_path) if first_path else F.lit(True)
-    explained = source.select(
-        "id",
-        "filename",
-        "filepath",
-        F.when(first, 0).otherwise(1).alias("_group"),
-        rows.alias("_rows"),
-    )
-    order = [F.col("_group"), F.col("filename"), F.col("id")]
     return (
-        top_k(explained, order, limit, rank="position")
+        lookup(files, *[p["id"] for p in picked])
+        .select("id", "filename", rows.alias("_rows"))
+        .join(F.broadcast(places), "id")
         .select("position", "id", "filename", F.explode("_rows").alias("r"))
         .select("position", "id", "filename", "r.*")
     )

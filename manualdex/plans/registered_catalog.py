@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from manualdex.operators import duplicates, ocr, status, sync
 from manualdex.operators.sync import STATE
+from manualdex.session import cut_lineage, run_folder
 from manualdex.sources import catalog as C
 from manualdex.sources import derived as D
 
@@ -102,7 +103,7 @@ def _synced(spark, sf):
 
 
 def _outcome(spark, sf):
-    return sync.with_outcomes(_synced(spark, sf), D.extraction_results(spark, sf))
+    return sync.with_outcomes(_synced(spark, sf), D.extraction_results(spark, sf)).drop("dirty")
 
 
 def _counters(spark, sf):
@@ -110,10 +111,10 @@ def _counters(spark, sf):
 
 
 def _snapshot(spark, sf):
-    from manualdex.session import run_folder
-
     root = run_folder(spark, "snapshot")
-    C.write_snapshot(sync.next_snapshot(D.catalog(spark, sf), _outcome(spark, sf)), root, 2)
+    catalog, gone = D.catalog(spark, sf), sync.missing(D.catalog(spark, sf), D.scan(spark, sf), ROOT)
+    after = cut_lineage(sync.with_outcomes(_synced(spark, sf), D.extraction_results(spark, sf)))
+    C.write_snapshot(sync.next_snapshot(catalog, after, gone), root, 2)
     return C.read_snapshot(spark, root, 2).select(
         *[c for c in STATE if not c.endswith("_chars")], F.sha2("content", 256).alias("content_hash")
     )
@@ -135,7 +136,15 @@ def _repair(spark, sf):
     )
 
 
+def _pdf_layers(spark, sf):
+    layers = D.catalog(spark, sf).filter(F.col("extension") == ".pdf").select(
+        "filepath", F.col("content").alias("text"), F.lit(4).alias("total_pages")
+    )
+    return sync.pdf_layer_results(layers).drop("failure", "failure_kind")
+
+
 SYNC = {
+    "pdf_text_layer": _pdf_layers,
     "sync_classify": _sync_classify,
     "sync_apply": lambda spark, sf: _synced(spark, sf).select(*STATE, "sync_action", "should_extract"),
     "sync_missing": lambda spark, sf: sync.missing(D.catalog(spark, sf), D.scan(spark, sf), ROOT),
