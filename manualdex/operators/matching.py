@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, SparkSession
@@ -38,25 +38,25 @@ class Requirement:
         return (self.value,)
 
 
+@lru_cache(maxsize=8)
+def _reader(application: str) -> Column:
+    """Requirements of a column ``query``; built once, since the expression is large."""
+    return F.transform(
+        X.requirements(F.col("query")),
+        lambda r: F.struct(
+            r["kind"].alias("kind"),
+            r["value"].alias("value"),
+            X.requirement_pattern(r["kind"], r["value"]).alias("pattern"),
+            ((r["kind"] == "tech") & X.is_fault(r["value"])).alias("fault"),
+        ),
+    ).alias("requirements")
+
+
 def read_query(spark: SparkSession, query: str) -> list[Requirement]:
     """Requirements of one literal query, worked out by the Column functions."""
-    row = (
-        spark.range(1)
-        .select(X.requirements(F.lit(query)).alias("r"))
-        .select(
-            F.transform(
-                "r",
-                lambda r: F.struct(
-                    r["kind"].alias("kind"),
-                    r["value"].alias("value"),
-                    X.requirement_pattern(r["kind"], r["value"]).alias("pattern"),
-                    ((r["kind"] == "tech") & X.is_fault(r["value"])).alias("fault"),
-                ),
-            ).alias("r")
-        )
-        .first()
-    )
-    return [Requirement(r["kind"], r["value"], r["pattern"], r["fault"]) for r in row["r"]]
+    text = spark.range(1, numPartitions=1).select(F.lit(query).alias("query"))
+    found = text.select(_reader(spark.sparkContext.applicationId)).first()["requirements"]
+    return [Requirement(r["kind"], r["value"], r["pattern"], r["fault"]) for r in found]
 
 
 def _all(parts: list[Column]) -> Column:

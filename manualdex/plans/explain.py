@@ -87,9 +87,11 @@ def match_explain(
         .filter(F.col("trimmed_chars") > 0)
         .select("id", "filename", F.when(first, 0).otherwise(1).alias("_group"))
     )
+    # The picked ids are at most ``limit`` numbers.
     order = [F.col("_group"), F.col("filename"), F.col("id")]
-    picked = top_k(bearing, order, limit, rank="position").select("position", "id").collect()
-    places = spark.createDataFrame(picked, "position int, id bigint")
+    picked = top_k(bearing, order, limit, rank="position").orderBy("position").select("id").collect()
+    ids = [row["id"] for row in picked]
+    place = F.array_position(F.lit(ids), F.col("id")).cast("int")
     content = M.text_of("content")
     rows = F.array(
         *[
@@ -106,9 +108,8 @@ def match_explain(
         ]
     )
     return (
-        lookup(files, *[p["id"] for p in picked])
-        .select("id", "filename", rows.alias("_rows"))
-        .join(F.broadcast(places), "id")
+        lookup(files, *ids)
+        .select(place.alias("position"), "id", "filename", rows.alias("_rows"))
         .select("position", "id", "filename", F.explode("_rows").alias("r"))
         .select("position", "id", "filename", "r.*")
     )
