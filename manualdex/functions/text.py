@@ -32,6 +32,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
 
 
+def is_blank(c: Column) -> Column:
+    """Nothing but white space; stops at the first other character."""
+    return ~c.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def has_stripped_chars(c: Column, n: int) -> Column:
     """``length(strip(c)) >= n`` without building the trimmed copy (n >= 2)."""
     ink = r"[^\s\x1c-\x1f]"
