@@ -29,6 +29,7 @@ STATE = (
     "extraction_status", "extraction_error", "ocr_page", "ocr_total_pages",
     "content_chars", "trimmed_chars", "stripped_chars",
 )
+APPLIED = (*STATE, "sync_action", "should_extract", "dirty")
 LISTED = ("filename", "extension", "size", "modified", "is_cloud")
 
 # Error texts.
@@ -139,18 +140,17 @@ def _state_after(rows: DataFrame) -> DataFrame:
 
 def listed_state(classified: DataFrame) -> DataFrame:
     """New state of the listed rows; rows new to the catalog have no id yet."""
-    return _state_after(classified).select(*STATE, "sync_action", "should_extract")
+    return _state_after(classified).select(*APPLIED)
 
 
 def apply(classified: DataFrame, next_id: int) -> DataFrame:
     """New catalog state: missing rows dropped, new rows numbered after ``next_id``."""
     state = _state_after(classified.filter(F.col("sync_action") != "missing"))
-    columns = [*STATE, "sync_action", "should_extract", "dirty"]
-    known = state.filter(F.col("sync_action") != "new").select(*columns)
+    known = state.filter(F.col("sync_action") != "new").select(*APPLIED)
     added = number_rows(
         state.filter(F.col("sync_action") == "new").drop("id"), [F.col("filepath")], "id", next_id
     )
-    return known.unionByName(added.withColumn("id", F.col("id").cast("long")).select(*columns))
+    return known.unionByName(added.withColumn("id", F.col("id").cast("long")).select(*APPLIED))
 
 
 def max_id(catalog: DataFrame) -> int:

@@ -29,7 +29,7 @@ def _office(spark, sf):
 
 
 def _stream_sync(spark, sf):
-    return J.stream_sync(D.scan_stream(spark, sf), D.catalog(spark, sf), "/lib")
+    return J.stream_sync(D.scan_stream(spark, sf), D.catalog(spark, sf), "/lib").drop("dirty")
 
 
 def _stream_pages(spark, sf):

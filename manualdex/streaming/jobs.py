@@ -58,12 +58,11 @@ def stream_sync(
 
 
 def finish_sync(catalog: DataFrame, seen: DataFrame, root: str) -> DataFrame:
-    columns = [*sync.STATE, "sync_action", "should_extract"]
     outside = (
         with_text_facts(catalog)
         .filter(~sync.under(root, F.col("filepath")))
         .join(seen.select("filepath"), "filepath", "left_anti")
-        .withColumns({"sync_action": F.lit("kept"), "should_extract": F.lit(False)})
+        .withColumns({"sync_action": F.lit("kept"), "should_extract": F.lit(False), "dirty": F.lit(False)})
     )
     known = seen.filter(F.col("sync_action") != "new")
     added = number_rows(
@@ -73,9 +72,9 @@ def finish_sync(catalog: DataFrame, seen: DataFrame, root: str) -> DataFrame:
         sync.max_id(catalog),
     ).withColumn("id", F.col("id").cast("long"))
     return (
-        known.select(*columns)
-        .unionByName(added.select(*columns))
-        .unionByName(outside.select(*columns))
+        known.select(*sync.APPLIED)
+        .unionByName(added.select(*sync.APPLIED))
+        .unionByName(outside.select(*sync.APPLIED))
     )
 
 
