@@ -3,15 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from manualdex.llm import exact_dedup, minhash, mixing, token_counts
-from manualdex.llm.tables import table
+from manualdex.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    minhash,
+    mixing,
+    quality,
+    token_counts,
+)
+from manualdex.llm.tables import held_out, table
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"), threshold=1)
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.backoff_scores(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang")
+    found = language_id.identify(docs, language_id.learn(labelled))
+    return found.withColumn("held_out", held_out(F.col("doc_id")))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def quality_rules(docs: DataFrame, labels: DataFrame) -> quality.Rules:
+    """Rules for ``labels.quality``, learned outside the held-out fold."""
+    return quality.learn(docs, labels.filter(~held_out(F.col("doc_id"))))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), rules).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,9 +72,20 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.learn(pages))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_lm_scores": op2_lm_scores,
+    "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
+    "op5_quality": op5_quality,
+    "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_html_text": op10_html_text,
 }

@@ -23,23 +23,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def kept_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose (id, text) is in ``keys`` (``id``, ``text_key``), each (id, text) once.
+def kept_rows(docs: DataFrame, keys: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id and ``key`` are in ``keys`` (``id``, ``text_key``), one row for each.
 
-    ``text_key`` is ``text_key(text)``. Rows are matched by id and text, so an id that is given
-    to several texts loses only the texts that go.
+    The texts are shuffled once, by id and key, which no hot value can share.
     """
-    marked = docs.withColumns(
-        {"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_key": text_key(F.col(text_col))}
-    )
+    marked = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_key": key})
     wanted = keys.select(
         F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_id"), F.col("text_key").alias("_key")
-    ).distinct()
-    return (
-        marked.join(wanted, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
     )
-
-
-def text_key(text: Column) -> Column:
-    """A 64-bit fingerprint that, with the id, tells the rows of one table apart; null is empty."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return marked.join(wanted, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
