@@ -81,7 +81,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 class Unigrams:
     """The vocabulary with counts. Number 0 is the unknown word, then words by falling count."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, n_top: int = TOP):
         order = np.lexsort((words, -counts))
         numbers = np.empty(len(words), np.int64)
         numbers[order] = np.arange(1, len(words) + 1)
@@ -93,6 +93,7 @@ class Unigrams:
         with np.errstate(divide="ignore"):
             self.log = np.log(self.counts)
         self.base = np.where(self.counts > 0, self.log - math.log(max(total, 1)), 0.0)
+        self.n_top = n_top
         self.top: np.ndarray | None = None
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
@@ -108,19 +109,23 @@ class Unigrams:
         return numbers, ((numbers[:-1] << BITS) | numbers[1:])[same], text[1:][same]
 
     def is_top(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys >> BITS) < TOP) & ((keys & ((1 << BITS) - 1)) < TOP)
+        return (keys >> BITS < self.n_top) & (keys & ((1 << BITS) - 1) < self.n_top)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Places of top bigrams in the table of their counts."""
+        return (keys >> BITS) * self.n_top + (keys & ((1 << BITS) - 1))
 
     def correction(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         first, second = self.log[keys >> BITS], self.log[keys & ((1 << BITS) - 1)]
         return np.log(counts) - first - second + math.log(max(self.total, 1)) - math.log(BACKOFF)
 
 
-def unigrams(counts: DataFrame, share: float = SHARE) -> Unigrams:
+def unigrams(counts: DataFrame, share: float = SHARE, n_top: int = TOP) -> Unigrams:
     """The vocabulary of a ``word_counts`` table: at most 1 / ``share`` rows reach the driver."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(1, math.ceil(share * total), math.ceil(total / ((1 << BITS) - 1)))
     found = counts.filter(F.col("n") >= least).toArrow()
-    return Unigrams(found["word"].to_numpy(), found["n"].to_numpy(), int(total))
+    return Unigrams(found["word"].to_numpy(), found["n"].to_numpy(), int(total), n_top)
 
 
 def _top_counts(docs: DataFrame, model: Unigrams) -> np.ndarray:
@@ -128,23 +133,29 @@ def _top_counts(docs: DataFrame, model: Unigrams) -> np.ndarray:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, own = np.zeros(TOP * TOP, np.int64), shared.value
+        own = shared.value
+        table = np.zeros(own.n_top**2, np.int64)
         for batch in batches:
             for _, _, found in _words(batch.column(0)):
                 keys = own.bigrams(found)[1]
                 keys = keys[own.is_top(keys)]
-                table += np.bincount((keys >> BITS) * TOP + (keys & (TOP - 1)), minlength=TOP * TOP)
+                table += np.bincount(own.place(keys), minlength=len(table))
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["at", "n"])
 
     rows = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(TOP * TOP, np.int64)
+    out = np.zeros(model.n_top**2, np.int64)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
 def backoff_scores(
-    docs: DataFrame, min_count: int = 2, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    min_count: int = 2,
+    share: float = SHARE,
+    n_top: int = TOP,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """One row per id: ``doc_id``, ``n_words``, ``n_seen`` (words scored by their bigram), ``score`` (sum of
     logarithms) and ``mean`` (per word). The first word of a text is scored without the backoff factor.
@@ -154,7 +165,7 @@ def backoff_scores(
     """
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = unigrams(cut_lineage(word_counts(texts)), share)
+    model = unigrams(cut_lineage(word_counts(texts)), share, n_top)
     model.top = _top_counts(texts, model)
     shared = sc.broadcast(model)
 
@@ -169,7 +180,7 @@ def backoff_scores(
                 base = np.bincount(found.of_word(), weights=own.base[numbers], minlength=texts_here)
                 base += np.maximum(sizes - 1, 0) * math.log(BACKOFF)
                 top = own.is_top(keys)
-                counts = own.top[(keys[top] >> BITS) * TOP + (keys[top] & (TOP - 1))]
+                counts = own.top[own.place(keys[top])]
                 often = counts >= min_count
                 add = own.correction(keys[top][often], counts[often])
                 base += np.bincount(text[top][often], weights=add, minlength=texts_here)
