@@ -1,5 +1,4 @@
 import math
-import re
 import zlib
 from collections import Counter
 
@@ -19,13 +18,14 @@ def test_word_and_shingle_hashes_agree_with_strings():
         for at, to, chars, offsets in grams.slices(pa.array(texts)):
             flat, first = grams.words(chars, offsets).shingles(n)
             for d in range(to - at):
-                assert set(flat[first[d] : first[d + 1]]) is not None
                 w = data.words(texts[at + d])
                 plain = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [tuple(w)] * bool(w)
                 assert len(plain) == first[d + 1] - first[d]
                 for s, h in zip(plain, flat[first[d] : first[d + 1]].tolist()):
                     assert seen.setdefault((n, s), h) == h
-    assert len(set(seen.values())) == len(seen) - sum(1 for (n, s) in seen if n > 1 and len(s) < n and (3, s) in seen and n == 5)
+    for n in (1, 3, 5):
+        own = [h for (m, _), h in seen.items() if m == n]
+        assert len(set(own)) == len(own)
 
 
 def ppm_bits(counts, text):
@@ -54,7 +54,7 @@ def test_code_lengths_match_a_walk_through_the_tree(spark):
     rows = [(i, t, l) for i, t, l, _ in data.ROWS if t and l and len(t) < 500]
     model = language_id.learn(spark.createDataFrame(rows, "id long, text string, lang string"))
     assert model.languages == ["de", "en"]
-    for text in ("the dog", "Über die Straße", "", "\x01\x02zz☃", BASE := data.BASE * 3):
+    for text in ("the dog", "Über die Straße", "", "\x01\x02zz☃", data.BASE * 3):
         for _, _, chars, ends in language_id._after_start(pa.array([text, "x"])):
             got = model.lengths(chars, ends)[0]
             direct, model.direct = model.direct, None
@@ -70,7 +70,6 @@ def test_code_lengths_match_a_walk_through_the_tree(spark):
                             counts[o][x[at - o : at + 1]] += 1
             if l == "de":
                 assert got[k] == pytest.approx(ppm_bits(counts, text), rel=1e-4, abs=1e-3)
-    assert BASE
 
 
 def test_languages_of_awkward_rows(spark):
@@ -148,4 +147,3 @@ def test_blocks_of_a_long_text_count_as_one(monkeypatch):
     whole = counting.counts(data.LONG)
     monkeypatch.setattr(token_counts, "BLOCK", 1000)
     assert counting.counts(data.LONG) == whole
-    assert re.search("x", data.LONG)
