@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Default time, allowed roll-forward steps.
+# Default time.
 DEFAULT_HOUR = 18
 DEFAULT_MINUTE = 0
-MAX_STEPS = 400
 
 
 def _clock(time: Column) -> tuple[Column, Column]:
@@ -61,12 +60,18 @@ def next_due(
 
 
 def roll_forward(
-    due: Column, now: Column, frequency: Column, weekday: Column, interval_days: Column, time: Column
+    due: Column,
+    now: Column,
+    frequency: Column,
+    weekday: Column,
+    interval_days: Column,
+    time: Column,
+    max_steps: int | None = None,
 ) -> Column:
-    """First planned time after ``now``, at most ``MAX_STEPS`` steps from ``due``.
+    """First planned time after ``now``.
 
     All steps but the first have equal length, so the number of steps follows from the days
-    between.
+    between. ``max_steps`` stops that many steps from ``due``, still in the past if need be.
     """
     step = _step_days(frequency, interval_days)
     first = next_due(due, frequency, weekday, interval_days, time, F.lit(False))
@@ -77,7 +82,9 @@ def roll_forward(
         return F.date_add(F.to_date(first), (steps * step).cast("int"))
 
     enough = F.when(_at(after(whole), time) <= now, whole + 1).otherwise(whole)
-    steps = F.least(F.when(reached, enough).otherwise(0), F.lit(MAX_STEPS - 1))
+    steps = F.when(reached, enough).otherwise(0)
+    if max_steps is not None:
+        steps = F.least(steps, F.lit(max_steps - 1))
     return F.when(due > now, due).otherwise(_at(after(steps), time))
 
 

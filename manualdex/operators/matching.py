@@ -54,7 +54,8 @@ def _reader(application: str) -> Column:
 
 def read_query(spark: SparkSession, query: str) -> list[Requirement]:
     """Requirements of one literal query, worked out by the Column functions."""
-    text = spark.range(1, numPartitions=1).select(F.lit(query).alias("query"))
+    # One literal row: the optimizer works it out, and no job runs.
+    text = spark.sql("SELECT :query AS query FROM VALUES (1)", args={"query": query})
     found = text.select(_reader(spark.sparkContext.applicationId)).first()["requirements"]
     return [Requirement(r["kind"], r["value"], r["pattern"], r["fault"]) for r in found]
 
@@ -92,7 +93,17 @@ def metadata_hit(req: Requirement) -> Column:
 
 
 def matches_all(reqs: list[Requirement]) -> Column:
-    return _all([requirement_hit(r) for r in reqs])
+    """Every requirement is met; a query without tokens matches nothing."""
+    return _all([requirement_hit(r) for r in reqs]) if reqs else F.lit(False)
+
+
+def all_in(field: str, reqs: list[Requirement]) -> Column:
+    """Every requirement is met in one field; a query without tokens matches nothing."""
+    return _all([hit(field, r) for r in reqs]) if reqs else F.lit(False)
+
+
+def all_in_metadata(reqs: list[Requirement]) -> Column:
+    return _all([metadata_hit(r) for r in reqs]) if reqs else F.lit(False)
 
 
 def numeric_in_metadata(value: str) -> Column:

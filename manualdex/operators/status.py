@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from manualdex.operators.numbering import number_rows
 from manualdex.operators.topk import top_k
 from manualdex.schema import (
     OCR_EXTENSIONS,
     OCR_STATUSES,
     PENDING_STATUSES,
-    STATUS_LIST_LIMIT,
 )
 from manualdex.sources.catalog import with_text_facts
 
@@ -50,8 +50,11 @@ def listing_order(name: str) -> list[Column]:
     return [F.col("id")]
 
 
-def listing(files: DataFrame, name: str = "all", limit: int = STATUS_LIST_LIMIT) -> DataFrame:
-    """Status rows in display order; reads the stored text length, not the text."""
+def listing(files: DataFrame, name: str = "all", limit: int | None = None) -> DataFrame:
+    """Status rows in display order; reads the stored text length, not the text.
+
+    Without ``limit`` every row is listed, numbered by value ranges; a limit is a top-k.
+    """
     rows = (
         with_text_facts(files)
         .filter(status_filter(name))
@@ -68,6 +71,9 @@ def listing(files: DataFrame, name: str = "all", limit: int = STATUS_LIST_LIMIT)
             F.col("content_chars").alias("text_chars"),
         )
     )
+    if limit is None:
+        order = listing_order(name)
+        return number_rows(rows, order, "position").withColumn("position", F.col("position").cast("int"))
     return top_k(rows, listing_order(name), limit, rank="position")
 
 
@@ -123,7 +129,7 @@ def one_decimal(value: Column) -> Column:
     return F.format_string("%.1f", F.bround(value, 1))
 
 
-def listing_note(rows: DataFrame, limit: int = STATUS_LIST_LIMIT) -> DataFrame:
+def listing_note(rows: DataFrame, limit: int) -> DataFrame:
     """Number of rows shown and whether the listing limit was reached."""
     return rows.agg(F.count(F.lit(1)).alias("shown")).withColumn(
         "limit_reached", F.col("shown") >= limit

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANES = 64
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def top_k(
@@ -21,13 +20,11 @@ def top_k(
 ) -> DataFrame:
     """Rows with the k first ranks per ``by`` key, ranked from 1.
 
-    Every task keeps its own k best rows per key (window group limit), the lanes then
+    Every task keeps its own k best rows per key (window group limit, for k up to the session's
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), the lanes then
     share the merging, and only ``lanes * k`` rows per key meet in the last step. A key
     that holds most rows is therefore spread over all tasks until it is small.
     """
-    conf = df.sparkSession.conf
-    if k > int(conf.get(GROUP_LIMIT, "1000")):
-        conf.set(GROUP_LIMIT, str(k))  # keep the per-task cut for long listings too
     lane = Window.partitionBy(*by, "_lane").orderBy(*order)
     kept = (
         df.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))

@@ -21,13 +21,13 @@ EXTRACTABLE = (
 IMAGES = "('.jpg', '.jpeg', '.png', '.tif', '.tiff')"
 
 
-def _listing(name: str, order: str) -> str:
+def _listing(name: str, order: str, limit: int | None = None) -> str:
     return f"""
 {WF} SELECT CAST(row_number() OVER (ORDER BY {order}) AS INT) AS position, id, filename, extension,
   coalesce(extraction_status, 'pending') AS status, coalesce(extraction_error, '') AS error, filepath,
   CAST(coalesce(is_cloud, 0) AS INT) AS is_cloud, coalesce(ocr_page, 0) AS ocr_page,
   coalesce(ocr_total_pages, 0) AS ocr_total_pages, CAST(length(coalesce(content, '')) AS INT) AS text_chars
-FROM files WHERE {FILTERS[name]} QUALIFY position <= 5000"""
+FROM files WHERE {FILTERS[name]}{f' QUALIFY position <= {limit}' if limit else ''}"""
 
 
 STATUS = {
@@ -38,6 +38,7 @@ STATUS = {
     ),
     "status_files_error": _listing("error", "extension NULLS FIRST, filename NULLS FIRST, id"),
     "status_files_pending": _listing("pending", "id"),
+    "status_files_first": _listing("all", "id", 100),
     "status_counts": f"""
 {WF} SELECT coalesce(nullif(extraction_status, ''), 'pending') AS status, count(*) AS files
 FROM files GROUP BY 1""",
@@ -54,7 +55,7 @@ FROM files""",
   WHEN 'processing' THEN 'Обрабатывается' WHEN 'unsupported' THEN 'Неподдерживаемый' ELSE extraction_status END AS status_label,
   CASE WHEN is_cloud <> 0 THEN '☁ Облако' ELSE '💾 Локальный' END AS storage_label FROM files""",
     "status_note": f"""
-{WF} SELECT least(count(*), 5000) AS shown, count(*) >= 5000 AS limit_reached FROM files""",
+{WF} SELECT least(count(*), 100) AS shown, count(*) >= 100 AS limit_reached FROM files""",
     "ocr_progress": f"""
 {WF} SELECT id, CASE WHEN ocr_total_pages > 0 THEN ocr_page || '/' || ocr_total_pages ELSE '' END AS pages,
   printf('%.1f', CASE WHEN ocr_total_pages > 0 THEN ocr_page * 100.0::DOUBLE / ocr_total_pages ELSE 0.0::DOUBLE END) AS page_percent,

@@ -55,7 +55,7 @@ walk AS (
   SELECT id, frequency, wd, step, hh, mm, base + to_days(CAST(id % 700 AS INT)) + to_hours(CAST(id % 24 AS INT)) AS now,
     base AS due, 0 AS n FROM clocked
   UNION ALL
-  SELECT id, frequency, wd, step, hh, mm, now, {_next('due', 'FALSE')}, n + 1 FROM walk WHERE due <= now AND n < 400)
+  SELECT id, frequency, wd, step, hh, mm, now, {_next('due', 'FALSE')}, n + 1 FROM walk WHERE due <= now)
 SELECT id, arg_max(due, n) AS next_due FROM walk GROUP BY id""",
     "schedule_action": f"""
 WITH s AS ({_SETTINGS}), p AS (

@@ -97,10 +97,6 @@ SEARCH = {
     "diagnostic_search": _search("onk_e10"),
     "diagnostic_search_three": _search("pat_ds350_e15"),
     "search_request_limit": _search("ac35l", 50),
-    "search_capped": f"""
-{O.WITH_FILES}, capped AS (
-  SELECT * FROM files WHERE {_coarse_code('ac')} ORDER BY id LIMIT 2500)
-{O.search_sql(Q['ac35l'], 200, 'capped')}""",
     "search_snippets": f"""
 {O.WITH_FILES} SELECT id, {O.snippet(Q['terex_onk'])} AS snippet
 FROM files WHERE {O.match(Q['terex_onk'])}""",
@@ -137,6 +133,12 @@ FROM files WHERE {_coarse_word('55724')} ORDER BY id LIMIT 100""",
 {O.WITH_FILES} SELECT count(*) AS context_documents,
   count(*) FILTER ({O.hit('content', *_e10)}) AS latin_hits,
   count(*) FILTER ({O.hit('content', 'tech', 'е10')}) AS cyrillic_hits
+FROM files WHERE {_text_docs}""",
+    "variant_hits_multi": f"""
+{O.WITH_FILES} SELECT count(*) AS context_documents,
+  count(*) FILTER ({O.hit('content', *_e10)}) AS one,
+  count(*) FILTER ({O.hit('content', *_e10)} AND {O.hit('content', 'word', 'terex')}) AS two,
+  count(*) FILTER ({O.hit('content', *_e10)} AND {O.hit('content', 'word', 'nosuchword')}) AS none
 FROM files WHERE {_text_docs}""",
     "variant_examples": f"""
 {O.WITH_FILES} SELECT id, filename, filepath,

@@ -93,6 +93,8 @@ def match_explain(
     ids = [row["id"] for row in picked]
     place = F.array_position(F.lit(ids), F.col("id")).cast("int")
     content = M.text_of("content")
+    kind = "array<struct<requirement_no:int,kind:string,value:string,name_hit:boolean,"
+    kind += "path_hit:boolean,content_hit:boolean,contexts:array<string>>>"
     rows = F.array(
         *[
             F.struct(
@@ -106,7 +108,7 @@ def match_explain(
             )
             for i, r in enumerate(reqs)
         ]
-    )
+    ).cast(kind)
     return (
         lookup(files, *ids)
         .select(place.alias("position"), "id", "filename", rows.alias("_rows"))
@@ -116,16 +118,20 @@ def match_explain(
 
 
 def variant_hits(files: DataFrame, context_code: str, spellings: dict[str, str]) -> DataFrame:
-    """How many text documents about one code hold each spelling of another code."""
+    """How many text documents about one code hold each spelling of another code.
+
+    Of an input of several tokens all count: in name or path for ``context_code``, in the
+    text for a spelling. An input without tokens matches nothing.
+    """
     spark = files.sparkSession
-    context = M.read_query(spark, context_code)[0]
+    context = M.read_query(spark, context_code)
     source = files.filter(
         F.lower(M.text_of("extension")).isin(*TEXT_BEARING_EXTENSIONS)
         & (F.char_length(M.text_of("content")) > 0)
-        & M.metadata_hit(context)
+        & M.all_in_metadata(context)
     )
     sums = [
-        F.count_if(M.hit("content", M.read_query(spark, code)[0])).alias(label)
+        F.count_if(M.all_in("content", M.read_query(spark, code))).alias(label)
         for label, code in spellings.items()
     ]
     return source.agg(F.count(F.lit(1)).alias("context_documents"), *sums)
@@ -134,20 +140,14 @@ def variant_hits(files: DataFrame, context_code: str, spellings: dict[str, str])
 def variant_examples(
     files: DataFrame, context_code: str, spelling: str, limit: int = 20
 ) -> DataFrame:
+    """Documents about a code that hold a spelling, with an excerpt at its first token."""
     spark = files.sparkSession
-    context = M.read_query(spark, context_code)[0]
-    req = M.read_query(spark, spelling)[0]
+    reqs = M.read_query(spark, spelling)
     content = M.text_of("content")
+    spot = E.anchor(content, F.lit(reqs[0].pattern if reqs else r"\z"))
     hits = files.filter(
         F.lower(M.text_of("extension")).isin(*TEXT_BEARING_EXTENSIONS)
-        & M.metadata_hit(context)
-        & M.hit("content", req)
-    ).select(
-        "id",
-        "filename",
-        "filepath",
-        E.around(content, E.anchor(content, F.lit(req.pattern)), VARIANT_RADIUS, False).alias(
-            "excerpt"
-        ),
-    )
+        & M.all_in_metadata(M.read_query(spark, context_code))
+        & M.all_in("content", reqs)
+    ).select("id", "filename", "filepath", E.around(content, spot, VARIANT_RADIUS, False).alias("excerpt"))
     return top_k(hits, [F.col("id")], limit).drop("rank")

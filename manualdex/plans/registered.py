@@ -102,6 +102,12 @@ def _variant_hits(spark, sf):
     )
 
 
+def _variant_hits_multi(spark, sf):
+    return explain.variant_hits(
+        D.catalog(spark, sf), "онк160с", {"one": "e10", "two": "e10 terex", "none": "e10 nosuchword"}
+    )
+
+
 def _variant_examples(spark, sf):
     return explain.variant_examples(D.catalog(spark, sf), "онк160с", "e10")
 
@@ -153,7 +159,6 @@ SEARCH = {
     "diagnostic_search": _search("онк160с e10"),
     "diagnostic_search_three": _search("pat ds350 e15"),
     "search_request_limit": _search("ac 35 l", limit=S.REQUEST_LIMIT),
-    "search_capped": _search("ac 35 l", candidate_cap=S.CANDIDATE_CAP),
     "search_snippets": _snippets,
     "search_summary": _search_summary,
     "single_model_search": _final_ids("ac 35 l"),
@@ -170,6 +175,7 @@ SEARCH = {
     "substring_total": _substring_total,
     "match_explain": _match_explain,
     "variant_hits": _variant_hits,
+    "variant_hits_multi": _variant_hits_multi,
     "variant_examples": _variant_examples,
 }
 

@@ -17,8 +17,12 @@ def _status_filter(name: str):
     return lambda spark, sf: D.catalog(spark, sf).filter(status.status_filter(name)).select("id")
 
 
-def _status_files(name: str):
-    return lambda spark, sf: status.listing(D.catalog(spark, sf), name)
+#: Rows of the bounded listings.
+SHOWN = 100
+
+
+def _status_files(name: str, limit: int | None = None):
+    return lambda spark, sf: status.listing(D.catalog(spark, sf), name, limit)
 
 
 def _on_catalog(fn):
@@ -38,7 +42,7 @@ def _status_labels(spark, sf):
 
 
 def _listing_note(spark, sf):
-    return status.listing_note(status.listing(D.catalog(spark, sf)))
+    return status.listing_note(status.listing(D.catalog(spark, sf), limit=SHOWN), SHOWN)
 
 
 def _progress(spark, sf):
@@ -60,6 +64,7 @@ STATUS = {
     "status_files_ocr": _status_files("ocr"),
     "status_files_error": _status_files("error"),
     "status_files_pending": _status_files("pending"),
+    "status_files_first": _status_files("all", SHOWN),
     "status_counts": _on_catalog(status.counts),
     "database_summary": _on_catalog(status.summary),
     "ocr_pending_count": _on_catalog(status.ocr_pending_count),

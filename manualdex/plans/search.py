@@ -12,7 +12,6 @@ from manualdex.operators.topk import top_k
 # Limits and the text shown when only name or path matched.
 SEARCH_LIMIT = 200
 REQUEST_LIMIT = 50
-CANDIDATE_CAP = 2500
 SNIPPET_RADIUS = 180
 NAME_OR_PATH_TEXT = "Найдено в имени или пути файла"
 
@@ -54,22 +53,14 @@ def search(
     files: DataFrame,
     query: str,
     limit: int = SEARCH_LIMIT,
-    candidate_cap: int | None = None,
 ) -> DataFrame:
     """Ranked results of one query.
 
     The excerpt is made before the cut to ``limit`` so that only short rows, never whole
-    texts, leave the scan; it is only computed for rows that match. ``candidate_cap``
-    reproduces the historical cap on unchecked candidates and is off by default because
-    it can lose true matches.
+    texts, leave the scan; it is only computed for rows that match.
     """
     reqs = M.read_query(files.sparkSession, query)
-    source = files
-    if candidate_cap is not None and reqs:
-        source = top_k(
-            files.filter(coarse_filter(reqs)), [F.col("id")], candidate_cap, rank="_candidate"
-        ).drop("_candidate")
-    hits = matching_files(source, reqs)
+    hits = matching_files(files, reqs)
     hits = with_snippet(hits, reqs).select(
         F.col("id").alias("file_id"),
         M.text_of("filename").alias("filename"),

@@ -40,7 +40,6 @@ PLAIN_TEXT_EXTENSIONS = (".txt", ".csv", ".json")
 MIN_TEXT_CHARS = 10
 MIN_PDF_TEXT_CHARS = 80
 MAX_ERROR_CHARS = 2000
-STATUS_LIST_LIMIT = 5000
 OCR_STATUSES = ("ocr_pending", "ocr_processing")
 PENDING_STATUSES = ("pending", "processing")
 IMAGE_QUEUE_FLAG = "image_ocr_queue_v13"

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from manualdex.functions import scalars as Sc
 from manualdex.session import run_folder
@@ -123,45 +122,44 @@ def scan_folder(
     )
 
 
-@F.pandas_udf(T.StringType())
-def _legacy_text(content: pd.Series) -> pd.Series:
-    """Single-byte Cyrillic text; the second code page decodes every byte."""
+def _high(page: str, without: tuple[int, ...] = ()) -> tuple[str, str]:
+    """The upper half of a single-byte code page, next to what Latin-1 reads those bytes as."""
+    codes = [b for b in range(0x80, 0x100) if b not in without]
+    return "".join(map(chr, codes)), bytes(codes).decode(page)
 
-    def decode(data):
-        if data is None:
-            return None
-        try:
-            return data.decode("cp1251")
-        except UnicodeDecodeError:
-            return data.decode("cp866")
 
-    return content.map(decode)
+#: The byte that the first Cyrillic code page leaves open; texts that hold it are in the second.
+OPEN_BYTE = 0x98
+
+
+def _legacy_text(content: Column) -> Column:
+    """Single-byte Cyrillic text, read as Latin-1 and translated; the second code page decodes every byte."""
+    latin = F.decode(content, "ISO-8859-1")
+    first, second = _high("cp1251", (OPEN_BYTE,)), _high("cp866")
+    return F.when(latin.contains(chr(OPEN_BYTE)), F.translate(latin, *second)).otherwise(
+        F.translate(latin, *first)
+    )
 
 
 def decode_text(files: DataFrame) -> DataFrame:
     """Add ``text`` for a table with a binary ``content`` column.
 
-    Valid UTF-8 is decoded natively; only other contents travel to Python, as Arrow
-    batches. The byte-order mark is dropped and line ends become LF.
+    Valid UTF-8 is taken as it is, anything else as single-byte Cyrillic text. The byte-order mark is
+    dropped and line ends become LF.
     """
-    as_text = F.col("content").cast("string")
-    valid = F.is_valid_utf8(as_text)
-    marked = files.withColumn("_valid", F.coalesce(valid, F.lit(True)))
-    legacy = _legacy_text(F.when(~F.col("_valid"), F.col("content")))
-    decoded = F.when(
-        F.col("_valid"), F.regexp_replace(F.coalesce(as_text, F.lit("")), "\\A\ufeff", "")
-    ).otherwise(F.col("_legacy"))
-    return (
-        marked.withColumn("_legacy", legacy)
-        .withColumn("text", F.regexp_replace(decoded, "\r\n?", "\n"))
-        .drop("_valid", "_legacy")
+    content = F.coalesce(F.col("content"), F.lit(b""))
+    as_text = content.cast("string")
+    decoded = F.when(F.is_valid_utf8(as_text), F.regexp_replace(as_text, "\\A\ufeff", "")).otherwise(
+        _legacy_text(content)
     )
+    return files.withColumn("text", F.regexp_replace(decoded, "\r\n?", "\n"))
 
 
 def extract_office_text(files: DataFrame) -> DataFrame:
     """(path, text) of ``.docx .xlsx .odt .ods`` contents; unreadable ones give ''.
 
-    Rows are dealt out by path because contents are large and their cost uneven.
+    Arrow batches are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``, so large contents travel
+    in small batches.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -71,9 +71,10 @@ def test_next_due(spark, frequency, weekday, days, time, initial, base, want):
     assert got == dt.datetime(*want)
 
 
-def test_roll_forward_stops_after_400_steps(spark):
+def test_roll_forward_passes_now_unless_it_is_bounded(spark):
     args = [F.lit("daily"), F.lit(0), F.lit(1), F.lit("18:00")]
     start = F.lit(dt.datetime(2020, 1, 1, 18)).cast("timestamp_ntz")
     now = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
-    got = one(spark, T.roll_forward(start, now, *args))
+    assert one(spark, T.roll_forward(start, now, *args)) == dt.datetime(2024, 1, 1, 18)
+    got = one(spark, T.roll_forward(start, now, *args, max_steps=400))
     assert got == dt.datetime(2020, 1, 1, 18) + dt.timedelta(days=400)
