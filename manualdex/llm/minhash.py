@@ -10,10 +10,13 @@
    passages that a third of all documents quote are common tokens at the end of the order. The long
    posting lists are skipped, and the rest of a pair's collisions are counted on its signatures.
 3. Inside a token's list no pairs are made at first: each class is linked to the list leader with which
-   it collides most, links are confirmed on the full sets, and components are formed. Lists in
-   one component are done. In the others, the classes outside the list's largest component
-   are joined with every class of another component, so no pair that could join two components is left
-   out, and a group of near copies costs as many pairs as it has members.
+   it collides most, links are confirmed on the full sets, and components are formed. The first leaders
+   are the classes whose tokens are the most common, which lie in the middle of a group of near copies.
+   Lists in one component are done. In the others a class goes when too many of its shingles occur in no other
+   open class, as it can't reach the threshold with any. What is left gets another round of leaders, and
+   then the classes outside a list's largest component are joined with every class of another
+   component, so no pair that could join two components is left out, and a group of near copies
+   costs about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -173,8 +176,9 @@ def near_duplicates(
         .groupBy("rep", "n")
         .agg(order.alias("shared"))
         .filter(F.size("shared") >= t)
-        .select("rep", "n", F.explode(F.expr(f"slice(shared, 1, size(shared) - {t} + 1)")).alias("p"))
-        .select("rep", "n", F.col("p.token").alias("token"))
+        .withColumn("central", F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["df"]))
+        .select("rep", "n", "central", F.explode(F.expr(f"slice(shared, 1, size(shared) - {t} + 1)")).alias("p"))
+        .select("rep", "n", "central", F.col("p.token").alias("token"))
     )
     posted = cut_lineage(posted)
     candidates = posted.select(F.col("rep").alias("doc_id")).distinct()
@@ -199,9 +203,11 @@ def near_duplicates(
             placed = posted.withColumn("comp", F.col("rep"))
         else:
             placed = posted.join(known, posted["rep"] == known["id"], "left").select(
-                "rep", "n", "token", F.coalesce("component", "rep").alias("comp")
+                "rep", "n", "central", "token", F.coalesce("component", "rep").alias("comp")
             )
+            placed = _open(cut_lineage(placed), texts, words, percent, prune=turn == 1)
         placed = cut_lineage(placed)
+        posted = placed.drop("comp")
         pairs = _to_leaders(placed, turn) if turn < ROUNDS else _across(placed, sigs, t, percent)
         pairs = cut_lineage(pairs)
         if turn < ROUNDS:
@@ -230,9 +236,34 @@ def near_duplicates(
     )
 
 
+def _open(placed: DataFrame, texts: DataFrame, words: int, percent: int, prune: bool) -> DataFrame:
+    """The rows of lists with several components; with ``prune`` without classes that can't link.
+
+    A link needs ``percent`` of a class's shingles in the other class, so at least that many must occur in
+    another class of the open lists.
+    """
+    lists = (
+        placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    )
+    placed = placed.join(lists.select("token"), "token", "left_semi")
+    if not prune:
+        return placed
+    placed = cut_lineage(placed)
+    members = placed.select(F.col("rep").alias("doc_id")).distinct()
+    found = texts.join(members, "doc_id", "left_semi").select(
+        F.col("doc_id").alias("rep"), F.explode(shingle_set(F.col("text"), words)).alias("shingle")
+    )
+    found = cut_lineage(found)
+    common = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("shingle")
+    shared = found.join(common, "shingle", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    able = placed.join(shared, "rep").filter(100 * F.col("shared") >= percent * F.col("n"))
+    return able.drop("shared").select(*placed.columns)
+
+
 def _to_leaders(placed: DataFrame, turn: int) -> DataFrame:
     """For each class the leader, of a token's list and of another component, with most collisions."""
-    leader = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "comp"))
+    first = -F.col("central") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    leader = F.min(F.struct(first.alias("first"), "rep", "comp"))
     leaders = (
         placed.groupBy("token")
         .agg(leader.alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high"))

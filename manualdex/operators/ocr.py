@@ -84,11 +84,16 @@ def merged_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def merge(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """Waiting files after their new pages were appended; others of the queue unchanged."""
+def _moment(now: float | None) -> Column:
+    """The given time, or the current one, in seconds."""
+    return (F.unix_micros(F.current_timestamp()) / 1e6) if now is None else F.lit(float(now))
+
+
+def merge(files: DataFrame, pages: DataFrame, now: float | None = None) -> DataFrame:
+    """Waiting files after their new pages were appended at ``now``; others of the queue unchanged."""
     queue_rows = files.filter(waiting()).select(
         "id", "filename", "content", "ocr_page", "ocr_total_pages",
-        "extraction_status", "extraction_error",
+        "extraction_status", "extraction_error", "ocr_updated",
     )
     added = merged_pages(files, pages).withColumnRenamed("file_id", "id")
     has = F.col("last_page").isNotNull()
@@ -102,12 +107,13 @@ def merge(files: DataFrame, pages: DataFrame) -> DataFrame:
         F.coalesce("_total", "ocr_total_pages").alias("ocr_total_pages"),
         F.when(has, "ocr_processing").otherwise(F.col("extraction_status")).alias("extraction_status"),
         F.when(~has, F.col("extraction_error")).alias("extraction_error"),
+        F.when(has, _moment(now)).otherwise(F.col("ocr_updated")).alias("ocr_updated"),
         F.coalesce("added_pages", F.lit(0)).cast("int").alias("added_pages"),
     )
 
 
-def finish(merged: DataFrame) -> DataFrame:
-    """Close the files whose pages are all saved: enough text is ok, else an error."""
+def finish(merged: DataFrame, now: float | None = None) -> DataFrame:
+    """Close the files whose pages are all saved, at ``now``: enough text is ok, else an error."""
     complete = (F.col("ocr_total_pages") > 0) & (F.col("ocr_page") >= F.col("ocr_total_pages"))
     enough = F.char_length(F.trim(F.coalesce("content", F.lit("")))) >= MIN_TEXT_CHARS
     return merged.withColumns(
@@ -117,6 +123,7 @@ def finish(merged: DataFrame) -> DataFrame:
             .otherwise(F.col("extraction_status")),
             "extraction_error": F.when(complete & ~enough, TOO_LITTLE_TEXT)
             .when(~complete, F.col("extraction_error")),
+            "ocr_updated": F.when(complete, _moment(now)).otherwise(F.col("ocr_updated")),
         }
     )
 

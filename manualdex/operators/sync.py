@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from manualdex.functions import text as X
 from manualdex.operators.numbering import number_rows
 from manualdex.schema import (
+    CATALOG,
     EXTRACTABLE_EXTENSIONS,
     IMAGE_EXTENSIONS,
     IMAGE_QUEUE_FLAG,
@@ -22,11 +23,11 @@ from manualdex.schema import (
     OCR_STATUSES,
 )
 from manualdex.session import cut_lineage
-from manualdex.sources.catalog import with_text_facts
+from manualdex.sources.catalog import TEXT_FACTS, with_text_facts
 
 STATE = (
     "id", "filename", "filepath", "extension", "size", "modified", "is_cloud",
-    "extraction_status", "extraction_error", "ocr_page", "ocr_total_pages",
+    "extraction_status", "extraction_error", "ocr_page", "ocr_total_pages", "file_hash", "ocr_updated",
     "content_chars", "trimmed_chars", "stripped_chars",
 )
 APPLIED = (*STATE, "sync_action", "should_extract", "dirty")
@@ -58,35 +59,77 @@ def under(root: str, path: Column) -> Column:
     return (path == (root or "/")) | path.startswith(root + "/")
 
 
-def missing(catalog: DataFrame, listing: DataFrame, root: str) -> DataFrame:
-    """Catalog rows below the root whose file is gone."""
+def sheltered(paths: DataFrame, failed: DataFrame) -> DataFrame:
+    """The ``filepath``s at or below a path that could not be read (``failed``: path).
+
+    Each path is compared with its own ancestors by an equi-join, so neither side is broadcast.
+    """
+    parts = F.split("filepath", "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda i: F.when(i == 1, "/").otherwise(F.array_join(F.slice(parts, F.lit(1), i), "/")),
+    )
     return (
+        paths.select("filepath", F.explode(above).alias("path"))
+        .join(failed.select(F.rtrim("path", F.lit("/")).alias("path")).replace("", "/"), "path", "left_semi")
+        .select("filepath")
+        .distinct()
+    )
+
+
+def missing(
+    catalog: DataFrame, listing: DataFrame, root: str, failed: DataFrame | None = None
+) -> DataFrame:
+    """Catalog rows below the root whose file is gone. Rows at or below a ``failed`` path, which the
+    listing could not read, are not known to be gone."""
+    gone = (
         catalog.filter(under(root, F.col("filepath")))
         .join(listing.select("filepath"), "filepath", "left_anti")
         .select("id", "filepath")
     )
+    return gone if failed is None else gone.join(sheltered(gone, failed), "filepath", "left_anti").select("id", "filepath")
+
+
+def narrow_state(catalog: DataFrame) -> DataFrame:
+    """The catalog without its texts; columns that an older catalog lacks are null."""
+    rows = with_text_facts(catalog)
+    absent = {c: F.lit(None).cast(CATALOG[c].dataType) for c in STATE if c not in rows.columns}
+    return rows.withColumns(absent).select(*STATE) if absent else rows.select(*STATE)
 
 
 def classify(
-    catalog: DataFrame, listing: DataFrame, root: str, listed_only: bool = False
+    catalog: DataFrame,
+    listing: DataFrame,
+    root: str,
+    listed_only: bool = False,
+    failed: DataFrame | None = None,
 ) -> DataFrame:
     """Every catalog or listed path with its action and whether to read its text.
 
     ``listed_only`` leaves out catalog rows the listing does not name, for listings that
-    arrive in parts.
+    arrive in parts: the catalog is cut to the listed paths by a semi-join, which broadcasts them while their
+    written table is small, and only what is left is joined. ``failed`` (path) are paths that could
+    not be listed; rows at or below them are kept.
     """
-    old = with_text_facts(catalog).select(
-        "filepath", F.struct(*[c for c in STATE if c != "filepath"]).alias("old")
-    )
+    state = narrow_state(catalog)
+    if listed_only:
+        state = state.join(listing.select("filepath"), "filepath", "left_semi")
+    old = state.select("filepath", F.struct(*[c for c in STATE if c != "filepath"]).alias("old"))
     new = listing.select("filepath", F.struct(*LISTED).alias("new"))
     both = old.join(new, "filepath", "right" if listed_only else "full_outer")
 
     o, n = F.col("old"), F.col("new")
+    unknown = F.lit(False)
+    if failed is not None:
+        unlisted = both.filter(n.isNull() & under(root, F.col("filepath"))).select("filepath")
+        kept = sheltered(unlisted, failed).withColumn("unknown", F.lit(True))
+        both = both.join(kept, "filepath", "left")
+        unknown = F.coalesce("unknown", F.lit(False))
     cloud = (F.coalesce(o["is_cloud"], F.lit(0)) != 0) | (F.coalesce(n["is_cloud"], F.lit(0)) != 0)
     resized = ~o["size"].eqNullSafe(n["size"])
     touched = resized | ~o["modified"].eqNullSafe(n["modified"])
     action = (
-        F.when(n.isNull() & under(root, F.col("filepath")), "missing")
+        F.when(n.isNull() & under(root, F.col("filepath")) & ~unknown, "missing")
         .when(n.isNull(), "kept")
         .when(o.isNull(), "new")
         .when((o["extraction_status"] == "error") & ~resized, "error_locked")
@@ -130,6 +173,8 @@ def _state_after(rows: DataFrame) -> DataFrame:
     state["extraction_error"] = F.when(~(fresh | no_text), o["extraction_error"])
     for c in ("ocr_page", "ocr_total_pages", "content_chars", "trimmed_chars", "stripped_chars"):
         state[c] = F.when(fresh, 0).otherwise(o[c])
+    state["file_hash"] = o["file_hash"]
+    state["ocr_updated"] = F.when(~fresh, o["ocr_updated"])
     recloud = ~state["is_cloud"].eqNullSafe(o["is_cloud"])
     return rows.select(
         o["id"].alias("id"), "filepath", "sync_action", "should_extract",
@@ -157,8 +202,10 @@ def max_id(catalog: DataFrame) -> int:
     return catalog.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
 
 
-def sync(catalog: DataFrame, listing: DataFrame, root: str) -> DataFrame:
-    return apply(classify(catalog, listing, root), max_id(catalog))
+def sync(
+    catalog: DataFrame, listing: DataFrame, root: str, failed: DataFrame | None = None
+) -> DataFrame:
+    return apply(classify(catalog, listing, root, failed=failed), max_id(catalog))
 
 
 def pdf_layer_results(layers: DataFrame) -> DataFrame:
@@ -231,6 +278,7 @@ def with_outcomes(state: DataFrame, results: DataFrame) -> DataFrame:
             "ocr_total_pages": F.when(w == "ocr_queued", F.coalesce(r["total_pages"], F.lit(0)))
             .when(replaced, 0)
             .otherwise(F.col("ocr_total_pages")),
+            "ocr_updated": F.when(~replaced, F.col("ocr_updated")),
             "content_chars": length(F.char_length("_text"), "content_chars"),
             "trimmed_chars": length(F.char_length(F.trim("_text")), "trimmed_chars"),
             "stripped_chars": length(F.char_length(X.strip(F.col("_text"))), "stripped_chars"),
@@ -283,7 +331,9 @@ def next_snapshot(catalog: DataFrame, after: DataFrame, gone: DataFrame) -> Data
         ).unionByName(gone.select("id", F.lit(True).alias("gone")), allowMissingColumns=True)
     )
     edit, edited = F.col("edit"), F.col("edit").isNotNull()
-    kept = with_text_facts(catalog).join(edits, "id", "left").filter(
+    absent = {c: F.lit(None).cast(CATALOG[c].dataType) for c in columns if c not in (*catalog.columns, *TEXT_FACTS)}
+    stored = with_text_facts(catalog)
+    kept = (stored.withColumns(absent) if absent else stored).join(edits, "id", "left").filter(
         ~F.coalesce("gone", F.lit(False))
     )
     content = F.when(edit["cleared"], edit["new_content"]).otherwise(F.col("content"))

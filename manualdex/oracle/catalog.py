@@ -96,7 +96,7 @@ pairs AS (
   SELECT coalesce(o.filepath, n.filepath) AS filepath, o.filepath IS NOT NULL AS in_old, n.filepath IS NOT NULL AS in_new,
     o.id, o.filename AS o_filename, o.extension AS o_extension, o.size AS o_size, o.modified AS o_modified,
     o.is_cloud AS o_cloud, o.extraction_status AS o_status, o.extraction_error AS o_error, o.ocr_page AS o_page,
-    o.ocr_total_pages AS o_pages, o.content_chars, o.trimmed_chars, o.stripped_chars, o.content,
+    o.ocr_total_pages AS o_pages, o.file_hash, o.ocr_updated AS o_updated, o.content_chars, o.trimmed_chars, o.stripped_chars, o.content,
     n.filename AS n_filename, n.extension AS n_extension, n.size AS n_size, n.modified AS n_modified,
     coalesce(o.is_cloud, 0) <> 0 OR coalesce(n.is_cloud, 0) <> 0 AS cloud,
     o.size IS DISTINCT FROM n.size AS resized,
@@ -137,6 +137,7 @@ state AS (
     CASE WHEN fresh OR no_text THEN NULL ELSE o_error END AS extraction_error,
     CAST(CASE WHEN fresh THEN 0 ELSE o_page END AS INT) AS ocr_page,
     CAST(CASE WHEN fresh THEN 0 ELSE o_pages END AS INT) AS ocr_total_pages,
+    file_hash, CASE WHEN NOT fresh THEN o_updated END AS ocr_updated,
     CAST(CASE WHEN fresh THEN 0 ELSE content_chars END AS INT) AS content_chars,
     CAST(CASE WHEN fresh THEN 0 ELSE trimmed_chars END AS INT) AS trimmed_chars,
     CAST(CASE WHEN fresh THEN 0 ELSE stripped_chars END AS INT) AS stripped_chars,
@@ -176,6 +177,7 @@ outcomes AS (
       WHEN 'too_little' THEN 'Извлечено слишком мало текста: ' || text_chars || ' символов' END AS extraction_error,
     CASE WHEN success THEN 0 ELSE ocr_page END AS ocr_page,
     CASE WHEN outcome = 'ocr_queued' THEN total_pages WHEN success THEN 0 ELSE ocr_total_pages END AS ocr_total_pages,
+    file_hash, CASE WHEN NOT success THEN ocr_updated END AS ocr_updated,
     CAST(CASE WHEN success THEN length(coalesce(new_content, '')) ELSE content_chars END AS INT) AS content_chars,
     CAST(CASE WHEN success THEN length(trim(coalesce(new_content, ''))) ELSE trimmed_chars END AS INT) AS trimmed_chars,
     CAST(CASE WHEN success THEN length({O.strip("coalesce(new_content, '')")}) ELSE stripped_chars END AS INT) AS stripped_chars,
@@ -197,6 +199,15 @@ SELECT filepath, CASE WHEN enough THEN text END AS text, NOT enough AS ocr_requi
 {WF}, scan AS ({O.SCAN})
 SELECT id, filepath FROM files f WHERE (filepath = '/lib' OR starts_with(filepath, '/lib/'))
   AND NOT EXISTS (SELECT 1 FROM scan s WHERE s.filepath = f.filepath)""",
+    "sync_missing_unread": f"""
+{WF}, scan AS ({O.SCAN}), unread AS ({O.UNREAD})
+SELECT id, filepath FROM files f WHERE (filepath = '/lib' OR starts_with(filepath, '/lib/'))
+  AND NOT EXISTS (SELECT 1 FROM scan s WHERE s.filepath = f.filepath)
+  AND NOT EXISTS (SELECT 1 FROM unread u WHERE starts_with(f.filepath, u.path || '/'))""",
+    "sync_apply_unread": _STATE.replace(
+        "THEN 'missing'\n", "AND NOT EXISTS (SELECT 1 FROM unread u WHERE starts_with(filepath, u.path || '/')) THEN 'missing'\n"
+    ).replace(f"scan AS ({O.SCAN}),", f"scan AS ({O.SCAN}), unread AS ({O.UNREAD}),") + " SELECT * EXCLUDE (content) FROM state",
+    "metadata_flags": f"{O.METADATA} UNION ALL SELECT 'image_ocr_queue_v13', '1'",
     "sync_counters": f"""
 {_STATE}, {_RESULTS}
 SELECT count(*) FILTER (sync_action = 'new') AS added,
@@ -207,7 +218,7 @@ SELECT count(*) FILTER (sync_action = 'new') AS added,
     "extraction_outcome": f"{_STATE}, {_RESULTS} SELECT * EXCLUDE (content) FROM outcomes",
     "catalog_snapshot": f"""
 {_STATE}, {_RESULTS} SELECT id, filename, filepath, extension, size, modified, is_cloud, extraction_status,
-  extraction_error, ocr_page, ocr_total_pages, sha256(content) AS content_hash FROM outcomes""",
+  extraction_error, ocr_page, ocr_total_pages, file_hash, ocr_updated, sha256(content) AS content_hash FROM outcomes""",
     "needs_extraction": f"""
 {WF} SELECT id, coalesce(lower(extension), '') IN {EXTRACTABLE} AND NOT coalesce(
   extraction_status IN ('ocr_pending', 'ocr_processing', 'error') OR (extraction_status = 'ok'
@@ -240,13 +251,15 @@ merged AS (
     coalesce(last_page, ocr_page) AS ocr_page, coalesce(total_pages, ocr_total_pages) AS ocr_total_pages,
     CASE WHEN n > 0 THEN 'ocr_processing' ELSE extraction_status END AS extraction_status,
     CASE WHEN n > 0 THEN NULL ELSE extraction_error END AS extraction_error,
+    CASE WHEN n > 0 THEN 1800000000.0::DOUBLE ELSE ocr_updated END AS ocr_updated,
     CAST(coalesce(n, 0) AS INT) AS added_pages
   FROM waiting LEFT JOIN added ON id = file_id),
 finished AS (
   SELECT * REPLACE (
     CASE WHEN complete AND enough THEN 'ok' WHEN complete THEN 'error' ELSE extraction_status END AS extraction_status,
     CASE WHEN complete AND NOT enough THEN 'OCR не извлёк достаточно текста' WHEN complete THEN NULL
-         ELSE extraction_error END AS extraction_error)
+         ELSE extraction_error END AS extraction_error,
+    CASE WHEN complete THEN 1800000000.0::DOUBLE ELSE ocr_updated END AS ocr_updated)
   FROM (SELECT *, ocr_total_pages > 0 AND ocr_page >= ocr_total_pages AS complete,
                length(trim(coalesce(content, ''))) >= 10 AS enough FROM merged) m)"""
 

@@ -21,6 +21,8 @@ LAT = "ABCEHKMOPTXabcehkmoptx"
 FILES = D.FILES_SQL.format(documents="documents")
 SCAN = D.SCAN_SQL.format(files="files")
 OCR_PAGES = D.OCR_PAGES_SQL.format(files="files")
+UNREAD = D.UNREAD_SQL.format(documents="documents")
+METADATA = D.METADATA_SQL.format(documents="documents")
 DUP_FILES = D.DUP_FILES_SQL.format(documents="documents")
 QUESTIONS = D.QUESTIONS_SQL.format(conversations="conversations")
 SCHEDULES = D.SCHEDULES_SQL.format(events="events")

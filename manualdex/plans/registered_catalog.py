@@ -119,8 +119,8 @@ def _snapshot(spark, sf):
     root = run_folder(spark, "snapshot")
     catalog, gone = D.catalog(spark, sf), sync.missing(D.catalog(spark, sf), D.scan(spark, sf), ROOT)
     after = cut_lineage(sync.with_outcomes(_synced(spark, sf), D.extraction_results(spark, sf)))
-    C.write_snapshot(sync.next_snapshot(catalog, after, gone), root, 2)
-    return C.read_snapshot(spark, root, 2).select(
+    C.publish(sync.next_snapshot(catalog, after, gone), root, 2)
+    return C.read_current(spark, root).select(
         *[c for c in STATE if not c.endswith("_chars")], F.sha2("content", 256).alias("content_hash")
     )
 
@@ -141,6 +141,12 @@ def _repair(spark, sf):
     )
 
 
+def _flags(spark, sf):
+    path = run_folder(spark, "meta")
+    C.write_meta(D.metadata(spark, sf), path)
+    return sync.repair_flags(C.read_meta(spark, path))
+
+
 def _pdf_layers(spark, sf):
     layers = D.catalog(spark, sf).filter(F.col("extension") == ".pdf").select(
         "filepath", F.col("content").alias("text"), F.lit(4).alias("total_pages")
@@ -153,6 +159,13 @@ SYNC = {
     "sync_classify": _sync_classify,
     "sync_apply": lambda spark, sf: _synced(spark, sf).select(*STATE, "sync_action", "should_extract"),
     "sync_missing": lambda spark, sf: sync.missing(D.catalog(spark, sf), D.scan(spark, sf), ROOT),
+    "sync_missing_unread": lambda spark, sf: sync.missing(
+        D.catalog(spark, sf), D.scan(spark, sf), ROOT, D.unread_folders(spark, sf)
+    ),
+    "sync_apply_unread": lambda spark, sf: sync.sync(
+        D.catalog(spark, sf), D.scan(spark, sf), ROOT, D.unread_folders(spark, sf)
+    ).select(*STATE, "sync_action", "should_extract"),
+    "metadata_flags": _flags,
     "sync_counters": _counters,
     "extraction_outcome": _outcome,
     "catalog_snapshot": _snapshot,
@@ -161,15 +174,23 @@ SYNC = {
 }
 
 
+#: Time of the recognition run, in seconds.
+NOW = 1_800_000_000.0
+
+
 def _ocr_merge(spark, sf):
-    return ocr.merge(D.catalog(spark, sf), D.ocr_pages(spark, sf))
+    return ocr.merge(D.catalog(spark, sf), D.ocr_pages(spark, sf), NOW)
+
+
+def _ocr_finish(spark, sf):
+    return ocr.finish(_ocr_merge(spark, sf), NOW)
 
 
 OCR = {
     "ocr_queue": _on_catalog(ocr.queue),
     "ocr_merge_pages": _ocr_merge,
-    "ocr_finish": lambda spark, sf: ocr.finish(_ocr_merge(spark, sf)),
-    "ocr_run_counters": lambda spark, sf: ocr.run_counters(ocr.finish(_ocr_merge(spark, sf))),
+    "ocr_finish": _ocr_finish,
+    "ocr_run_counters": lambda spark, sf: ocr.run_counters(_ocr_finish(spark, sf)),
     "ocr_stop": lambda spark, sf: ocr.after_stop(D.catalog(spark, sf)).select("id", "extraction_status"),
 }
 

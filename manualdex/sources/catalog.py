@@ -27,7 +27,7 @@ def with_text_facts(files: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for inputs of fewer splits than cores; larger inputs stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def snapshot_path(root: str, version: int) -> str:
@@ -45,6 +45,22 @@ def read_snapshot(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(snapshot_path(root, version))
 
 
+def publish(files: DataFrame, root: str, version: int) -> None:
+    """Write a version and then, last of all, a pointer to it: readers never see half a catalog."""
+    write_snapshot(files, root, version)
+    pointer = files.sparkSession.range(1).select(F.lit(version).cast("long").alias("version"))
+    pointer.write.mode("append").parquet(f"{root}/current")
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """The newest published version."""
+    return spark.read.schema("version long").parquet(f"{root}/current").agg(F.max("version")).first()[0]
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    return read_snapshot(spark, root, current_version(spark, root))
+
+
 def write_meta(pairs: DataFrame, path: str) -> None:
     pairs.select(*META.fieldNames()).write.mode("overwrite").parquet(path)
 

@@ -41,7 +41,9 @@ SELECT doc_id AS id, filename,
             ELSE 'ok' END AS extraction_status,
        CASE WHEN doc_id % 17 = 0 THEN 'Extraction error: sample' ELSE NULL END AS extraction_error,
        CAST(CASE WHEN extension = '.tif' THEN doc_id % 3 ELSE 0 END AS INT) AS ocr_page,
-       CAST(CASE WHEN extension = '.tif' THEN 3 + doc_id % 4 ELSE 0 END AS INT) AS ocr_total_pages
+       CAST(CASE WHEN extension = '.tif' THEN 3 + doc_id % 4 ELSE 0 END AS INT) AS ocr_total_pages,
+       CASE WHEN doc_id % 6 > 0 THEN 'hash-' || CAST(doc_id * 7 AS STRING) END AS file_hash,
+       CASE WHEN extension = '.tif' AND doc_id % 3 > 0 THEN CAST(1700000000 + doc_id AS DOUBLE) END AS ocr_updated
 FROM (SELECT *,
         CASE WHEN doc_id % 3 = 0 THEN model || ' manual' || extension
              ELSE source || '_' || lang || extension END AS filename
@@ -125,7 +127,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived catalog as a stored table, written once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        root = session.run_folder(spark, "catalog")
+        root = session.lasting_folder(spark, "catalog")
         C.write_snapshot(C.spread(files(spark, sf_dir)), root, 1)
         _written[key] = root
     return C.read_snapshot(spark, _written[key], 1)
@@ -146,6 +148,19 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SCAN_SQL, files=catalog(spark, sf_dir))
 
 
+# Folders that a listing could not read: their files are neither listed nor gone.
+UNREAD_SQL = "SELECT DISTINCT '/lib/' || lang || '/Grove' AS path FROM {documents} UNION SELECT '/lib/en/Terex'"
+METADATA_SQL = "SELECT 'files_' || lang AS key, CAST(count(*) AS STRING) AS value FROM {documents} GROUP BY lang"
+
+
+def unread_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(UNREAD_SQL, documents=table(spark, sf_dir, "documents"))
+
+
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(METADATA_SQL, documents=table(spark, sf_dir, "documents"))
+
+
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(OCR_PAGES_SQL, files=catalog(spark, sf_dir))
 
@@ -262,7 +277,7 @@ def text_folder(spark: SparkSession, sf_dir: str) -> str:
     to be read back whole."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _folders:
-        path = session.run_folder(spark, "folder")
+        path = session.lasting_folder(spark, "folder")
         table(spark, sf_dir, "documents").select("lang", "text").write.option(
             "maxRecordsPerFile", 1000
         ).partitionBy("lang").text(path)
