@@ -11,18 +11,21 @@ from manualdex.session import cut_lineage
 
 
 def keyed(files: DataFrame) -> DataFrame:
-    """Local, present files with their name key and content hash.
+    """Local, present files that share their name, with their name key and content hash.
 
-    The hash is taken where the text is read, so only 64 hexadecimal digits per file,
-    never the text, are shuffled.
+    Names are counted on the narrow columns first, and only texts of files whose name occurs twice are
+    hashed. The hash is taken where the text is read, so only 64 hexadecimal digits per file,
+    never the text, are shuffled as long as the repeated names fit a broadcast.
     """
+    named = files.withColumn("name_key", X.strip(F.lower(F.coalesce(F.col("filename"), F.lit(""))))).filter(
+        F.col("name_key") != ""
+    )
+    repeated = cut_lineage(
+        named.groupBy("name_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name_key")
+    )
     return (
-        files.withColumn("name_key", X.strip(F.lower(F.coalesce(F.col("filename"), F.lit("")))))
-        .filter(
-            (F.col("name_key") != "")
-            & (F.coalesce(F.col("is_cloud"), F.lit(0)) == 0)
-            & F.col("content").isNotNull()
-        )
+        named.filter((F.coalesce(F.col("is_cloud"), F.lit(0)) == 0) & F.col("content").isNotNull())
+        .join(repeated, "name_key", "left_semi")
         .select(
             "id", "filename", "filepath", "name_key",
             F.sha2(F.col("content").cast("binary"), 256).alias("hash"),

@@ -1,4 +1,4 @@
-"""SQL for file-reading and streaming jobs (the folder listing has none)."""
+"""SQL for file-reading and streaming jobs and listings."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ _LATIN = "".join(chr(i) for i in range(0x80, 0x100) if i != 0x98)
 _CYRILLIC = bytes(i for i in range(0x80, 0x100) if i != 0x98).decode("cp1251")
 
 FILES = {
+    "scan_folder": """
+SELECT lang, '.txt' AS extension, 0 AS is_cloud, TRUE AS extractable,
+  CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang""",
     "folder_text": "SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY lang",
     "decode_text": rf"""
 SELECT doc_id AS id, CASE WHEN doc_id % 3 = 1 AND NOT regexp_matches(text, '[^\x00-\x{{ff}}]')

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from manualdex.plans.registered_catalog import NOW
 from manualdex.sources import derived as D
 from manualdex.sources import folder as Fo
 from manualdex.streaming import jobs as J
 
 
 def _scan_folder(spark, sf):
-    files = Fo.scan_folder(spark, D.text_folder(spark, sf)).filter(F.col("extension") == ".txt")
-    return files.select(
-        "filename", "extension", "size", "is_cloud", "extractable"
-    )
+    """All files of the written folder but the checksums that the file system keeps beside them."""
+    files = Fo.scan_folder(spark, D.text_folder(spark, sf)).filter(~F.col("filename").startswith("."))
+    lang = F.regexp_extract("filepath", "/lang=([^/]+)/", 1).alias("lang")
+    return files.groupBy(lang, "extension", "is_cloud", "extractable").agg(F.sum("size").alias("bytes"))
 
 
 def _folder_text(spark, sf):
@@ -33,11 +32,11 @@ def _stream_sync(spark, sf):
 
 
 def _stream_pages(spark, sf):
-    return J.stream_ocr_pages(D.ocr_page_stream(spark, sf), D.catalog(spark, sf))
+    return J.stream_ocr_pages(D.ocr_page_stream(spark, sf), D.catalog(spark, sf), now=NOW)
 
 
 def _stream_status(spark, sf):
-    return J.stream_status_counts(D.files_stream(spark, sf), f"status_{uuid.uuid4().hex}")
+    return J.stream_status_counts(D.files_stream(spark, sf))
 
 
 FILES = {

@@ -280,7 +280,7 @@ def text_folder(spark: SparkSession, sf_dir: str) -> str:
         path = session.lasting_folder(spark, "folder")
         table(spark, sf_dir, "documents").select("lang", "text").write.option(
             "maxRecordsPerFile", 1000
-        ).partitionBy("lang").text(path)
+        ).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy("lang").text(path)
         _folders[key] = path
     return _folders[key]
 

@@ -42,35 +42,39 @@ def local_path(path: Column) -> Column:
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Direct entries of each directory, in bounded pieces; unreadable ones are skipped."""
-    columns = ["path", "filename", "is_dir", "size", "modified"]
+    """Direct entries of each directory, in bounded pieces. A path that is there but can't be read gives a
+    ``failed`` row; one that is gone gives none."""
+    columns = ["path", "filename", "is_dir", "size", "modified", "failed"]
     rows: list[tuple] = []
     for batch in batches:
         for folder in batch["path"]:
             try:
-                entries = os.scandir(folder)
-            except OSError:
+                for entry in os.scandir(folder):
+                    try:
+                        if entry.is_dir(follow_symlinks=False):
+                            rows.append((entry.path, entry.name, True, 0, 0.0, False))
+                        elif entry.is_file():
+                            stat = entry.stat()
+                            rows.append((entry.path, entry.name, False, stat.st_size, stat.st_mtime, False))
+                    except FileNotFoundError:
+                        continue
+                    except OSError:
+                        rows.append((entry.path, entry.name, False, 0, 0.0, True))
+                    if len(rows) >= ENTRIES_PER_PIECE:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            except (FileNotFoundError, NotADirectoryError):
                 continue
-            for entry in entries:
-                try:
-                    if entry.is_dir(follow_symlinks=False):
-                        rows.append((entry.path, entry.name, True, 0, 0.0))
-                    elif entry.is_file():
-                        stat = entry.stat()
-                        rows.append((entry.path, entry.name, False, stat.st_size, stat.st_mtime))
-                except OSError:
-                    continue
-                if len(rows) >= ENTRIES_PER_PIECE:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+            except OSError:
+                rows.append((folder, os.path.basename(folder), False, 0, 0.0, True))
     yield pd.DataFrame(rows, columns=columns)
 
 
 def _walk(spark: SparkSession, folder: str) -> DataFrame:
-    """All files below a mounted folder. Directories of one depth are listed in parallel,
-    and each depth is written to the shared folder, so a lost task lists only its share."""
+    """All files and failed paths below a mounted folder. Directories of one depth are listed in
+    parallel, and each depth is written to the shared folder, so a lost task lists only its share."""
     work = run_folder(spark, "walk")
-    schema = "path string, filename string, is_dir boolean, size bigint, modified double"
+    schema = "path string, filename string, is_dir boolean, size bigint, modified double, failed boolean"
     folders = spark.createDataFrame([(folder,)], "path string")
     depth, more = 0, True
     while more:
@@ -80,7 +84,9 @@ def _walk(spark: SparkSession, folder: str) -> DataFrame:
         folders = spark.read.schema(schema).parquet(level).filter("is_dir").select("path")
         more, depth = not folders.isEmpty(), depth + 1
     files = spark.read.schema(schema).option("basePath", work).parquet(f"{work}/depth=*")
-    return files.filter("NOT is_dir").select("filename", F.col("path").alias("filepath"), "size", "modified")
+    return files.filter("NOT is_dir").select(
+        "filename", F.col("path").alias("filepath"), "size", "modified", "failed"
+    )
 
 
 def _listed_by_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,23 +109,35 @@ def _listed_by_source(spark: SparkSession, folder: str) -> DataFrame:
 def scan_folder(
     spark: SparkSession, folder: str, attributes: DataFrame | None = None
 ) -> DataFrame:
-    """Listing of every file, supported or not; an absent folder gives an empty one.
+    """Listing of every file, supported or not; an absent folder gives an empty one."""
+    return list_folder(spark, folder, attributes)[0]
+
 
-    A path without scheme is a folder mounted on all executors. ``attributes`` (filepath,
-    attributes) supplies storage attribute bits where they are known.
+def list_folder(
+    spark: SparkSession, folder: str, attributes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The listing of a folder, and the paths (``path``) in it that could not be read.
+
+    A path without scheme is a folder mounted on all executors. Of another store Spark's own
+    listing fails as a whole when a part can't be read, so it has no failed paths. ``attributes``
+    (filepath, attributes) supplies storage attribute bits where they are known.
     """
-    remote = "://" in folder
-    rows = _listed_by_source(spark, folder) if remote else _walk(spark, folder)
-    rows = rows.withColumn("extension", extension_of(F.col("filename")))
+    if "://" in folder:
+        found = _listed_by_source(spark, folder).withColumn("failed", F.lit(False))
+    else:
+        found = _walk(spark, folder)
+    failed = found.filter("failed").select(F.col("filepath").alias("path"))
+    rows = found.filter("NOT failed").withColumn("extension", extension_of(F.col("filename")))
     if attributes is None:
         cloud = F.lit(0)
     else:
         rows = rows.join(attributes, "filepath", "left")
         cloud = Sc.is_cloud(F.col("attributes")).cast("int")
-    return rows.select(
+    listing = rows.select(
         "filename", "filepath", "extension", "size", "modified", cloud.alias("is_cloud"),
         Sc.is_extractable(F.col("extension")).alias("extractable"),
     )
+    return listing, failed
 
 
 def _high(page: str, without: tuple[int, ...] = ()) -> tuple[str, str]:
