@@ -28,6 +28,11 @@ def document_keys(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit(ANY_KEY)), runs, tokens))
 
 
+def keys_of(files: DataFrame) -> Column:
+    """The stored keys of a catalog version, or those worked out from the texts."""
+    return F.col("keys") if "keys" in files.columns else document_keys(searchable_text())
+
+
 def requirement_keys(kind: Column, value: Column) -> Column:
     """Keys every matching document has. Codes need each of their runs whole, words each
     of their alphanumeric parts whole; a word of punctuation only needs nothing."""
@@ -43,7 +48,7 @@ def frequent_keys(files: DataFrame, share: float = FREQUENT_SHARE) -> DataFrame:
     rows however large the catalog is. A key not in it is rarer than all of them.
     """
     total = files.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    keys = files.select(F.explode_outer(document_keys(searchable_text())).alias("key"))
+    keys = files.select(F.explode_outer(keys_of(files)).alias("key"))
     return (
         keys.groupBy("key")
         .agg(F.count(F.lit(1)).alias("documents"))

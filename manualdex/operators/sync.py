@@ -341,11 +341,13 @@ def next_snapshot(catalog: DataFrame, after: DataFrame, gone: DataFrame) -> Data
         "id",
         *[F.when(edited, edit[c]).otherwise(F.col(c)).alias(c) for c in columns],
         content.alias("content"),
+        # Search keys of edited rows are made anew when the version is written.
+        *([F.when(~edited, F.col("keys")).alias("keys")] if "keys" in catalog.columns else []),
     )
     new_rows = after.filter(F.col("sync_action") == "new").select(
         "id", *columns, F.col("new_content").alias("content")
     )
-    return old_rows.unionByName(new_rows)
+    return old_rows.unionByName(new_rows, allowMissingColumns=True)
 
 
 def repair(old: DataFrame, image_queue_done: bool) -> DataFrame:

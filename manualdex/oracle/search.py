@@ -96,6 +96,8 @@ SEARCH = {
     "search_multi": _search("dana"),
     "diagnostic_search": _search("onk_e10"),
     "diagnostic_search_three": _search("pat_ds350_e15"),
+    "search_by_postings": _search("ds350"),
+    "search_by_postings_multi": _search("pat_ds350_e15"),
     "search_request_limit": _search("ac35l", 50),
     "search_snippets": f"""
 {O.WITH_FILES} SELECT id, {O.snippet(Q['terex_onk'])} AS snippet

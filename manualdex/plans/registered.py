@@ -15,6 +15,10 @@ def _search(query: str, **kw):
     return lambda spark, sf: S.search(D.catalog(spark, sf), query, **kw)
 
 
+def _by_postings(query: str):
+    return lambda spark, sf: S.search_by_postings(D.catalog(spark, sf), D.postings(spark, sf), query)
+
+
 def _snippets(spark, sf):
     files = D.catalog(spark, sf)
     reqs = M.read_query(spark, "terex онк160с")
@@ -158,6 +162,8 @@ SEARCH = {
     "search_multi": _search("dana spicer"),
     "diagnostic_search": _search("онк160с e10"),
     "diagnostic_search_three": _search("pat ds350 e15"),
+    "search_by_postings": _by_postings("ds350"),
+    "search_by_postings_multi": _by_postings("pat ds350 e15"),
     "search_request_limit": _search("ac 35 l", limit=S.REQUEST_LIMIT),
     "search_snippets": _snippets,
     "search_summary": _search_summary,

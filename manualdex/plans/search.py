@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from manualdex.functions import excerpt as E
+from manualdex.functions import text as X
 from manualdex.operators import matching as M
+from manualdex.operators import postings as P
 from manualdex.operators.topk import top_k
+from manualdex.session import cut_lineage
 
 # Limits and the text shown when only name or path matched.
 SEARCH_LIMIT = 200
@@ -73,10 +76,32 @@ def search(
     return top_k(hits, rank_order(), limit).select(*RESULT_COLUMNS)
 
 
+def search_by_postings(
+    files: DataFrame, postings: DataFrame, query: str, limit: int = SEARCH_LIMIT
+) -> DataFrame:
+    """``search`` over the documents that hold all keys of the query, taken from the stored postings.
+
+    The look-up reads the row groups of the query's keys alone. Its ids are written, and while they
+    are few the catalog is cut to them by a broadcast before any text is tested.
+    """
+    spark = files.sparkSession
+    asked = spark.sql("SELECT :query AS query FROM VALUES (1)", args={"query": query}).select(
+        F.array_distinct(
+            F.flatten(
+                F.transform(X.requirements(F.col("query")), lambda r: P.requirement_keys(r["kind"], r["value"]))
+            )
+        ).alias("keys")
+    )
+    keys = asked.first()["keys"]
+    if not keys:
+        return search(files, query, limit)
+    held = postings.filter(F.col("key").isin(*keys)).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    found = cut_lineage(held.filter(F.col("n") == len(keys)).select("id"))
+    return search(files.join(found, "id", "left_semi"), query, limit)
+
+
 def coarse_filter(reqs: list[M.Requirement]) -> Column:
     """Superset of the matches from substring tests on look-alike-folded lower case."""
-    from manualdex.functions import text as X
-
     tests = []
     for r in reqs:
         if r.kind == "word":

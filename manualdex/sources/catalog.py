@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manualdex.functions import text as X
+from manualdex.operators import postings as P
 from manualdex.schema import META
 
 TEXT_FACTS = ("content_chars", "trimmed_chars", "stripped_chars")
@@ -24,6 +25,22 @@ def with_text_facts(files: DataFrame) -> DataFrame:
     return files.withColumns(missing) if missing else files
 
 
+def with_search_keys(files: DataFrame) -> DataFrame:
+    """Add the keys that searches look documents up by; stored ones are kept where they are there."""
+    keys = P.document_keys(P.searchable_text())
+    return files.withColumn("keys", F.coalesce("keys", keys) if "keys" in files.columns else keys)
+
+
+def write_postings(files: DataFrame, path: str) -> None:
+    """One row per key and document, in files sorted by key: a look-up reads the row groups of its keys."""
+    rows = files.select(F.explode("keys").alias("key"), "id")
+    rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id").write.mode("overwrite").parquet(path)
+
+
+def postings_path(root: str, version: int) -> str:
+    return f"{root}/postings={version:08d}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for inputs of fewer splits than cores; larger inputs stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -35,9 +52,11 @@ def snapshot_path(root: str, version: int) -> str:
 
 
 def write_snapshot(files: DataFrame, root: str, version: int) -> str:
-    """Write one full catalog version; readers of the previous one are undisturbed."""
+    """Write one full catalog version with its search keys and postings; readers of the previous one are
+    undisturbed."""
     path = snapshot_path(root, version)
-    with_text_facts(files).write.mode("overwrite").parquet(path)
+    with_search_keys(with_text_facts(files)).write.mode("overwrite").parquet(path)
+    write_postings(files.sparkSession.read.parquet(path), postings_path(root, version))
     return path
 
 

@@ -133,6 +133,12 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.read_snapshot(spark, _written[key], 1)
 
 
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings stored with the derived catalog."""
+    catalog(spark, sf_dir)
+    return spark.read.parquet(C.postings_path(_written[spark.sparkContext.applicationId, sf_dir], 1))
+
+
 def frequent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Common keys of the derived catalog, written beside it on first use."""
     files = catalog(spark, sf_dir)
