@@ -1,6 +1,7 @@
 """Folder listings, text decoding and office texts on files written for the test."""
 
 import io
+import os
 import zipfile
 
 from pyspark.sql import functions as F
@@ -38,6 +39,21 @@ def test_scan_folder(spark, tmp_path):
     assert Fo.scan_folder(spark, f"file://{tmp_path}/absent").count() == 0
 
 
+def test_unreadable_paths_are_told_apart(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"1")
+    os.symlink(tmp_path / "loop", tmp_path / "loop")
+    listing, failed = Fo.list_folder(spark, str(tmp_path))
+    assert [r["filename"] for r in listing.collect()] == ["a.txt"]
+    assert [r["path"] for r in failed.collect()] == [str(tmp_path / "loop")]
+    assert Fo.list_folder(spark, str(tmp_path / "absent"))[1].count() == 0
+
+
+def test_decoding_runs_no_python(spark):
+    df = spark.createDataFrame([(b"x",)], "content binary")
+    plan = Fo.decode_text(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_scan_folder_prunes_contents(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"1")
     listed = Fo.scan_folder(spark, f"file://{tmp_path}")

@@ -1,5 +1,6 @@
 """Top-k, numbering, salted joins, duplicates, sync and streaming."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from manualdex.operators import duplicates, sync
 from manualdex.operators.numbering import number_rows
 from manualdex.operators.skew import join_groups
 from manualdex.operators.topk import top_k
+from manualdex.session import cut_lineage, run_scope
 from manualdex.sources import catalog as C
 from manualdex.sources import derived as D
 from manualdex.streaming import jobs as J
@@ -115,14 +117,63 @@ def test_long_documents_merge_in_page_order(spark):
     from manualdex.operators import ocr
 
     files = spark.createDataFrame(
-        [(1, "a.tif", ".tif", "ocr_pending", None, "start", 2, 700)],
+        [(1, "a.tif", ".tif", "ocr_pending", None, "start", 2, 700, None)],
         "id long, filename string, extension string, extraction_status string, "
-        "extraction_error string, content string, ocr_page int, ocr_total_pages int",
+        "extraction_error string, content string, ocr_page int, ocr_total_pages int, ocr_updated double",
     )
     pages = spark.range(1, 701).select(
         F.lit(1).cast("long").alias("file_id"), F.col("id").cast("int").alias("page"),
         F.lit(700).alias("total_pages"), F.concat(F.lit("p"), "id").alias("text"),
     )
-    row = ocr.finish(ocr.merge(files, pages)).first()
+    row = ocr.finish(ocr.merge(files, pages, 5.0), 7.0).first()
     assert row["content"] == "start\n" + "\n".join(f"p{i}" for i in range(3, 701))
-    assert (row["extraction_status"], row["ocr_page"]) == ("ok", 700)
+    assert (row["extraction_status"], row["ocr_page"], row["ocr_updated"]) == ("ok", 700, 7.0)
+
+
+def test_rows_below_unread_folders_stay(spark, sf):
+    catalog, empty = D.catalog(spark, sf), D.scan(spark, sf).limit(0)
+    failed = spark.createDataFrame([("/lib/en/",), ("/lib/d",), ("/elsewhere",)], "path string")
+    unread = F.col("filepath").startswith("/lib/en/")
+    assert sync.missing(catalog, empty, "/lib", failed).count() == catalog.filter(~unread).count()
+    kept = sync.sync(catalog, empty, "/lib", failed)
+    assert kept.count() == kept.filter(unread).count() == catalog.filter(unread).count()
+    everything = spark.createDataFrame([("/",)], "path string")
+    assert sync.missing(catalog, empty, "/lib", everything).count() == 0
+
+
+def test_stream_without_files(spark, sf, tmp_path):
+    catalog, listing = D.catalog(spark, sf), D.scan(spark, sf)
+    (tmp_path / "listing").mkdir()
+    source = spark.readStream.schema(listing.schema).parquet(str(tmp_path / "listing"))
+    kept = J.stream_sync(source, catalog, "/lib", str(tmp_path / "a"))
+    assert kept.filter("sync_action = 'kept'").count() == catalog.count()
+    dropped = J.stream_sync(source, catalog, "/lib", str(tmp_path / "b"), empty_deletes=True)
+    assert dropped.count() == 0
+    counts = J.stream_status_counts(
+        spark.readStream.schema("extraction_status string").parquet(str(tmp_path / "listing")), str(tmp_path / "c")
+    )
+    assert counts.count() == 0
+
+
+def test_micro_batches_do_not_shuffle_the_catalog(spark, sf):
+    rows = cut_lineage(D.scan(spark, sf).limit(20).select("filepath", *sync.LISTED))
+    plan = sync.classify(D.catalog(spark, sf), rows, "/lib", listed_only=True)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_published_version_is_the_newest(spark, tmp_path):
+    files = spark.createDataFrame([(1, "a.txt", "/a.txt", "some words")], "id long, filename string, filepath string, content string")
+    for version in (1, 2):
+        C.publish(files.withColumn("content", F.lit(f"text of {version}")), str(tmp_path), version)
+    assert C.current_version(spark, str(tmp_path)) == 2
+    row = C.read_current(spark, str(tmp_path)).first()
+    assert row["content"] == "text of 2" and {"2", "text", "txt", "*"} <= set(row["keys"])
+
+
+def test_run_scope_removes_what_it_wrote(spark):
+    with run_scope(spark) as folder:
+        assert cut_lineage(spark.range(5)).count() == 5
+        inside = cut_lineage(spark.range(3)).inputFiles()
+        assert all(folder in f for f in inside)
+    assert not os.path.exists(folder.removeprefix("file:"))

@@ -63,6 +63,40 @@ def test_batch_equals_single_search(spark, sf, broadcast):
     assert got == want
 
 
+def test_shuffled_search_moves_keys_and_no_texts(spark, sf):
+    """With no broadcast at all: documents and queries meet by key, and the shuffled rows hold no text."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        files = D.catalog(spark, sf)
+        questions = spark.createDataFrame(list(enumerate(COUNTS)), "question_id long, query string")
+        queries = B.distinct_queries(B.with_query_key(questions))
+        got = B.search_queries(files, queries, 20, D.frequent_keys(spark, sf), broadcast=False).collect()
+        want = B.search_queries(files, queries, 20, D.frequent_keys(spark, sf), broadcast=True).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and want
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_query_without_tokens_gives_nothing(spark, sf):
+    from manualdex.plans import assist, explain
+
+    files = D.catalog(spark, sf)
+    assert assist.context_chunks(files, "???").count() == 0
+    assert explain.match_explain(files, "???", "160").count() == 0
+    assert explain.variant_examples(files, "онк160с", "???").count() == 0
+    assert files.filter(M.matches_all([])).count() == 0
+    assert S.search_by_postings(files, D.postings(spark, sf), "???").count() == 0
+
+
+@pytest.mark.parametrize("query", ["ds350", "pat e15", "dana spicer", "онк160с e10"])
+def test_postings_give_the_same_results(spark, sf, query):
+    files = D.catalog(spark, sf)
+    got = S.search_by_postings(files, D.postings(spark, sf), query).collect()
+    assert got == S.search(files, query).collect()
+
+
 def test_hot_question(spark, sf):
     """One query asked by most questions, joined over salted partitions."""
     questions = spark.range(3000).select(
