@@ -77,3 +77,20 @@ def test_components_of_long_chains_and_hubs(spark):
 def test_match_threshold_keeps_nearly_all_pairs():
     t = minhash.match_threshold(32, 0.8)
     assert 8 <= t <= 16 and minhash.match_threshold(32, 0.85) >= t
+
+
+def test_dense_family_around_the_threshold(spark):
+    """Copies of one text, each with a random part of the same edits: many pairs lie near the threshold."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    sites = rng.sample(range(150), 40)
+    rows = []
+    for i in range(260):
+        copy = list(base)
+        for at in rng.sample(sites, rng.choice([1, 3, 6, 9, 12])):
+            copy[at] = f"e{at}"
+        rows.append((i, " ".join(copy), "en", "a"))
+    got = minhash.near_duplicates(data.documents(spark, rows), 3, 85).collect()
+    want = data.near([(i, t) for i, t, *_ in rows], 3, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 1 < len({c for _, c in want.values()}) < 260

@@ -104,7 +104,7 @@ def test_windows_match_a_full_comparison(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.contaminated(docs, bench).collect()}
     want = windows([(i, t) for i, t, *_ in rows], items)
-    assert got.keys() == want.keys() and len(want) > 30
+    assert got.keys() == want.keys() and len(want) > 20
     assert all(got[k] == pytest.approx(want[k]) for k in want)
     clean = decontaminate.clean_rows(docs, bench)
     assert {r.doc_id for r in clean.collect()} == {i for i, *_ in rows} - {i for i, _ in want}
