@@ -5,10 +5,11 @@ stands unchanged in the longer one, at one of a few places that its length allow
 its segments under (its length, segment number, segment), and probes for every length that a partner may
 have, at every place that a segment can have moved to, under the same kind of key.
 
-Equal lines are one class first, known by two hashes, and only narrow rows are shuffled. A class carries a
-64-bit sketch, in which every character flips one bit: an edit flips at most two, so classes whose sketches
-differ in more than 2 * threshold bits are no partners, and that is tested inside the join. The texts of the
-candidates are fetched once, and each pair is verified by an edit distance whose band of 2 * threshold + 1
+Equal lines are one class first, known by two hashes, and only narrow rows are shuffled. Keys that one line
+alone holds are dropped; the texts of the lines left are fetched once. Each gets a sketch, the counts of
+seven kinds of characters in one long: an edit changes two counts by one at most, so lines whose counts differ by more
+than 2 * threshold in sum are no partners, and that is tested inside the join. Each pair that passes is
+verified by an edit distance whose band of 2 * threshold + 1
 cells is one machine word, moved along the lines character by character.
 
 A list of one key is first linked to its leader alone; only lists that still hold several components are
@@ -25,6 +26,10 @@ from manualdex.session import cut_lineage
 
 #: Lines with fewer characters have no near-equals, only equals.
 MIN_CHARS = 12
+#: Lines of up to two to this power of characters have their whole common start cut off.
+LONGEST_BITS = 20
+#: Kinds of characters that a sketch counts.
+KINDS = ("e", "a", "n", "t", "ro", "is", "0123456789")
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -60,12 +65,21 @@ def _keys(line: Column, length: Column, threshold: int) -> Column:
 
 
 def _sketch(line: Column) -> Column:
-    """64 bits, each the parity of how often characters of its kind occur."""
-    return F.aggregate(
-        F.split(line, ""),
-        F.lit(0).cast("long"),
-        lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(63))),
-    )
+    """The counts of the ``KINDS`` of characters, modulo 512, nine bits each."""
+    out = F.lit(0).cast("long")
+    for i, kind in enumerate(KINDS):
+        count = (F.length(line) - F.length(F.translate(line, kind, ""))) % 512
+        out = out + count.cast("long") * F.lit(1 << (9 * i)).cast("long")
+    return out
+
+
+def _apart(a: str, b: str) -> Column:
+    """Sum of the differences of the counts of two sketches, around 512."""
+    out = F.lit(0)
+    for i in range(len(KINDS)):
+        x, y = (F.shiftright(c, 9 * i).bitwiseAND(511) for c in (a, b))
+        out = out + F.least(F.abs(x - y), 512 - F.abs(x - y))
+    return out
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -147,8 +161,8 @@ def line_classes(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", te
     size = F.length("line")
     posts = (
         every.filter(size >= MIN_CHARS)
-        .select("id", size.alias("n"), _sketch(F.col("line")).alias("sketch"), F.explode(_keys(F.col("line"), size, threshold)).alias("k"))
-        .select("id", "n", "sketch", F.col("k.key").alias("key"), F.col("k.posted").alias("posted"))
+        .select("id", size.alias("n"), F.explode(_keys(F.col("line"), size, threshold)).alias("k"))
+        .select("id", "n", F.col("k.key").alias("key"), F.col("k.posted").alias("posted"))
     )
     # Lists with one line only are of no use; a list's leader is its smallest posted line.
     lists = (
@@ -163,7 +177,10 @@ def line_classes(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", te
         .join(open_posts.select("id").distinct(), "id", "left_semi")
         .groupBy("id")
         .agg(F.first("line").alias("line"))
+        .withColumn("sketch", _sketch(F.col("line")))
     )
+    open_posts = cut_lineage(open_posts.join(texts.select("id", "sketch"), "id"))
+    texts = texts.select("id", "line")
     leaders = open_posts.filter("posted AND id = leader").select(
         "key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")
     )
@@ -223,20 +240,40 @@ def line_classes(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", te
 
 
 def _may_link(threshold: int) -> Column:
-    return (F.abs(F.col("na") - F.col("nb")) <= threshold) & (
-        F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * threshold
-    )
+    return (F.abs(F.col("na") - F.col("nb")) <= threshold) & (_apart("sa", "sb") <= 2 * threshold)
+
+
+def _shared_head(a: str, b: str) -> Column:
+    """How many characters two different strings have in common at their start, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(LONGEST_BITS, -1, -1)])
+
+    def longer(n: Column, step: Column) -> Column:
+        same = F.substring(a, F.lit(1), n + step) == F.substring(b, F.lit(1), n + step)
+        return F.when(same, n + step).otherwise(n)
+
+    return F.aggregate(steps, F.lit(0), longer)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The ``pairs`` of lines (``a``, ``b``) whose edit distance is at most ``threshold``."""
-    return cut_lineage(
+    """The ``pairs`` of lines (``a``, ``b``) whose edit distance is at most ``threshold``.
+
+    What two lines have in common at both ends doesn't change their distance and is cut off first. The
+    work of a pair is large for its bytes, so pairs are dealt over all partitions.
+    """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = (
         cut_lineage(pairs)
         .join(texts.toDF("a", "line_a"), "a")
         .join(texts.toDF("b", "line_b"), "b")
-        .filter(within(F.col("line_a"), F.col("line_b"), threshold))
-        .select("a", "b")
+        .repartition(parts)
     )
+    for _ in range(2):
+        both = both.withColumn("head", _shared_head("line_a", "line_b")).select(
+            "a",
+            "b",
+            *[F.reverse(F.substring(c, F.col("head") + 1, F.length(c))).alias(c) for c in ("line_a", "line_b")],
+        )
+    return cut_lineage(both.filter(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b"))
 
 
 def deduplicated(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
