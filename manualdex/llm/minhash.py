@@ -13,10 +13,12 @@
    it collides most, links are confirmed on the full sets, and components are formed. The first leaders
    are the classes whose tokens are the most common, which lie in the middle of a group of near copies.
    Lists in one component are done. In the others a class goes when too many of its shingles occur in no other
-   open class, as it can't reach the threshold with any. What is left gets another round of leaders, and
-   then the classes outside a list's largest component are joined with every class of another
-   component, so no pair that could join two components is left out, and a group of near copies
-   costs about as many pairs as it has members.
+   open class, as it can't reach the threshold with any. What is left gets another round of leaders. Then
+   the same prefix rule is used on whole shingle sets, where it is tightest: two classes at the
+   threshold share one of the rarest shingles of each, as many as either may lack and one more. Of each
+   shingle's list the classes outside its largest component are compared with every class of another
+   component, so no pair that could join two components is left out. They are compared with blocks of
+   classes, and a group of near copies makes about as many rows as it has members.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manualdex.llm import grams
@@ -36,8 +38,8 @@ from manualdex.session import cut_lineage
 
 #: Highest probability with which MinHash may miss a pair that is just at the threshold.
 MISS = 1e-6
-#: Rounds of linking to leaders before the remaining components are compared.
-ROUNDS = 2
+#: Shingles of all sets of a block.
+BLOCK = 1 << 16
 #: Shingles of one text that are hashed with all coordinates at once.
 CHUNK = 1 << 13
 
@@ -62,7 +64,8 @@ def _coordinates(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(
     docs: DataFrame, words: int, k: int, seed: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``k1``, ``k2`` (fingerprint of the set), ``sig`` (K coordinates) per row."""
+    """``doc_id``, ``text_key`` (of the text), ``n``, ``k1``, ``k2`` (size and fingerprint of the set of
+    shingles), ``sig`` (K coordinates) per row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, times = _coordinates(k, seed)
@@ -83,17 +86,23 @@ def signatures(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(sizes, pa.int64()),
                     pa.array(np.array(first_key, np.uint64).view(np.int64)),
                     pa.array(np.array(second_key, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
                 ],
-                ["doc_id", "n_shingles", "k1", "k2", "sig"],
+                ["doc_id", "text_key", "n", "k1", "k2", "sig"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _rows(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(sign, f"doc_id {kind}, n_shingles long, k1 long, k2 long, sig array<long>")
+    return rows.mapInArrow(sign, f"doc_id {kind}, text_key long, n long, k1 long, k2 long, sig array<long>")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def shingle_set(text: Column, words: int) -> Column:
@@ -118,15 +127,14 @@ def _collisions(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def _could(a: str, b: str, percent: int) -> Column:
+def _could(a: str, b: str | Column, percent: int) -> Column:
     """Sets of these sizes can reach the threshold."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) with 100 * intersection >= percent * union on their full sets."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     sets = (
         pairs.join(left, "a")
         .join(right, "b")
@@ -153,168 +161,205 @@ def near_duplicates(
     100 * intersection >= ``percent`` * union; ``component_id`` is the smallest id reachable over links.
 
     Defined cases: null, empty and white-space texts have an empty set, link with nothing and keep
-    their own id. Rows with one id are one node, whose links are those of all its texts. Rows
+    their own id. Rows with one id are linked. Rows
     without id stand for their text but give no name: their component is the smallest id reachable,
     or null, and they are kept only if it is null. An empty table gives no rows; other
     columns are ignored.
     """
     t = match_threshold(k, percent / 100)
     rows = cut_lineage(signatures(docs, words, k, id_col=id_col, text_col=text_col))
-    # One class per set; its representative is its smallest id.
+    # One class per set, numbered when it is written; its text is that of its smallest row.
     classes = cut_lineage(
-        rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy("k1", "k2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-        .select("k1", "k2", "rep", F.col("n_shingles").alias("n"), "sig")
-    )
-    tokens = classes.select("rep", "n", F.explode("sig").alias("token"))
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    order = F.sort_array(F.collect_list(F.struct("df", "token")))
-    # A class has k tokens for each of its sets; those that no other class has come first, unposted.
-    posted = (
-        tokens.join(common, "token")
-        .groupBy("rep", "n")
-        .agg(order.alias("shared"))
-        .filter(F.size("shared") >= t)
-        .withColumn("central", F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["df"]))
-        .select("rep", "n", "central", F.explode(F.expr(f"slice(shared, 1, size(shared) - {t} + 1)")).alias("p"))
-        .select("rep", "n", "central", F.col("p.token").alias("token"))
+        rows.filter("n > 0")
+        .groupBy("k1", "k2", "n")
+        .agg(
+            F.min("doc_id").alias("name"),
+            F.min(F.struct("doc_id", "text_key")).alias("row"),
+            F.first("sig").alias("sig"),
+        )
+        .withColumn("rep", F.monotonically_increasing_id())
     )
-    posted = cut_lineage(posted)
-    candidates = posted.select(F.col("rep").alias("doc_id")).distinct()
+    posted = cut_lineage(_posted(classes, k, t))
+    candidates = posted.select("rep").distinct()
+    sigs = cut_lineage(classes.join(candidates, "rep", "left_semi").select("rep", "n", "sig", "row"))
+    wanted = sigs.select("rep", F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_key"))
+    source = _rows(docs, id_col, text_col)
     texts = cut_lineage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
-            candidates, "doc_id", "left_semi"
+        source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+        .groupBy("rep")
+        .agg(F.first("text").alias("text"))
+    )
+    sigs = sigs.select("rep", "n", "sig")
+    sides = sigs.toDF("a", "na", "sa"), sigs.toDF("b", "nb", "sb")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that collide in ``t`` coordinates and are confirmed on their full sets."""
+        near = (
+            pairs.join(sides[0], "a")
+            .join(sides[1], "b")
+            .filter(_could("na", "nb", percent) & (_collisions("sa", "sb") >= t))
+            .select("a", "b")
+        )
+        return cut_lineage(_confirmed(near, texts, words, percent))
+
+    def placed(found: DataFrame, posts: DataFrame) -> DataFrame:
+        known = components(found)
+        return posts.join(known, posts["rep"] == known["id"], "left").select(
+            *posts.columns, F.coalesce("component", "rep").alias("comp")
+        )
+
+    leaders = cut_lineage(_to_leaders(posted.withColumn("comp", F.col("rep")), 0))
+    found = linked(leaders)
+    posts = cut_lineage(_open(placed(found, posted)))
+    shingles = cut_lineage(
+        texts.join(posts.select("rep").distinct(), "rep", "left_semi").select(
+            "rep", F.explode(shingle_set(F.col("text"), words)).alias("shingle")
         )
     )
-    sigs = classes.join(candidates, F.col("rep") == F.col("doc_id"), "left_semi").select("rep", "n", "sig")
-    sigs = cut_lineage(sigs)
-    # Rows that share an id are one node: link the representatives of its sets.
-    links = (
-        rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        .select("doc_id", "k1", "k2", F.col("n_shingles").alias("n"))
+    posts = cut_lineage(_able(posts, shingles, percent))
+    found = found.union(linked(_to_leaders(posts, 1)))
+    posts = cut_lineage(_open(placed(found, posts.drop("comp"))))
+    found = found.union(_across(posts, shingles, leaders, percent))
+
+    # Rows that share an id are linked: the classes of an id with the first of them.
+    held = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "k2", "n")
+    repeated = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    own = (
+        held.join(repeated, "doc_id", "left_semi")
         .join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"])
-        .filter("doc_id <> rep")
-        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        .groupBy("doc_id")
+        .agg(F.collect_set("rep").alias("reps"))
     )
-    found = None
-    for turn in range(ROUNDS + 1):
-        if found is None:
-            placed = posted.withColumn("comp", F.col("rep"))
-        else:
-            placed = posted.join(known, posted["rep"] == known["id"], "left").select(
-                "rep", "n", "central", "token", F.coalesce("component", "rep").alias("comp")
-            )
-            placed = _open(cut_lineage(placed), texts, words, percent, prune=turn == 1)
-        placed = cut_lineage(placed)
-        posted = placed.drop("comp")
-        pairs = _to_leaders(placed, turn) if turn < ROUNDS else _across(placed, sigs, t, percent)
-        pairs = cut_lineage(pairs)
-        if turn < ROUNDS:
-            a = sigs.toDF("a", "na", "sa")
-            b = sigs.toDF("b", "nb", "sb")
-            pairs = (
-                pairs.join(a, "a")
-                .join(b, "b")
-                .filter(_could("na", "nb", percent) & (_collisions("sa", "sb") >= t))
-                .select("a", "b")
-            )
-        confirmed = cut_lineage(_confirmed(pairs, texts, words, percent).distinct())
-        found = confirmed if found is None else found.union(confirmed)
-        if turn < ROUNDS:
-            known = cut_lineage(components(found))
-    known = components(found.union(links))
-    whole = rows.select("doc_id", "n_shingles", "k1", "k2").join(
-        classes.select("k1", "k2", F.col("n").alias("n_shingles"), "rep"), ["k1", "k2", "n_shingles"], "left"
+    own = own.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).filter("a <> b")
+    known = components(found.union(own))
+    named = classes.join(known, classes["rep"] == known["id"], "left").select(
+        "k1", "k2", "n", "name", F.coalesce("component", "rep").alias("comp")
     )
+    named = cut_lineage(named)
+    names = named.groupBy("comp").agg(F.min("name").alias("component_id"))
+    named = named.join(names, "comp").select("k1", "k2", "n", "component_id")
     # A class with a third of all rows is one hot key of this join, with one row on the other side.
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return (
-        whole.join(known, whole["rep"] == known["id"], "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        rows.select("doc_id", "n", "k1", "k2")
+        .join(named, ["k1", "k2", "n"], "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
-def _open(placed: DataFrame, texts: DataFrame, words: int, percent: int, prune: bool) -> DataFrame:
-    """The rows of lists with several components; with ``prune`` without classes that can't link.
-
-    A link needs ``percent`` of a class's shingles in the other class, so at least that many must occur in
-    another class of the open lists.
-    """
-    lists = (
-        placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    )
-    placed = placed.join(lists.select("token"), "token", "left_semi")
-    if not prune:
-        return placed
-    placed = cut_lineage(placed)
-    members = placed.select(F.col("rep").alias("doc_id")).distinct()
-    found = texts.join(members, "doc_id", "left_semi").select(
-        F.col("doc_id").alias("rep"), F.explode(shingle_set(F.col("text"), words)).alias("shingle")
+def _posted(classes: DataFrame, k: int, t: int) -> DataFrame:
+    """The prefix of each class that can reach ``t`` collisions: ``rep``, ``n``, ``central``, ``token``."""
+    tokens = classes.select("rep", "n", F.explode("sig").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # Of a class's k tokens those that no other class has come first, unposted.
+    return (
+        tokens.join(common, "token")
+        .groupBy("rep", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+        .filter(F.size("shared") >= t)
+        .withColumn("central", F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["df"]))
+        .select("rep", "n", "central", F.explode(F.expr(f"slice(shared, 1, size(shared) - {t} + 1)")).alias("p"))
+        .select("rep", "n", "central", F.col("p.token").alias("token"))
     )
-    found = cut_lineage(found)
-    common = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("shingle")
-    shared = found.join(common, "shingle", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
-    able = placed.join(shared, "rep").filter(100 * F.col("shared") >= percent * F.col("n"))
-    return able.drop("shared").select(*placed.columns)
 
 
-def _to_leaders(placed: DataFrame, turn: int) -> DataFrame:
+def _open(posts: DataFrame) -> DataFrame:
+    """The rows of lists with several components."""
+    lists = posts.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    return posts.join(lists, "token", "left_semi")
+
+
+def _able(posts: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """The rows of classes that can link: ``percent`` of their shingles occur in another open class."""
+    common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = shingles.join(common, "shingle", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    return posts.join(shared, "rep").filter(100 * F.col("shared") >= percent * F.col("n")).select(*posts.columns)
+
+
+def _to_leaders(posts: DataFrame, turn: int) -> DataFrame:
     """For each class the leader, of a token's list and of another component, with most collisions."""
     first = -F.col("central") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-    leader = F.min(F.struct(first.alias("first"), "rep", "comp"))
     leaders = (
-        placed.groupBy("token")
-        .agg(leader.alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        .filter("low <> high")
+        posts.groupBy("token")
+        .agg(F.min(F.struct(first.alias("first"), "rep", "comp")).alias("l"))
         .select("token", F.col("l.rep").alias("leader"), F.col("l.comp").alias("leader_comp"))
     )
     counted = (
-        placed.join(leaders, "token")
+        posts.join(leaders, "token")
         .filter("comp <> leader_comp")
         .groupBy("rep", "leader")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    return counted.groupBy("rep").agg(
-        F.max(F.struct("shared", "leader"))["leader"].alias("b")
-    ).select(F.col("rep").alias("a"), "b")
+    best = F.max(F.struct("shared", "leader"))["leader"]
+    return counted.groupBy(F.col("rep").alias("a")).agg(best.alias("b"))
+
 
+def _across(posts: DataFrame, shingles: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Links between components that are still apart, confirmed on full sets, one for each class and component.
 
-def _across(placed: DataFrame, sigs: DataFrame, t: int, percent: int) -> DataFrame:
-    """Pairs of unlinked components in one list that collide in ``t`` coordinates and can be as similar."""
+    Classes with one first leader are dealt into blocks of about ``BLOCK`` shingles. A class outside the
+    largest component of a list is sent to the blocks that share a shingle of its prefix, and is compared
+    there with a whole block in one row, so only links become rows, and of links of a class into one
+    component, which all say the same, the first.
+    """
+    members = posts.select("rep", "n", "comp").distinct()
+    common = shingles.join(members, "rep", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    family = members.join(leaders.toDF("rep", "leader"), "rep", "left").select(
+        "rep", "n", "comp", F.coalesce("leader", "rep").alias("family")
+    )
+    sizes = family.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    family = family.join(sizes, "family").withColumn(
+        "block", F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    )
+    lacking = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    rarest = F.filter(F.slice("s", F.lit(1), (lacking + 1).cast("int")), lambda x: x["df"] > 1)
+    sets = cut_lineage(
+        shingles.join(common, "shingle")
+        .groupBy("rep")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+        .join(family, "rep")
+        .select(
+            "rep",
+            "n",
+            "comp",
+            "block",
+            F.transform(rarest, lambda x: x["shingle"]).alias("prefix"),
+            F.transform("s", lambda x: x["shingle"]).alias("whole"),
+        )
+    )
+    narrow = sets.select(F.explode("prefix").alias("shingle"), "rep", "comp", "block")
     largest = (
-        placed.groupBy("token", "comp")
+        narrow.groupBy("shingle", "comp")
         .agg(F.count(F.lit(1)).alias("members"))
-        .groupBy("token")
+        .groupBy("shingle")
         .agg(F.max(F.struct("members", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("parts"))
         .filter("parts > 1")
-        .select("token", "major")
-    )
-    open_lists = placed.join(largest, "token").join(sigs.select("rep", "sig"), "rep")
-    open_lists = cut_lineage(open_lists)
-    minor = open_lists.filter("comp <> major").select(
-        "token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("sig").alias("sa")
-    )
-    every = open_lists.select(
-        "token",
-        F.col("rep").alias("b"),
-        F.col("n").alias("nb"),
-        F.col("comp").alias("cb"),
-        F.col("sig").alias("sb"),
-        "major",
-    )
-    once = (F.col("a") < F.col("b")) | (F.col("cb") == F.col("major"))
-    return (
-        minor.alias("x")
-        .join(
-            every.alias("y"),
-            (F.col("x.token") == F.col("y.token"))
-            & (F.col("ca") != F.col("cb"))
-            & once
-            & _could("na", "nb", percent)
-            & (_collisions("sa", "sb") >= t),
-        )
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .select("shingle", "major")
     )
+    lists = cut_lineage(narrow.join(largest, "shingle"))
+    minor = lists.filter("comp <> major").select("shingle", F.col("rep").alias("a"))
+    sent = minor.join(lists.select("shingle", "block").distinct(), "shingle").select("a", "block").distinct()
+    blocks = sets.groupBy("block").agg(F.collect_list(F.struct("rep", "n", "comp", "whole")).alias("held"))
+    own = sets.select(F.col("rep").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "comp", "whole")])
+
+    def links(b: Column) -> Column:
+        both = F.size(F.array_intersect("whole_a", b["whole"]))
+        enough = 100 * both >= percent * (F.col("n_a") + b["n"] - both)
+        return (b["comp"] != F.col("comp_a")) & _could("n_a", b["n"], percent) & enough
+
+    passed = F.transform(F.filter("held", links), lambda b: F.struct(b["comp"].alias("comp"), b["rep"].alias("b")))
+    found = sent.join(own, "a").join(blocks, "block").select("a", F.explode(_firsts(passed)).alias("f"))
+    found = found.select("a", "f.*").groupBy("a", "comp").agg(F.min("b").alias("b"))
+    return cut_lineage(found.select("a", "b"))
+
+
+def _firsts(linked: Column) -> Column:
+    """Of (comp, b) in any order the smallest b of each comp."""
+    kind = "array<struct<comp:bigint,b:bigint>>"
+
+    def keep(done: Column, x: Column) -> Column:
+        known = (F.size(done) > 0) & (F.element_at(done, -1)["comp"] == x["comp"])
+        return F.when(known, done).otherwise(F.concat(done, F.array(x))).cast(kind)
+
+    return F.aggregate(F.array_sort(linked), F.array().cast(kind), keep)
