@@ -145,12 +145,12 @@ def _log_odds(y: np.ndarray) -> float:
 def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, start: tuple[float, np.ndarray]):
     """Logistic regression with an absolute penalty on the weights, by accelerated proximal steps."""
     bias, w = start
-    step = 4 / (np.linalg.norm(z, 2) ** 2 / len(y) + 1)
+    step = 4 / (float(np.linalg.eigvalsh(z.T @ z)[-1]) / len(y) + 1)
     at_b, at_w, t = bias, w.copy(), 1.0
     for _ in range(STEPS):
-        error = 1 / (1 + np.exp(-(at_b + z @ at_w))) - y
+        error = 1 / (1 + np.exp(-(at_b + z @ at_w.astype(z.dtype)))) - y
         new_b = at_b - step * error.mean()
-        new_w = at_w - step * (z.T @ error) / len(y)
+        new_w = at_w - step * (error.astype(z.dtype) @ z) / len(y)
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * penalty, 0)
         new_t = (1 + math.sqrt(1 + 4 * t * t)) / 2
         at_b = new_b + (t - 1) / new_t * (new_b - bias)
@@ -166,11 +166,14 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Rules:
     rules = extract_rules(x, y) if 0 < y.sum() < len(y) else []
     if not rules:
         return Rules(names, _log_odds(y), [])
-    z = np.stack([_holds(x, r) for r in rules], axis=1).astype(np.float64)
-    # Equal columns add nothing: keep the shortest rule of each.
-    _, first = np.unique(z, axis=1, return_index=True)
-    first = sorted(first)
-    z, rules = z[:, first], [rules[i] for i in first]
+    # Equal columns add nothing: keep the first rule of each. The driver holds one small float a cell.
+    columns: dict[bytes, tuple[Term, ...]] = {}
+    for rule in rules:
+        columns.setdefault(np.packbits(_holds(x, rule)).tobytes(), rule)
+    rules = list(columns.values())
+    z = np.empty((len(y), len(rules)), np.float32)
+    for i, rule in enumerate(rules):
+        z[:, i] = _holds(x, rule)
     check = np.arange(len(y)) % 4 == 3
     most = np.abs(z.T @ (y - y.mean())).max() / len(y)
 
