@@ -29,8 +29,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a similarity of 0.8 on five-word shingles the row with the smallest ``doc_id``."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id"))
-    return kept_rows(docs, kept.withColumn("text_key", F.lit("")), F.lit(""))
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id"), "text_key")
+    return kept_rows(docs, kept, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

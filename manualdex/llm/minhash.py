@@ -154,7 +154,8 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
+    """One row per row of ``docs``: ``doc_id``, ``text_key`` (xxhash64 of the text), ``n_shingles``,
+    ``component_id``, ``kept``.
 
     Words are runs of non-white-space, lower-cased A-Z; a text's set is its distinct shingles of
     ``words`` words, with fewer words the whole sequence. Texts link when
@@ -173,8 +174,7 @@ def near_duplicates(
         rows.filter("n > 0")
         .groupBy("k1", "k2", "n")
         .agg(
-            F.min("doc_id").alias("name"),
-            F.min(F.struct("doc_id", "text_key")).alias("row"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("row"),
             F.first("sig").alias("sig"),
         )
         .withColumn("rep", F.monotonically_increasing_id())
@@ -221,30 +221,26 @@ def near_duplicates(
     posts = cut_lineage(_open(placed(found, posts.drop("comp"))))
     found = found.union(_across(posts, shingles, leaders, percent))
 
-    # Rows that share an id are linked: the classes of an id with the first of them.
-    held = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "k1", "k2", "n")
-    repeated = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    own = (
-        held.join(repeated, "doc_id", "left_semi")
-        .join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"])
-        .groupBy("doc_id")
-        .agg(F.collect_set("rep").alias("reps"))
-    )
-    own = own.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).filter("a <> b")
-    known = components(found.union(own))
+    known = components(found)
     named = classes.join(known, classes["rep"] == known["id"], "left").select(
-        "k1", "k2", "n", "name", F.coalesce("component", "rep").alias("comp")
+        "k1", "k2", "n", "row", F.coalesce("component", "rep").alias("comp")
     )
     named = cut_lineage(named)
-    names = named.groupBy("comp").agg(F.min("name").alias("component_id"))
-    named = named.join(names, "comp").select("k1", "k2", "n", "component_id")
+    names = named.groupBy("comp").agg(F.min("row").alias("first"))
+    named = named.join(names, "comp").select("k1", "k2", "n", "first")
     # A class with a third of all rows is one hot key of this join, with one row on the other side.
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    filled = F.col("n") > 0
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     return (
-        rows.select("doc_id", "n", "k1", "k2")
+        rows.select("doc_id", "text_key", "n", "k1", "k2")
         .join(named, ["k1", "k2", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(
+            "doc_id",
+            "text_key",
+            F.col("n").alias("n_shingles"),
+            F.when(filled, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.when(filled, first).otherwise(True).alias("kept"),
+        )
     )
 
 

@@ -65,7 +65,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("text_key")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,23 @@ def test_entry_registers_one_query_per_operator():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
     assert "pipeline" in entry.queries() and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_without_id_or_with_a_repeated_id(spark):
+    other = " ".join(f"o{i}" for i in range(40))
+    third = " ".join(f"t{i}" for i in range(40))
+    rows = [
+        (1, data.BASE),
+        (None, data.BASE + " indeed"),
+        (None, other),
+        (None, other + " end"),
+        (None, third),
+        (None, "alone"),
+        (5, "five words of one text"),
+        (5, "five words of another one"),
+        (5, data.BASE + " yes"),
+    ]
+    docs = data.documents(spark, [(i, t, "en", "a") for i, t in rows])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    (copy,) = [t for i, t in kept if i is None and t.startswith(other)]
+    assert sorted(kept, key=str) == sorted([rows[0], (None, copy), rows[4], rows[5], rows[6], rows[7]], key=str)
