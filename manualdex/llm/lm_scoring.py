@@ -10,10 +10,12 @@ was seen often enough:
 so documents are exploded into bigrams once, dealt out by bigram, counted and corrected where they meet, and
 summed by document.
 
-The vocabulary holds every word with at least ``SHARE`` of all words: at most 1 / SHARE words, which is what is
-broadcast; the words beyond it count and score as one unknown word. Bigrams of the ``TOP`` most frequent
-words, at most TOP ** 2, are counted in the scan and broadcast too, so a bigram that is shuffled has a
-word with less than 1 / TOP of all words, and no key is hot. All counts cover all documents.
+Every word counts for itself. Words with at least ``SHARE`` of all words, at most 1 / SHARE of them, are broadcast
+with their counts. A rarer word and every bigram with it are dealt out by the word's hash and meet there, so
+its count and those of its bigrams are taken in one place, which holds less than SHARE of all words;
+a bigram of two rare words goes to both. This table has no bound and grows with the corpus. Bigrams of the ``TOP``
+most frequent words, at most TOP ** 2, are counted in the scan and broadcast too, so a bigram that is shuffled
+has a word with less than 1 / TOP of all words, and no key is hot. All counts cover all documents.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from manualdex.session import cut_lineage
 
 #: Factor of a step back from bigram to unigram.
 BACKOFF = 0.4
-#: Share of all words that a word of the vocabulary has at least.
+#: Share of all words that a broadcast word has at least.
 SHARE = 1e-6
 #: Words, the unknown word among them, whose bigrams are counted in the scan.
 TOP = 256
@@ -39,6 +41,12 @@ TOP = 256
 HELD = 1 << 21
 #: Bits of a word's number.
 BITS = 20
+#: Kinds of exploded rows, and what ``key`` and ``other`` hold in them. Rare words are hashes, known ones numbers.
+TEXT = 0  # a text's sums: a random key; its number of words
+WORD = 1  # a rare word: its hash; nothing
+PAIR = 2  # a bigram of known words: both numbers; nothing
+KNOWN_RARE, RARE_KNOWN = 3, 4  # a bigram with one rare word: its hash; the known word
+SECOND, FIRST = 5, 6  # a bigram of rare words, once by each: the second's (first's) hash; that of the other
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, grams.Words]]:
@@ -79,9 +87,13 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Unigrams:
-    """The vocabulary with counts. Number 0 is the unknown word, then words by falling count."""
+    """The known words with counts, by falling count from number 1.
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, n_top: int = TOP):
+    Number 0 is a word that isn't known here: with ``fold`` all such are one unknown word, else each is a rare
+    word with counts of its own, taken elsewhere.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, n_top: int = TOP, fold: bool = True):
         order = np.lexsort((words, -counts))
         numbers = np.empty(len(words), np.int64)
         numbers[order] = np.arange(1, len(words) + 1)
@@ -93,6 +105,9 @@ class Unigrams:
         with np.errstate(divide="ignore"):
             self.log = np.log(self.counts)
         self.base = np.where(self.counts > 0, self.log - math.log(max(total, 1)), 0.0)
+        self.fold = fold
+        if not fold:
+            self.base[0] = 0.0
         self.n_top = n_top
         self.top: np.ndarray | None = None
 
@@ -108,8 +123,15 @@ class Unigrams:
         same = text[1:] == text[:-1]
         return numbers, ((numbers[:-1] << BITS) | numbers[1:])[same], text[1:][same]
 
+    def rare(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the first, and the second, word of a bigram is a rare one."""
+        if self.fold:
+            return np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        return keys >> BITS == 0, keys & ((1 << BITS) - 1) == 0
+
     def is_top(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> BITS < self.n_top) & (keys & ((1 << BITS) - 1) < self.n_top)
+        first, second = self.rare(keys)
+        return (keys >> BITS < self.n_top) & (keys & ((1 << BITS) - 1) < self.n_top) & ~first & ~second
 
     def place(self, keys: np.ndarray) -> np.ndarray:
         """Places of top bigrams in the table of their counts."""
@@ -120,12 +142,13 @@ class Unigrams:
         return np.log(counts) - first - second + math.log(max(self.total, 1)) - math.log(BACKOFF)
 
 
-def unigrams(counts: DataFrame, share: float = SHARE, n_top: int = TOP) -> Unigrams:
-    """The vocabulary of a ``word_counts`` table: at most 1 / ``share`` rows reach the driver."""
+def unigrams(counts: DataFrame, share: float = SHARE, n_top: int = TOP, fold: bool = True) -> Unigrams:
+    """The known words of a ``word_counts`` table: at most 1 / ``share`` rows reach the driver."""
+    if share * ((1 << BITS) - 1) < 1:
+        raise ValueError(f"a share below {1 / ((1 << BITS) - 1)} has more words than numbers")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(share * total), math.ceil(total / ((1 << BITS) - 1)))
-    found = counts.filter(F.col("n") >= least).toArrow()
-    return Unigrams(found["word"].to_numpy(), found["n"].to_numpy(), int(total), n_top)
+    found = counts.filter(F.col("n") >= max(1, math.ceil(share * total))).toArrow()
+    return Unigrams(found["word"].to_numpy(), found["n"].to_numpy(), int(total), n_top, fold)
 
 
 def _top_counts(docs: DataFrame, model: Unigrams) -> np.ndarray:
@@ -152,20 +175,25 @@ def _top_counts(docs: DataFrame, model: Unigrams) -> np.ndarray:
 def backoff_scores(
     docs: DataFrame,
     min_count: int = 2,
-    share: float = SHARE,
+    share: float | None = None,
     n_top: int = TOP,
     id_col: str = "doc_id",
     text_col: str = "text",
+    known: float = SHARE,
 ) -> DataFrame:
     """One row per id: ``doc_id``, ``n_words``, ``n_seen`` (words scored by their bigram), ``score`` (sum of
     logarithms) and ``mean`` (per word). The first word of a text is scored without the backoff factor.
 
+    Without ``share`` every word counts for itself, and ``known``, the share of a broadcast word, changes no
+    result. With it, words with less than that share of all words count and score as one unknown word.
+
     Defined cases: null and empty texts have no words, score 0 and a null mean. Rows with one id, or
     without id, are scored as one document of several texts. An empty table gives no rows; other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = unigrams(cut_lineage(word_counts(texts)), share, n_top)
+    fold = share is not None
+    model = unigrams(cut_lineage(word_counts(texts)), share if fold else known, n_top, fold)
     model.top = _top_counts(texts, model)
     shared = sc.broadcast(model)
 
@@ -185,58 +213,97 @@ def backoff_scores(
                 add = own.correction(keys[top][often], counts[often])
                 base += np.bincount(text[top][often], weights=add, minlength=texts_here)
                 seen = np.bincount(text[top][often], minlength=texts_here)
-                # The texts' bigrams, each once with its number of times.
-                rest = np.flatnonzero(~top)
-                rest = rest[np.lexsort((keys[rest], text[rest]))]
-                new = np.ones(len(rest), bool)
-                new[1:] = (keys[rest][1:] != keys[rest][:-1]) | (text[rest][1:] != text[rest][:-1])
+                # The texts' rare words and other bigrams, each once with its number of times.
+                first, second = own.rare(keys)
+                same = found.of_word()
+                same = same[1:] == same[:-1]
+                before, after = found.hashes[:-1][same].view(np.int64), found.hashes[1:][same].view(np.int64)
+                words, low = np.flatnonzero(numbers == 0) if not own.fold else np.empty(0, np.int64), (1 << BITS) - 1
+                rows = [(WORD, found.hashes[words].view(np.int64), np.zeros(len(words), np.int64), found.of_word()[words])]
+                for what, of, key, other in (
+                    (PAIR, ~top & ~first & ~second, keys, np.zeros(len(keys), np.int64)),
+                    (KNOWN_RARE, ~first & second, after, keys >> BITS),
+                    (RARE_KNOWN, first & ~second, before, keys & low),
+                    (SECOND, first & second, after, before),
+                    (FIRST, first & second, before, after),
+                ):
+                    rows.append((what, key[of], other[of], text[of]))
+                kinds = np.repeat(np.array([r[0] for r in rows], np.int8), [len(r[1]) for r in rows])
+                key, other, of_text = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
+                order = np.lexsort((other, key, kinds, of_text))
+                kinds, key, other, of_text = kinds[order], key[order], other[order], of_text[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (
+                    (key[1:] != key[:-1])
+                    | (other[1:] != other[:-1])
+                    | (kinds[1:] != kinds[:-1])
+                    | (of_text[1:] != of_text[:-1])
+                )
                 places = np.flatnonzero(new)
-                times = np.diff(np.append(places, len(rest)))
-                rows = rest[places]
-                m = len(rows)
-                which = np.concatenate((np.arange(texts_here), text[rows]))
-                # Negative keys, spread at random, for the rows that aren't bigrams.
+                times = np.diff(np.append(places, len(key)))
+                m = len(places)
+                which = np.concatenate((np.arange(texts_here), of_text[places]))
+                # Keys spread at random for the rows of texts.
                 apart = grams.mix((starts + at).astype(np.uint64) * grams.U(len(numbers) + 1)) >> grams.U(20)
                 none = np.arange(texts_here + m) >= texts_here
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate((-1 - apart.astype(np.int64), keys[rows]))),
+                        pa.array(np.concatenate((np.full(texts_here, TEXT, np.int8), kinds[places]))),
+                        pa.array(np.concatenate((apart.astype(np.int64), key[places]))),
+                        pa.array(np.concatenate((sizes.astype(np.int64), other[places]))),
                         batch.column(0).take(pa.array(at + which)),
                         pa.array(np.concatenate((seen, times)).astype(np.int32)),
-                        pa.array(np.concatenate((sizes, np.zeros(m, np.int64))), mask=none),
                         pa.array(np.concatenate((base, np.zeros(m))), mask=none),
                     ],
-                    ["ngram", "doc_id", "times", "n_words", "base"],
+                    ["kind", "key", "other", "doc_id", "times", "base"],
                 )
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    exploded = texts.mapInArrow(explode, f"ngram long, doc_id {kind}, times int, n_words long, base double")
-    # The vocabulary's logarithms come back as columns by a join on its two bounded sides.
+    doc_type = texts.schema["doc_id"].dataType.simpleString()
+    exploded = texts.mapInArrow(
+        explode, f"kind byte, key long, other long, doc_id {doc_type}, times int, base double"
+    )
+    # The known words' logarithms come back as columns by a join on its two bounded sides.
     logs = docs.sparkSession.createDataFrame(
         pa.table({"number": np.arange(len(model.log)), "log": np.where(np.isfinite(model.log), model.log, 0.0)})
     )
-    counted = exploded.withColumn(
-        "count", F.when(F.col("ngram") >= 0, F.sum("times").over(Window.partitionBy("ngram")))
-    ).filter((F.col("ngram") < 0) | (F.col("count") >= min_count))
+    kind = F.col("kind")
+    # Dealt and sorted once for both windows.
+    met = exploded.repartition("key").sortWithinPartitions("key", "kind", "other")
+    counted = met.withColumn("count", F.sum("times").over(Window.partitionBy("key", "kind", "other")))
+    if not fold:
+        of_word = F.sum(F.when(kind == WORD, F.col("times"))).over(Window.partitionBy("key"))
+        counted = counted.withColumn("of_word", of_word)
+    counted = counted.filter(kind.isin(TEXT, WORD) | (F.col("count") >= min_count))
     first, second = logs.toDF("first", "log_first"), logs.toDF("second", "log_second")
     counted = (
         counted.withColumns(
             {
-                "first": F.when(F.col("ngram") >= 0, F.shiftright("ngram", BITS)),
-                "second": F.when(F.col("ngram") >= 0, F.col("ngram").bitwiseAND((1 << BITS) - 1)),
+                "first": F.when(kind == PAIR, F.shiftright("key", BITS)).when(kind == KNOWN_RARE, F.col("other")),
+                "second": F.when(kind == PAIR, F.col("key").bitwiseAND((1 << BITS) - 1)).when(
+                    kind == RARE_KNOWN, F.col("other")
+                ),
             }
         )
         .join(F.broadcast(first), "first", "left")
         .join(F.broadcast(second), "second", "left")
     )
-    constant = math.log(max(model.total, 1)) - math.log(BACKOFF)
-    gain = F.log(F.col("count").cast("double")) - F.col("log_first") - F.col("log_second") + F.lit(constant)
-    value = F.when(F.col("ngram") < 0, F.col("base")).otherwise(F.col("times") * gain)
+    all_words = math.log(max(model.total, 1))
+    times, zero = F.col("times"), F.lit(0.0)
+    own = zero if fold else F.log(F.col("of_word").cast("double"))
+    gain = F.log(F.col("count").cast("double")) + F.lit(all_words - math.log(BACKOFF))
+    gain = gain - F.coalesce("log_first", zero) - F.coalesce("log_second", zero)
+    value = (
+        F.when(kind == TEXT, F.col("base"))
+        .when(kind == WORD, times * (own - F.lit(all_words)))
+        .when(kind == PAIR, times * gain)
+        .when(kind == FIRST, -times * own)
+        .otherwise(times * (gain - own))
+    )
     return (
         counted.groupBy("doc_id")
         .agg(
-            F.sum("n_words").alias("n_words"),
-            F.sum(F.col("times").cast("long")).alias("n_seen"),
+            F.sum(F.when(kind == TEXT, F.col("other"))).alias("n_words"),
+            F.sum(F.when(kind.isin(WORD, FIRST), 0).otherwise(times).cast("long")).alias("n_seen"),
             F.sum(value).alias("score"),
         )
         .withColumn("mean", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

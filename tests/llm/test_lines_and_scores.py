@@ -130,3 +130,28 @@ def test_backoff_scores_match_counting(spark, share, n_top):
 
 def test_scores_of_an_empty_table(spark):
     assert lm_scoring.backoff_scores(data.documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("min_count, known, n_top", [(2, 0.01, 4), (1, 0.03, 8), (2, 1.0, 256), (2, 1e-6, 256)])
+def test_every_word_counts_for_itself(spark, min_count, known, n_top):
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(300)], k=rng.randint(0, 60)))) for i in range(80)]
+    rows += [(200 + i, "once upon once upon rare%d rare%d pair" % (i // 2, i // 2 + 1)) for i in range(6)]
+    rows += [(i, t) for i, t, *_ in data.ROWS if not t or len(t) < 500]
+    docs = data.documents(spark, [(*r, "en", "a") for r in rows])
+    got = {r.doc_id: r for r in lm_scoring.backoff_scores(docs, min_count, n_top=n_top, known=known).collect()}
+    want = scores(rows, 0, min_count)
+    assert got.keys() == want.keys()
+    for i, (n, seen, score) in want.items():
+        assert (got[i].n_words, got[i].n_seen) == (n, seen)
+        assert got[i].score == pytest.approx(score, abs=1e-6)
+
+
+def test_a_corpus_beyond_a_million_words_keeps_rare_words(spark):
+    rows = [(i, "common " * 120_000 + f"rare{i}") for i in range(10)]
+    docs = data.documents(spark, [(*r, "en", "a") for r in rows])
+    want = scores(rows, 0)
+    for r in lm_scoring.backoff_scores(docs).collect():
+        assert (r.n_words, r.n_seen) == want[r.doc_id][:2]
+        assert r.score == pytest.approx(want[r.doc_id][2], abs=1e-6)
