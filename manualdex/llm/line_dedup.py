@@ -93,18 +93,23 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     full = (1 << width) - 1
     long_side = F.when(F.length(a) >= F.length(b), a).otherwise(b)
     short_side = F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    chars = F.split(short_side, "")
-    size = F.length(short_side)
+    # Worked out once a pair, as bound values, and not again for every character.
+    sides = F.struct(
+        F.split(long_side, "").alias("long"),
+        F.split(short_side, "").alias("short"),
+        F.length(long_side).alias("n"),
+        F.length(short_side).alias("size"),
+    )
     # Before the first character: prefix j = k - threshold is reached by j insertions.
     start = [sum(1 << (threshold + j) for j in range(e + 1)) for e in range(threshold + 1)]
 
-    def step(state: Column, c: Column) -> Column:
+    def step(sides: Column, state: Column, c: Column) -> Column:
         row = state["row"] + 1
         # Cell k of this row is prefix j = row + k - threshold of the shorter line.
         equal = F.lit(0)
         for k in range(width):
             j = row + (k - threshold)
-            hit = (j >= 1) & (j <= size) & F.get(chars, (j - 1).cast("int")).eqNullSafe(c)
+            hit = (j >= 1) & (j <= sides["size"]) & F.get(sides["short"], (j - 1).cast("int")).eqNullSafe(c)
             equal = equal + F.when(hit, 1 << k).otherwise(0)
         out = []
         for e in range(threshold + 1):
@@ -122,10 +127,14 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         return F.struct(row.alias("row"), *[o.alias(f"s{e}") for e, o in enumerate(out)])
 
     first = F.struct(F.lit(0).alias("row"), *[F.lit(s).alias(f"s{e}") for e, s in enumerate(start)])
-    last = F.aggregate(F.split(long_side, ""), first, step)
-    end = threshold - (F.length(long_side) - size)
-    reached = F.call_function("shiftright", last[f"s{threshold}"], end).bitwiseAND(1) == 1
-    return (F.length(long_side) - size <= threshold) & F.coalesce(reached, F.lit(False))
+
+    def decide(sides: Column) -> Column:
+        last = F.aggregate(sides["long"], first, lambda state, c: step(sides, state, c))
+        end = threshold - (sides["n"] - sides["size"])
+        reached = F.call_function("shiftright", last[f"s{threshold}"], end).bitwiseAND(1) == 1
+        return F.when(sides["n"] - sides["size"] <= threshold, F.coalesce(reached, F.lit(False))).otherwise(False)
+
+    return F.transform(F.array(sides), decide)[0]
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,11 +277,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
         .repartition(parts)
     )
     for _ in range(2):
-        both = both.withColumn("head", _shared_head("line_a", "line_b")).select(
+        cut = both.withColumn("head", _shared_head("line_a", "line_b")).select(
             "a",
             "b",
             *[F.reverse(F.substring(c, F.col("head") + 1, F.length(c))).alias(c) for c in ("line_a", "line_b")],
         )
+        # Written, as the filter would else be pushed below and hold the cuts many times over.
+        both = cut_lineage(cut)
     return cut_lineage(both.filter(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b"))
 
 

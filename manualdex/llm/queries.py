@@ -21,7 +21,7 @@ from manualdex.llm.tables import held_out, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicated(table(spark, sf_dir, "documents"), threshold=1)
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"), threshold=2)
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

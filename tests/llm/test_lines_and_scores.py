@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from manualdex.llm import line_dedup, lm_scoring
+from manualdex.llm import line_dedup, lm_scoring, queries
 from tests.llm import data
 
 
@@ -155,3 +155,11 @@ def test_a_corpus_beyond_a_million_words_keeps_rare_words(spark):
     for r in lm_scoring.backoff_scores(docs).collect():
         assert (r.n_words, r.n_seen) == want[r.doc_id][:2]
         assert r.score == pytest.approx(want[r.doc_id][2], abs=1e-6)
+
+
+def test_registered_lines_within_two_edits(spark, tmp_path):
+    line = "this long line of text has one short word ha in the middle of it"
+    rows = [(1, line), (2, line.replace(" ha ", " or ")), (3, line.replace(" ha ", " rere ort "))]
+    data.documents(spark, [(*r, "en", "a") for r in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_dropped for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
