@@ -14,6 +14,7 @@ from manualdex.llm import (
     lm_scoring,
     minhash,
     mixing,
+    phrases,
     quality,
     token_counts,
 )
@@ -77,6 +78,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.learn(pages))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), support=10, longest=3, covered=50, top=2000)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scores": op2_lm_scores,
@@ -88,4 +93,5 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_text": op10_html_text,
+    "op12_collocations": op12_collocations,
 }
