@@ -16,6 +16,7 @@ from manualdex.llm import (
     mixing,
     phrases,
     quality,
+    spelling,
     token_counts,
 )
 from manualdex.llm.tables import held_out, table
@@ -78,6 +79,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages, html_text.learn(pages))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3, every=97, ratio=2)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), support=10, longest=3, covered=50, top=2000)
 
@@ -93,5 +98,6 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_text": op10_html_text,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_collocations": op12_collocations,
 }
