@@ -8,7 +8,7 @@ the middle, where few words share a node.
 A state is (word, node reached, place in the word, edits). States without an edit are the word's own nodes.
 The first join makes the edit: from a node it passes over one character of an edge, which either stands
 for the word's next character (replaced) or is extra (inserted), and requires the edge after it to carry the
-next ``STRIDE`` characters of the word. Each further level joins the states with the nodes reached over the
+next ``STRIDE`` characters of the word (all the rest of a word over ``LONG``). Each further level joins the states with the nodes reached over the
 next characters, twice as many as before, so that a word of length n takes about log(n) levels; a state
 whose path ends with its word is a neighbour. Deletions are insertions seen from the other word. All
 neighbours are confirmed by their edit distance, so a clash of hashes can't add a pair; equal paths have
@@ -33,6 +33,8 @@ from manualdex.session import cut_lineage
 
 #: Characters that the edge after an edit carries.
 STRIDE = 3
+#: Words longer than this take all the rest as one edge, so that no state carries a long word along.
+LONG = 64
 #: Distinct words that a task gathers before it emits their counts.
 GATHERED = 1 << 19
 #: Characters of words worked on at once.
@@ -148,47 +150,59 @@ def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column(v) for v in columns.values()], list(columns))
 
 
+def _labels(p: _Paths, w: np.ndarray, whole: bool) -> np.ndarray:
+    """Characters that the edge after an edit carries: the next ones, or all the rest of a long word."""
+    return p.lengths[w] + 1 if whole else np.full(len(w), STRIDE)
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges below the middle: from a node over one character, then over the next ones, to the node reached."""
     for batch in batches:
         for group in _groups(batch.column(0).to_pylist()):
             for way in (0, 1):
-                p = _Paths(group, way)
-                half = (p.lengths - 1) // 2
-                w, k = ragged(p.lengths - half)
-                at = k + half[w]
-                node = p.stretch(w, np.zeros_like(at), at)
-                label = p.stretch(w, at + 1, at + 1 + STRIDE)
-                depth = np.minimum(at + 1 + STRIDE, p.lengths[w] + 1)
-                over = p.chars[p.first[w] + at].astype(np.int32)
-                reached = p.stretch(w, np.zeros_like(at), depth)
-                yield _batch({"key": _key(node, label), "over": over, "reached": reached, "depth": depth.astype(np.int32)})
+                for whole in (False, True):
+                    # Words around the bound have both kinds, as a neighbour may be on its other side.
+                    p = _Paths([g for g in group if (len(g) >= LONG if whole else len(g) <= LONG + 1)], way)
+                    half = (p.lengths - 1) // 2
+                    w, k = ragged(p.lengths - half)
+                    at = k + half[w]
+                    node = p.stretch(w, np.zeros_like(at), at)
+                    depth = np.minimum(at + 1 + _labels(p, w, whole), p.lengths[w] + 1)
+                    label = p.stretch(w, at + 1, depth)
+                    over = p.chars[p.first[w] + at].astype(np.int32)
+                    reached = p.stretch(w, np.zeros_like(at), depth)
+                    yield _batch(
+                        {"key": _key(node, label), "over": over, "reached": reached, "depth": depth.astype(np.int32)}
+                    )
 
 
 def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word's own nodes from the middle on, once for a replaced and once for an inserted character."""
     for batch in batches:
         for group in _groups(batch.column(0).to_pylist()):
-            strings = pa.array(group, pa.string())
-            for way in (0, 1):
-                p = _Paths(group, way)
-                # The middle character belongs to the first trie alone, a gap in the middle to both.
+            for way, inserted, whole in np.ndindex(2, 2, 2):
+                part = [g for g in group if (len(g) > LONG) == bool(whole)]
+                p, me = _Paths(part, way), _Paths(part, 0)
+                me = me.stretch(np.arange(len(part)), np.zeros(len(part), np.int64), me.lengths + 1)
                 half = p.lengths // 2
-                for inserted in (0, 1):
-                    w, k = ragged(p.lengths - half + inserted)
-                    at = k + half[w]
-                    next_place = at + 1 - inserted
-                    node = p.stretch(w, np.zeros_like(at), at)
-                    label = p.stretch(w, next_place, next_place + STRIDE)
-                    yield _batch(
-                        {
-                            "key": _key(node, label),
-                            "own": p.chars[p.first[w] + at].astype(np.int32),
-                            "word": strings.take(pa.array(w)),
-                            "way": np.full(len(w), way, np.int32),
-                            "place": np.minimum(next_place + STRIDE, p.lengths[w] + 1).astype(np.int32),
-                        }
-                    )
+                w, k = ragged(p.lengths - half + inserted)
+                at = k + half[w]
+                after = at + 1 - inserted
+                node = p.stretch(w, np.zeros_like(at), at)
+                place = np.minimum(after + _labels(p, w, bool(whole)), p.lengths[w] + 1)
+                label = p.stretch(w, after, place)
+                strings = pa.nulls(len(w), pa.string()) if whole else pa.array(part, pa.string()).take(pa.array(w))
+                yield _batch(
+                    {
+                        "key": _key(node, label),
+                        "own": p.chars[p.first[w] + at].astype(np.int32),
+                        "me": me[w],
+                        "word": strings,
+                        "way": np.full(len(w), way, np.int32),
+                        "place": place.astype(np.int32),
+                        "done": place > p.lengths[w],
+                    }
+                )
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,56 +246,60 @@ def _further(stride: int) -> Callable:
                     out["place"][mine] = to
                 yield _batch(
                     {
+                        "me": part["me"],
                         "word": part["word"],
                         "way": part["way"],
                         "reached": out["reached"],
                         "depth": out["depth"].astype(np.int32),
                         "place": out["place"].astype(np.int32),
+                        "done": np.array([p > len(g) for p, g in zip(out["place"], group)]),
                     }
                 )
 
     return run
 
 
-_STATE = "word string, way int, reached long, depth int, place int"
+_STATE = "me long, word string, way int, reached long, depth int, place int, done boolean"
+_COLUMNS = ["me", "word", "way", "reached", "depth", "place", "done"]
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last node of every word in both tries."""
     for batch in batches:
         for group in _groups(batch.column(0).to_pylist()):
             for way in (0, 1):
                 p = _Paths(group, way)
                 w = np.arange(len(group))
-                yield _batch({"reached": p.stretch(w, w * 0, p.lengths + 1), "near": pa.array(group, pa.string())})
+                yield _batch(
+                    {
+                        "reached": p.stretch(w, w * 0, p.lengths + 1),
+                        "near": pa.array(group, pa.string()),
+                        "way": np.full(len(group), way, np.int32),
+                    }
+                )
 
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:
     """All pairs ``word``, ``near`` of distinct words of ``vocabulary`` (``word``) exactly one edit apart, both ways round."""
     only = vocabulary.select("word")
-    longest = only.agg(F.max(F.length("word"))).first()[0] or 0
+    longest = only.filter(F.length("word") <= LONG).agg(F.max(F.length("word"))).first()[0] or 0
     edges = only.mapInArrow(_edges, "key long, over int, reached long, depth int").distinct()
-    states = only.mapInArrow(_states, "key long, own int, word string, way int, place int")
-    live = (
-        states.join(edges, "key")
-        .filter("own <> over")
-        .select("word", "way", "reached", "depth", "place")
+    states = only.mapInArrow(
+        _states, "key long, own int, me long, word string, way int, place int, done boolean"
     )
-    ended = F.col("place") > F.length("word")
+    live = cut_lineage(states.join(edges, "key").filter("own <> over").select(*_COLUMNS))
+    finished = live.filter("done").select("me", "reached")
     stride, walked = STRIDE, STRIDE
-    live = cut_lineage(live.distinct())
-    finished = [live.filter(ended)]
     while walked <= longest - longest // 2:
         stride, walked = 2 * stride, walked + 2 * stride
         nodes = only.mapInArrow(_nodes, "reached long").distinct()
-        moved = live.filter(~ended).mapInArrow(_further(stride), _STATE)
-        live = cut_lineage(moved.join(nodes, "reached", "left_semi").select("word", "way", "reached", "depth", "place"))
-        finished.append(live.filter(ended))
-    found = finished[0]
-    for more in finished[1:]:
-        found = found.unionByName(more)
-    ends = only.mapInArrow(_ends, "reached long, near string")
-    pairs = found.select("word", "reached").join(ends, "reached").select("word", "near")
-    confirmed = pairs.filter(F.levenshtein("word", "near") == 1)
+        moved = live.filter("NOT done").mapInArrow(_further(stride), _STATE)
+        live = cut_lineage(moved.join(nodes, "reached", "left_semi").select(*_COLUMNS))
+        finished = finished.union(live.filter("done").select("me", "reached"))
+    ends = cut_lineage(only.mapInArrow(_ends, "reached long, near string, way int"))
+    own = ends.filter("way = 0").select(F.col("reached").alias("me"), F.col("near").alias("word"))
+    pairs = finished.distinct().join(ends.drop("way"), "reached").join(own, "me").select("word", "near")
+    confirmed = pairs.filter(F.levenshtein("word", "near", 1) == 1)
     return confirmed.union(confirmed.select("near", "word")).distinct()
 
 
