@@ -7,8 +7,7 @@ The union of what is frequent in any shard contains every globally frequent phra
 all of it exactly, by the phrases themselves. A shard isn't a task: its counts are summed by shuffling
 64-bit keys, so it may be of any size.
 
-A scan tests candidates against a bit table of fixed size (``TABLE`` bits, 16 MB, whatever the input). A
-bit that is set wrongly costs a row and changes nothing, as wrong candidates fail the exact support.
+A scan tests candidates against a bit table of fixed size (16 MB, whatever the input). A bit that is set wrongly costs a row and changes nothing, as wrong candidates fail the exact support.
 Every task sums its own counts before it emits, so the most frequent word is one row a task.
 """
 
@@ -22,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from manualdex.llm.bit_table import bit_table, is_set
 from manualdex.llm.grams import LOWER, U, buffers, mix
 from manualdex.llm.rolling import Stretches, ragged
 from manualdex.operators.topk import top_k
 from manualdex.session import cut_lineage
 
-#: Bits of the candidate table.
-TABLE = 1 << 27
 #: Bytes of text worked on at once, and counts that a task gathers before it emits them.
 SLICE, GATHERED = 1 << 21, 1 << 22
 
@@ -123,11 +121,6 @@ def _lang_hash(names: list[str]) -> np.ndarray:
     return np.array([int.from_bytes(d, "little") for d in digests], np.uint64)
 
 
-def _is_set(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    p = h & U(TABLE - 1)
-    return (table[p >> U(6)] >> (p & U(63))) & U(1) == 1
-
-
 def _summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(parts), return_counts=True)
 
@@ -159,7 +152,7 @@ def _mine(sizes: list[int], table, shards: int) -> Callable:
                     if table is not None and size > 2 and len(at):
                         ok = np.zeros(len(words.starts) + 1, bool)
                         shorter_at, shorter = words.phrases(size - 1, lang_hash)
-                        ok[shorter_at] = _is_set(table.value, shorter)
+                        ok[shorter_at] = is_set(table.value, shorter)
                         h = h[ok[at] & ok[at + 1]]
                     gathered[size].append(h)
                     if sum(map(len, gathered[size])) >= GATHERED:
@@ -206,7 +199,7 @@ def _count(sizes: list[int], table) -> Callable:
                 )
                 for size in sizes:
                     at, h = words.phrases(size, lang_hash)
-                    hit = _is_set(table.value, h)
+                    hit = is_set(table.value, h)
                     at, h = at[hit], h[hit]
                     h, first, c = np.unique(h, return_index=True, return_counts=True)
                     at = at[first]
@@ -229,20 +222,6 @@ def _frequent(texts: DataFrame, sizes: list[int], table, support: int, shards: i
     return counted.groupBy("shard", "h").agg(F.sum("c").alias("c")).filter(F.col("c") >= local).select("h")
 
 
-def _table(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys, at most ``TABLE / 64`` rows to the driver."""
-    place = F.expr(f"h & {TABLE - 1}L")
-    words = (
-        keys.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(h & {TABLE - 1}L & 63 as int))").alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-        .toArrow()
-    )
-    out = np.zeros(TABLE // 64, np.uint64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return out
-
-
 def frequent_phrases(
     docs: DataFrame,
     support: int = 10,
@@ -259,10 +238,11 @@ def frequent_phrases(
         raise ValueError("shards must be between 1 and the support")
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    bits = _table(_frequent(texts, [1, 2] if longest > 1 else [1], None, support, shards))
+    key = F.col("h")
+    bits = bit_table(_frequent(texts, [1, 2] if longest > 1 else [1], None, support, shards), key)
     for size in range(3, longest + 1):
         known = sc.broadcast(bits)
-        bits = bits | _table(_frequent(texts, [size], known, support, shards))
+        bits = bits | bit_table(_frequent(texts, [size], known, support, shards), key)
         known.destroy()
     known = sc.broadcast(bits)
     counted = texts.mapInArrow(_count(list(range(1, longest + 1)), known), _NAMED)

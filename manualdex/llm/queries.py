@@ -14,6 +14,7 @@ from manualdex.llm import (
     lm_scoring,
     minhash,
     mixing,
+    passages,
     phrases,
     quality,
     spelling,
@@ -87,6 +88,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), support=10, longest=3, covered=50, top=2000)
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scores": op2_lm_scores,
@@ -100,4 +105,5 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_collocations": op12_collocations,
+    "op13_repeated_passages": op13_repeated_passages,
 }
