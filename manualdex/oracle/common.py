@@ -19,6 +19,7 @@ CYR = "АВСЕНКМОРТХавсенкмортх"
 LAT = "ABCEHKMOPTXabcehkmoptx"
 
 FILES = D.FILES_SQL.format(documents="documents")
+TEXTS = D.TEXTS_SQL.format(documents="documents")
 SCAN = D.SCAN_SQL.format(files="files")
 OCR_PAGES = D.OCR_PAGES_SQL.format(files="files")
 UNREAD = D.UNREAD_SQL.format(documents="documents")
@@ -27,6 +28,7 @@ DUP_FILES = D.DUP_FILES_SQL.format(documents="documents")
 QUESTIONS = D.QUESTIONS_SQL.format(conversations="conversations")
 SCHEDULES = D.SCHEDULES_SQL.format(events="events")
 WITH_FILES = f"WITH files AS ({FILES})"
+WITH_TEXTS = f"WITH files AS ({TEXTS})"
 
 
 def q(s: str) -> str:

@@ -106,7 +106,7 @@ SELECT id, CAST(to_json({{'format': 'catalog-portable', 'backup_version': 1, 'da
   'created_utc': strftime(now, '%Y-%m-%dT%H:%M:%S+00:00'), 'app_version': 'development', 'language': language,
   'current_root': '/lib', 'database_filename': 'catalog.db'}}) AS VARCHAR) AS manifest FROM l""",
     "search_response_json": f"""
-{O.WITH_FILES}, r AS ({O.search_sql(Q['ac35l'], 50)})
+{O.WITH_TEXTS}, r AS ({O.search_sql(Q['ac35l'], 50)})
 SELECT CAST(to_json({{'query': 'ac 35 l', 'total': count(*), 'items': list({{'file_id': file_id, 'filename': filename,
   'extension': extension, 'snippet': snippet, 'filepath': filepath, 'is_cloud': is_cloud}} ORDER BY rank)}}) AS VARCHAR)
   AS response FROM r""",

@@ -22,11 +22,11 @@ Q = {
 
 
 def _search(name: str, limit: int = 200) -> str:
-    return f"{O.WITH_FILES} {O.search_sql(Q[name], limit)}"
+    return f"{O.WITH_TEXTS} {O.search_sql(Q[name], limit)}"
 
 
 def _ids(condition: str) -> str:
-    return f"{O.WITH_FILES} SELECT id FROM files WHERE {condition}"
+    return f"{O.WITH_TEXTS} SELECT id FROM files WHERE {condition}"
 
 
 def _coarse_code(head: str) -> str:
@@ -69,7 +69,7 @@ FROM picked"""
         for i, (k, v) in enumerate(reqs)
     )
     return f"""
-{O.WITH_FILES}, picked AS (
+{O.WITH_TEXTS}, picked AS (
   SELECT *, CAST(row_number() OVER (
     ORDER BY CASE WHEN lower(filepath) LIKE '%онк%160%' THEN 0 ELSE 1 END, filename, id) AS INT) AS position
   FROM files
@@ -100,10 +100,10 @@ SEARCH = {
     "search_by_postings_multi": _search("pat_ds350_e15"),
     "search_request_limit": _search("ac35l", 50),
     "search_snippets": f"""
-{O.WITH_FILES} SELECT id, {O.snippet(Q['terex_onk'])} AS snippet
+{O.WITH_TEXTS} SELECT id, {O.snippet(Q['terex_onk'])} AS snippet
 FROM files WHERE {O.match(Q['terex_onk'])}""",
     "search_summary": f"""
-{O.WITH_FILES} SELECT count(*) AS results, count(*) FILTER (is_cloud) AS cloud_results
+{O.WITH_TEXTS} SELECT count(*) AS results, count(*) FILTER (is_cloud) AS cloud_results
 FROM ({O.search_sql(Q['word'])}) r""",
     "single_model_search": _ids(O.match(Q["ac35l"])),
     "brand_model_search": _ids(O.match(Q["terex_onk"])),
@@ -111,39 +111,43 @@ FROM ({O.search_sql(Q['word'])}) r""",
     "word_match": _ids(O.all_match(Q["pat"])),
     "tech_match": _ids(O.all_match(Q["ac35l"])),
     "field_hits": f"""
-{O.WITH_FILES} SELECT id, {O.hit('filename', *_onk)} AS name_hit,
+{O.WITH_TEXTS} SELECT id, {O.hit('filename', *_onk)} AS name_hit,
   {O.hit('filepath', *_onk)} AS path_hit, {O.hit('content', *_onk)} AS content_hit FROM files""",
     "model_evidence": f"""
-{O.WITH_FILES} SELECT id, CAST({O.position('content', 'tech', 'ac35l')} AS INT) AS first_position,
+{O.WITH_TEXTS} SELECT id, CAST({O.position('content', 'tech', 'ac35l')} AS INT) AS first_position,
   CAST(least({O.count('content', 'tech', 'ac35l')}, 3) AS INT) AS mentions
 FROM files WHERE {O.hit('content', 'tech', 'ac35l')}""",
     "relevance_score": f"""
-{O.WITH_FILES} SELECT id, CAST({O.score(Q['terex_ac35l'])} AS INT) AS score FROM files""",
+{O.WITH_TEXTS} SELECT id, CAST({O.score(Q['terex_ac35l'])} AS INT) AS score FROM files""",
     "numeric_model_metadata": _ids(O.numeric("кс55724")),
     "candidate_prefilter": _ids(f"{_coarse_word('pat')} AND {_coarse_code('онк')}"),
     "substring_probe": f"""
-{O.WITH_FILES} SELECT id, filename, extension, filepath, contains(lower(filename), '55724') AS name_hit,
+{O.WITH_TEXTS} SELECT id, filename, extension, filepath, contains(lower(filename), '55724') AS name_hit,
   contains(lower(filepath), '55724') AS path_hit,
   contains(lower(coalesce(content, '')), '55724') AS content_hit,
   CASE WHEN contains(lower(coalesce(content, '')), '55724') THEN
     {O.excerpt("content", "(strpos(lower(content), '55724') - 1)", "5", 140, False)} ELSE '' END AS context
 FROM files WHERE {_coarse_word('55724')} ORDER BY id LIMIT 100""",
     "substring_total": f"""
-{O.WITH_FILES} SELECT count(*) AS total FROM files WHERE {_coarse_word('55724')}""",
+{O.WITH_TEXTS} SELECT count(*) AS total FROM files WHERE {_coarse_word('55724')}""",
+    "substring_total_by_index": f"""
+{O.WITH_TEXTS} SELECT count(*) AS total FROM files WHERE {_coarse_word('гидроаккум')}""",
+    "substring_words_by_index": f"""
+{O.WITH_TEXTS} SELECT count(*) AS total FROM files WHERE {_coarse_word('er the th')}""",
     "match_explain": _explain(),
     "variant_hits": f"""
-{O.WITH_FILES} SELECT count(*) AS context_documents,
+{O.WITH_TEXTS} SELECT count(*) AS context_documents,
   count(*) FILTER ({O.hit('content', *_e10)}) AS latin_hits,
   count(*) FILTER ({O.hit('content', 'tech', 'е10')}) AS cyrillic_hits
 FROM files WHERE {_text_docs}""",
     "variant_hits_multi": f"""
-{O.WITH_FILES} SELECT count(*) AS context_documents,
+{O.WITH_TEXTS} SELECT count(*) AS context_documents,
   count(*) FILTER ({O.hit('content', *_e10)}) AS one,
   count(*) FILTER ({O.hit('content', *_e10)} AND {O.hit('content', 'word', 'terex')}) AS two,
   count(*) FILTER ({O.hit('content', *_e10)} AND {O.hit('content', 'word', 'nosuchword')}) AS none
 FROM files WHERE {_text_docs}""",
     "variant_examples": f"""
-{O.WITH_FILES} SELECT id, filename, filepath,
+{O.WITH_TEXTS} SELECT id, filename, filepath,
   {O.excerpt("content", O.position('content', *_e10), O.match_length('content', *_e10), 120, False)} AS excerpt
 FROM files WHERE {_text_docs} AND {O.hit('content', *_e10)} ORDER BY id LIMIT 20""",
 }
@@ -204,6 +208,8 @@ reqs AS (
 
 WITH_Q = f"WITH RECURSIVE questions AS ({O.QUESTIONS}), {tokens_ctes('questions', 'question_id', 'question')}"
 
+SEARCH["substring_by_index"] = SEARCH["substring_probe"]
+
 TEXT = {
     "raw_tokens": f"""
 WITH questions AS ({O.QUESTIONS})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from manualdex.functions import excerpt as E
 from manualdex.functions import text as X
 from manualdex.operators import matching as M
+from manualdex.operators import substrings
 from manualdex.operators.topk import top_k
 from manualdex.schema import TEXT_BEARING_EXTENSIONS
 from manualdex.sources.catalog import lookup, with_text_facts
@@ -47,6 +48,16 @@ def substring_total(files: DataFrame, token: str) -> DataFrame:
     return files.filter(test).agg(F.count(F.lit(1)).alias("total"))
 
 
+def substring_probe_by_index(files: DataFrame, index: substrings.Index, token: str, limit: int = 100) -> DataFrame:
+    """``substring_probe`` that tests the texts of trigram candidates only."""
+    return substring_probe(substrings.candidate_rows(files, index, token.lower()), token, limit)
+
+
+def substring_total_by_index(files: DataFrame, index: substrings.Index, token: str) -> DataFrame:
+    """``substring_total`` that tests the texts of trigram candidates only."""
+    return substring_total(substrings.candidate_rows(files, index, token.lower()), token)
+
+
 def contexts(text: Column, pattern: Column, radius: int, limit: int = 3) -> Column:
     """Up to ``limit`` excerpts, one per match, from the text cut at its matches."""
     pieces = F.split(text, pattern, limit + 1)

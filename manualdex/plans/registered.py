@@ -12,26 +12,26 @@ from manualdex.sources import derived as D
 
 
 def _search(query: str, **kw):
-    return lambda spark, sf: S.search(D.catalog(spark, sf), query, **kw)
+    return lambda spark, sf: S.search(D.texts(spark, sf), query, **kw)
 
 
 def _by_postings(query: str):
-    return lambda spark, sf: S.search_by_postings(D.catalog(spark, sf), D.postings(spark, sf), query)
+    return lambda spark, sf: S.search_by_postings(D.texts(spark, sf), D.postings(spark, sf), query)
 
 
 def _snippets(spark, sf):
-    files = D.catalog(spark, sf)
+    files = D.texts(spark, sf)
     reqs = M.read_query(spark, "terex онк160с")
     return S.with_snippet(S.matching_files(files, reqs), reqs).select("id", "snippet")
 
 
 def _search_summary(spark, sf):
-    return S.search_summary(S.search(D.catalog(spark, sf), "гидроаккумулятор"))
+    return S.search_summary(S.search(D.texts(spark, sf), "гидроаккумулятор"))
 
 
 def _field_hits(spark, sf):
     req = M.read_query(spark, "онк-160с")[0]
-    return D.catalog(spark, sf).select(
+    return D.texts(spark, sf).select(
         "id",
         M.hit("filename", req).alias("name_hit"),
         M.hit("filepath", req).alias("path_hit"),
@@ -42,14 +42,14 @@ def _field_hits(spark, sf):
 def _match_ids(query: str):
     def run(spark, sf):
         reqs = M.read_query(spark, query)
-        return D.catalog(spark, sf).filter(M.matches_all(reqs)).select("id")
+        return D.texts(spark, sf).filter(M.matches_all(reqs)).select("id")
 
     return run
 
 
 def _final_ids(query: str):
     def run(spark, sf):
-        return S.matching_files(D.catalog(spark, sf), M.read_query(spark, query)).select("id")
+        return S.matching_files(D.texts(spark, sf), M.read_query(spark, query)).select("id")
 
     return run
 
@@ -58,7 +58,7 @@ def _model_evidence(spark, sf):
     req = M.read_query(spark, "ac 35 l")[0]
     pieces = M.mentions(M.text_of("content"), F.lit(req.pattern))
     return (
-        D.catalog(spark, sf)
+        D.texts(spark, sf)
         .filter(M.hit("content", req))
         .select(
             "id",
@@ -70,29 +70,33 @@ def _model_evidence(spark, sf):
 
 def _relevance(spark, sf):
     reqs = M.read_query(spark, "terex ac35l")
-    return D.catalog(spark, sf).select("id", M.relevance(reqs).alias("score"))
+    return D.texts(spark, sf).select("id", M.relevance(reqs).alias("score"))
 
 
 def _numeric(spark, sf):
-    return D.catalog(spark, sf).filter(M.numeric_in_metadata("кс55724")).select("id")
+    return D.texts(spark, sf).filter(M.numeric_in_metadata("кс55724")).select("id")
 
 
 def _prefilter(spark, sf):
     reqs = M.read_query(spark, "pat онк160с")
-    return D.catalog(spark, sf).filter(S.coarse_filter(reqs)).select("id")
+    return D.texts(spark, sf).filter(S.coarse_filter(reqs)).select("id")
 
 
 def _substring_probe(spark, sf):
-    return explain.substring_probe(D.catalog(spark, sf), "55724")
+    return explain.substring_probe(D.texts(spark, sf), "55724")
 
 
 def _substring_total(spark, sf):
-    return explain.substring_total(D.catalog(spark, sf), "55724")
+    return explain.substring_total(D.texts(spark, sf), "55724")
+
+
+def _by_index(probe, token):
+    return lambda spark, sf: probe(D.texts(spark, sf), D.substring_index(spark, sf), token)
 
 
 def _match_explain(spark, sf):
     return explain.match_explain(
-        D.catalog(spark, sf), "ОНК 160С E10", "160", first_path="%онк%160%"
+        D.texts(spark, sf), "ОНК 160С E10", "160", first_path="%онк%160%"
     ).select(
         "position", "id", "requirement_no", "kind", "value", "name_hit", "path_hit", "content_hit",
         F.size("contexts").alias("context_count"),
@@ -102,18 +106,18 @@ def _match_explain(spark, sf):
 
 def _variant_hits(spark, sf):
     return explain.variant_hits(
-        D.catalog(spark, sf), "онк160с", {"latin_hits": "e10", "cyrillic_hits": "е10"}
+        D.texts(spark, sf), "онк160с", {"latin_hits": "e10", "cyrillic_hits": "е10"}
     )
 
 
 def _variant_hits_multi(spark, sf):
     return explain.variant_hits(
-        D.catalog(spark, sf), "онк160с", {"one": "e10", "two": "e10 terex", "none": "e10 nosuchword"}
+        D.texts(spark, sf), "онк160с", {"one": "e10", "two": "e10 terex", "none": "e10 nosuchword"}
     )
 
 
 def _variant_examples(spark, sf):
-    return explain.variant_examples(D.catalog(spark, sf), "онк160с", "e10")
+    return explain.variant_examples(D.texts(spark, sf), "онк160с", "e10")
 
 
 def _questions(column):
@@ -179,6 +183,9 @@ SEARCH = {
     "candidate_prefilter": _prefilter,
     "substring_probe": _substring_probe,
     "substring_total": _substring_total,
+    "substring_by_index": _by_index(explain.substring_probe_by_index, "55724"),
+    "substring_total_by_index": _by_index(explain.substring_total_by_index, "Гидроаккум"),
+    "substring_words_by_index": _by_index(explain.substring_total_by_index, "er the th"),
     "match_explain": _match_explain,
     "variant_hits": _variant_hits,
     "variant_hits_multi": _variant_hits_multi,

@@ -75,7 +75,7 @@ def _manifest_json(spark, sf):
 
 def _ask_response(spark, sf):
     planned = A.plan_questions(D.questions(spark, sf))
-    sources = A.question_sources(D.catalog(spark, sf), planned, frequent=D.frequent_keys(spark, sf))
+    sources = A.question_sources(D.texts(spark, sf), planned, frequent=D.frequent_keys(spark, sf))
     return Sc.ask_response(sources, F.lit(""))
 
 
@@ -102,7 +102,7 @@ SCALARS = {
     "validate_manifest": _manifest_check,
     "manifest_json": _manifest_json,
     "search_response_json": lambda spark, sf: Sc.search_response(
-        S.search(D.catalog(spark, sf), "ac 35 l", S.REQUEST_LIMIT), "ac 35 l"
+        S.search(D.texts(spark, sf), "ac 35 l", S.REQUEST_LIMIT), "ac 35 l"
     ),
     "ask_response_json": _ask_response,
 }

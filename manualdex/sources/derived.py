@@ -16,19 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from manualdex import session
 from manualdex.operators import postings as P
+from manualdex.operators import substrings
 from manualdex.sources import catalog as C
 
-_written: dict[tuple[str, str], str] = {}
-_frequent: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str, str], str] = {}
+_frequent: dict[str, str] = {}
 _folders: dict[tuple[str, str], str] = {}
+_substrings: dict[str, substrings.Index] = {}
 
-FILES_SQL = """
+_FILES = """
 SELECT doc_id AS id, filename,
        '/lib/' || lang || '/' || brand || '/' || CAST(doc_id AS STRING) || '/' || filename AS filepath,
        extension, n_chars * 3 + doc_id % 5 AS size,
        CAST(1700000000 + doc_id * 61 AS DOUBLE) AS modified,
-       CASE WHEN extension IN ('.jpg', '.tif', '.html') OR doc_id % 19 = 0 THEN NULL
-            WHEN doc_id % 5 = 0 THEN brand || ' ' || model || ' ' || fault || '. ' || model || ' ' || text
+       CASE [unread]WHEN doc_id % 5 = 0 THEN brand || ' ' || model || ' ' || fault || '. ' || model || ' ' || text
             WHEN doc_id % 5 = 1 THEN text || ' see ' || model || ' ' || fault
             WHEN doc_id % 5 = 2 THEN model || ', ' || model || ' ' || model || '; ' || fault || ' ' || text
             ELSE text END AS content,
@@ -61,6 +62,13 @@ FROM (SELECT *,
       FROM {documents}) a) b
 """
 
+# A catalog on its way: some files are not read yet. For status, upkeep and recognition.
+FILES_SQL = _FILES.replace(
+    "[unread]", "WHEN extension IN ('.jpg', '.tif', '.html') OR doc_id % 19 = 0 THEN NULL\n            "
+)
+# The catalog with the whole text of every document. For all that searches or cuts texts.
+TEXTS_SQL = _FILES.replace("[unread]", "")
+
 SCAN_SQL = """
 SELECT filename, filepath, extension,
        CASE WHEN id % 31 = 0 THEN size + 100 ELSE size END AS size,
@@ -101,7 +109,7 @@ SELECT conv_id * 100 + turn AS question_id,
             WHEN 4 THEN 'КС 55724 '
             WHEN 5 THEN 'код 77 RT100 '
             WHEN 6 THEN 'how to check гидроаккумулятор '
-            ELSE '' END || CASE WHEN (conv_id + turn) % 8 IN (0, 2, 4) THEN '' ELSE text END AS question
+            ELSE '' END || text AS question
 FROM {conversations} WHERE role = 'user'
 """
 
@@ -123,31 +131,47 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FILES_SQL, documents=table(spark, sf_dir, "documents"))
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived catalog as a stored table, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _stored(spark: SparkSession, sf_dir: str, statement: str) -> str:
+    """The root of a derived catalog as a stored table, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, statement)
     if key not in _written:
         root = session.lasting_folder(spark, "catalog")
-        C.write_snapshot(C.spread(files(spark, sf_dir)), root, 1)
+        C.write_snapshot(C.spread(spark.sql(statement, documents=table(spark, sf_dir, "documents"))), root, 1)
         _written[key] = root
-    return C.read_snapshot(spark, _written[key], 1)
+    return _written[key]
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived catalog of which some files are not read yet."""
+    return C.read_snapshot(spark, _stored(spark, sf_dir, FILES_SQL), 1)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived catalog with every text."""
+    return C.read_snapshot(spark, _stored(spark, sf_dir, TEXTS_SQL), 1)
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The postings stored with the derived catalog."""
-    catalog(spark, sf_dir)
-    return spark.read.parquet(C.postings_path(_written[spark.sparkContext.applicationId, sf_dir], 1))
+    """The postings stored with the texts."""
+    return spark.read.parquet(C.postings_path(_stored(spark, sf_dir, TEXTS_SQL), 1))
 
 
 def frequent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common keys of the derived catalog, written beside it on first use."""
-    files = catalog(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _frequent:
-        path = f"{_written[key]}/frequent_keys"
-        P.frequent_keys(files).write.mode("overwrite").parquet(path)
-        _frequent[key] = path
-    return spark.read.parquet(_frequent[key])
+    """Common keys of the texts, written beside them on first use."""
+    root = _stored(spark, sf_dir, TEXTS_SQL)
+    if root not in _frequent:
+        path = f"{root}/frequent_keys"
+        P.frequent_keys(texts(spark, sf_dir)).write.mode("overwrite").parquet(path)
+        _frequent[root] = path
+    return spark.read.parquet(_frequent[root])
+
+
+def substring_index(spark: SparkSession, sf_dir: str) -> substrings.Index:
+    """The substring index of the texts, written beside them on first use."""
+    root = _stored(spark, sf_dir, TEXTS_SQL)
+    if root not in _substrings:
+        _substrings[root] = substrings.write_index(texts(spark, sf_dir), f"{root}/substrings")
+    return _substrings[root]
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:

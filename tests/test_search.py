@@ -28,7 +28,7 @@ COUNTS = {
 
 @pytest.mark.parametrize("query", COUNTS)
 def test_counts(spark, sf, query):
-    files = D.catalog(spark, sf)
+    files = D.texts(spark, sf)
     reqs = M.read_query(spark, query)
     both = (files.filter(M.matches_all(reqs)).count(), S.matching_files(files, reqs).count())
     assert both == COUNTS[query]
@@ -36,19 +36,19 @@ def test_counts(spark, sf, query):
 
 @pytest.mark.parametrize("query", ["pat онк160с", "ac 35 l", "dana spicer"])
 def test_coarse_filter_keeps_all_matches(spark, sf, query):
-    files = D.catalog(spark, sf)
+    files = D.texts(spark, sf)
     reqs = M.read_query(spark, query)
     lost = files.filter(M.matches_all(reqs) & ~S.coarse_filter(reqs))
     assert lost.count() == 0
 
 
 def test_empty_query(spark, sf):
-    assert S.search(D.catalog(spark, sf), "   ").count() == 0
+    assert S.search(D.texts(spark, sf), "   ").count() == 0
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_batch_equals_single_search(spark, sf, broadcast):
-    files = D.catalog(spark, sf)
+    files = D.texts(spark, sf)
     texts = [*COUNTS, "-", "", "нет такого слова", "ds350"]
     questions = spark.createDataFrame(list(enumerate(texts)), "question_id long, query string")
     got = {
@@ -69,7 +69,7 @@ def test_shuffled_search_moves_keys_and_no_texts(spark, sf):
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        files = D.catalog(spark, sf)
+        files = D.texts(spark, sf)
         questions = spark.createDataFrame(list(enumerate(COUNTS)), "question_id long, query string")
         queries = B.distinct_queries(B.with_query_key(questions))
         got = B.search_queries(files, queries, 20, D.frequent_keys(spark, sf), broadcast=False).collect()
@@ -82,7 +82,7 @@ def test_shuffled_search_moves_keys_and_no_texts(spark, sf):
 def test_query_without_tokens_gives_nothing(spark, sf):
     from manualdex.plans import assist, explain
 
-    files = D.catalog(spark, sf)
+    files = D.texts(spark, sf)
     assert assist.context_chunks(files, "???").count() == 0
     assert explain.match_explain(files, "???", "160").count() == 0
     assert explain.variant_examples(files, "онк160с", "???").count() == 0
@@ -92,7 +92,7 @@ def test_query_without_tokens_gives_nothing(spark, sf):
 
 @pytest.mark.parametrize("query", ["ds350", "pat e15", "dana spicer", "онк160с e10"])
 def test_postings_give_the_same_results(spark, sf, query):
-    files = D.catalog(spark, sf)
+    files = D.texts(spark, sf)
     got = S.search_by_postings(files, D.postings(spark, sf), query).collect()
     assert got == S.search(files, query).collect()
 
@@ -103,7 +103,7 @@ def test_hot_question(spark, sf):
         F.col("id").alias("question_id"),
         F.when(F.col("id") % 3 > 0, "pat e15").otherwise(F.concat(F.lit("ds350 "), F.col("id") % 5)).alias("query"),
     )
-    out = B.batch_search(D.catalog(spark, sf), questions, 5)
+    out = B.batch_search(D.texts(spark, sf), questions, 5)
     counts = out.groupBy("question_id").count().filter(F.col("question_id") % 3 > 0)
     assert counts.agg(F.count("*"), F.min("count"), F.max("count")).first() == (2000, 4, 4)
 
@@ -117,6 +117,6 @@ def test_broadcast_is_size_checked(spark):
 
 
 def test_search_plan_reads_only_needed_columns(spark, sf):
-    plan = S.search(D.catalog(spark, sf), "ds350")._jdf.queryExecution().toString()
+    plan = S.search(D.texts(spark, sf), "ds350")._jdf.queryExecution().toString()
     assert "extraction_status" not in plan.split("ReadSchema")[-1]
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
