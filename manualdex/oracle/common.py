@@ -26,6 +26,7 @@ UNREAD = D.UNREAD_SQL.format(documents="documents")
 METADATA = D.METADATA_SQL.format(documents="documents")
 DUP_FILES = D.DUP_FILES_SQL.format(documents="documents")
 QUESTIONS = D.QUESTIONS_SQL.format(conversations="conversations")
+ASKED = D.ASKED_SQL.format(conversations="conversations")
 SCHEDULES = D.SCHEDULES_SQL.format(events="events")
 WITH_FILES = f"WITH files AS ({FILES})"
 WITH_TEXTS = f"WITH files AS ({TEXTS})"

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from manualdex import session
+from manualdex.operators import positions as Pos
 from manualdex.operators import postings as P
 from manualdex.operators import substrings
 from manualdex.sources import catalog as C
@@ -23,6 +24,7 @@ _written: dict[tuple[str, str, str], str] = {}
 _frequent: dict[str, str] = {}
 _folders: dict[tuple[str, str], str] = {}
 _substrings: dict[str, substrings.Index] = {}
+_positions: dict[str, str] = {}
 
 _FILES = """
 SELECT doc_id AS id, filename,
@@ -99,9 +101,7 @@ SELECT doc_id AS id,
 FROM {documents}
 """
 
-QUESTIONS_SQL = """
-SELECT conv_id * 100 + turn AS question_id,
-       CASE (conv_id + turn) % 8
+_PHRASE = """CASE (conv_id + turn) % 8
             WHEN 0 THEN 'На ОНК-160С появляется E10. Что проверить? '
             WHEN 1 THEN 'Terex AC 35 L не работает телескопирование '
             WHEN 2 THEN 'PAT DS350 E15 что значит '
@@ -109,8 +109,22 @@ SELECT conv_id * 100 + turn AS question_id,
             WHEN 4 THEN 'КС 55724 '
             WHEN 5 THEN 'код 77 RT100 '
             WHEN 6 THEN 'how to check гидроаккумулятор '
-            ELSE '' END || text AS question
-FROM {conversations} WHERE role = 'user'
+            ELSE '' END"""
+
+# Every user turn with a code phrase before its whole text.
+QUESTIONS_SQL = f"""
+SELECT conv_id * 100 + turn AS question_id, {_PHRASE} || text AS question
+FROM {{conversations}} WHERE role = 'user'
+"""
+
+# Those questions, and for every turn, whatever its role, a short one.
+ASKED_SQL = f"""
+SELECT conv_id * 100 + turn AS question_id, {_PHRASE} || text AS question
+FROM {{conversations}} WHERE role = 'user'
+UNION ALL
+SELECT -(conv_id * 100 + turn) AS question_id,
+       CASE turn % 4 WHEN 0 THEN 'PAT DS350' WHEN 1 THEN 'КС 55724' WHEN 2 THEN 'dana spicer' ELSE {_PHRASE} END AS question
+FROM {{conversations}}
 """
 
 SCHEDULES_SQL = """
@@ -166,6 +180,16 @@ def frequent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_frequent[root])
 
 
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positional postings of the texts, written beside them on first use."""
+    root = _stored(spark, sf_dir, TEXTS_SQL)
+    if root not in _positions:
+        path = f"{root}/positions"
+        Pos.write_positions(texts(spark, sf_dir), path)
+        _positions[root] = path
+    return spark.read.parquet(_positions[root])
+
+
 def substring_index(spark: SparkSession, sf_dir: str) -> substrings.Index:
     """The substring index of the texts, written beside them on first use."""
     root = _stored(spark, sf_dir, TEXTS_SQL)
@@ -204,6 +228,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(QUESTIONS_SQL, conversations=conversations)
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = C.spread(table(spark, sf_dir, "conversations"))
+    return spark.sql(ASKED_SQL, conversations=conversations)
+
+
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SCHEDULES_SQL, events=table(spark, sf_dir, "events"))
 
