@@ -312,42 +312,64 @@ def counters(classified: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def next_snapshot(catalog: DataFrame, after: DataFrame, gone: DataFrame) -> DataFrame:
-    """Full catalog rows, text included, for the next written version.
-
-    Only rows the sync touched take part in a join, as a written table whose size the
-    planner knows: while it is small the texts of all other rows stay where they are.
-    ``after`` is the state with ``new_content`` of files that were read; ``gone`` holds the
-    ids to drop. Rows keep their stored text unless the sync cleared or replaced it.
-    """
-    columns = [c for c in STATE if c != "id"]
+def _edits(after: DataFrame) -> DataFrame:
+    """The new state of edited rows as one struct, and whether the stored text goes."""
     cleared = F.col("sync_action").isin("new", "changed") | F.col("success")
     touched = after.filter(F.col("dirty") & (F.col("sync_action") != "new"))
-    edits = cut_lineage(
-        touched.select(
-            "id",
-            F.struct(*columns, cleared.alias("cleared"), "new_content").alias("edit"),
-            F.lit(False).alias("gone"),
-        ).unionByName(gone.select("id", F.lit(True).alias("gone")), allowMissingColumns=True)
+    return touched.select(
+        "id", F.struct(*[c for c in STATE if c != "id"], cleared.alias("cleared"), "new_content").alias("edit")
     )
+
+
+def _stored(catalog: DataFrame) -> DataFrame:
+    """Catalog rows with every column of the state."""
+    absent = [c for c in STATE if c not in (*catalog.columns, *TEXT_FACTS)]
+    filled = with_text_facts(catalog)
+    return filled.withColumns({c: F.lit(None).cast(CATALOG[c].dataType) for c in absent}) if absent else filled
+
+
+def _with_edits(rows: DataFrame) -> DataFrame:
+    """Rows with their ``edit``, where they have one, put in."""
     edit, edited = F.col("edit"), F.col("edit").isNotNull()
-    absent = {c: F.lit(None).cast(CATALOG[c].dataType) for c in columns if c not in (*catalog.columns, *TEXT_FACTS)}
-    stored = with_text_facts(catalog)
-    kept = (stored.withColumns(absent) if absent else stored).join(edits, "id", "left").filter(
-        ~F.coalesce("gone", F.lit(False))
-    )
     content = F.when(edit["cleared"], edit["new_content"]).otherwise(F.col("content"))
-    old_rows = kept.select(
+    return rows.select(
         "id",
-        *[F.when(edited, edit[c]).otherwise(F.col(c)).alias(c) for c in columns],
+        *[F.when(edited, edit[c]).otherwise(F.col(c)).alias(c) for c in STATE if c != "id"],
         content.alias("content"),
         # Search keys of edited rows are made anew when the version is written.
-        *([F.when(~edited, F.col("keys")).alias("keys")] if "keys" in catalog.columns else []),
+        *([F.when(~edited, F.col("keys")).alias("keys")] if "keys" in rows.columns else []),
     )
-    new_rows = after.filter(F.col("sync_action") == "new").select(
-        "id", *columns, F.col("new_content").alias("content")
+
+
+def _new_rows(after: DataFrame) -> DataFrame:
+    return after.filter(F.col("sync_action") == "new").select(*STATE, F.col("new_content").alias("content"))
+
+
+def next_snapshot(catalog: DataFrame, after: DataFrame, gone: DataFrame) -> DataFrame:
+    """Full catalog rows, text included, for the next written version.
+
+    Only rows the sync touched take part in a join, as a written table whose size the
+    planner knows: while it is small the texts of all other rows stay where they are.
+    ``after`` is the state with ``new_content`` of files that were read; ``gone`` holds the
+    ids to drop. Rows keep their stored text unless the sync cleared or replaced it.
+    """
+    edits = cut_lineage(
+        _edits(after)
+        .withColumn("gone", F.lit(False))
+        .unionByName(gone.select("id", F.lit(True).alias("gone")), allowMissingColumns=True)
     )
-    return old_rows.unionByName(new_rows, allowMissingColumns=True)
+    kept = _stored(catalog).join(edits, "id", "left").filter(~F.coalesce("gone", F.lit(False)))
+    return _with_edits(kept).unionByName(_new_rows(after), allowMissingColumns=True)
+
+
+def changed_rows(catalog: DataFrame, after: DataFrame) -> DataFrame:
+    """Whole rows that the sync added or edited, for a version that writes its changes alone.
+
+    The catalog is first cut to the edited ids, so that of other rows no text reaches the join.
+    """
+    edits = cut_lineage(_edits(after))
+    rows = _stored(catalog).join(edits.select("id"), "id", "left_semi").join(edits, "id")
+    return _with_edits(rows).unionByName(_new_rows(after), allowMissingColumns=True)
 
 
 def repair(old: DataFrame, image_queue_done: bool) -> DataFrame:

@@ -219,6 +219,18 @@ SELECT count(*) FILTER (sync_action = 'new') AS added,
     "catalog_snapshot": f"""
 {_STATE}, {_RESULTS} SELECT id, filename, filepath, extension, size, modified, is_cloud, extraction_status,
   extraction_error, ocr_page, ocr_total_pages, file_hash, ocr_updated, sha256(content) AS content_hash FROM outcomes""",
+    "status_counts_deltas": f"""
+{_STATE}, {_RESULTS} SELECT coalesce(nullif(extraction_status, ''), 'pending') AS status, count(*) AS files
+FROM outcomes GROUP BY 1""",
+    "database_summary_deltas": f"""
+{_STATE}, {_RESULTS} SELECT count(*) AS total,
+  {', '.join(f"count(*) FILTER ({FILTERS[n]}) AS {n}" for n in ('ok', 'ocr', 'error', 'pending', 'unsupported'))}
+FROM outcomes""",
+    "ocr_pending_count_deltas": f"""
+{_STATE}, {_RESULTS} SELECT count(*) AS files FROM outcomes WHERE extension IN {OCR_EXT} AND {FILTERS['ocr']}""",
+    "analysis_counters_deltas": f"""
+{_STATE}, {_RESULTS} SELECT count(*) FILTER (length(coalesce(content, '')) > 0) AS analysed, count(*) AS total
+FROM outcomes""",
     "needs_extraction": f"""
 {WF} SELECT id, coalesce(lower(extension), '') IN {EXTRACTABLE} AND NOT coalesce(
   extraction_status IN ('ocr_pending', 'ocr_processing', 'error') OR (extraction_status = 'ok'
@@ -263,6 +275,8 @@ finished AS (
   FROM (SELECT *, ocr_total_pages > 0 AND ocr_page >= ocr_total_pages AS complete,
                length(trim(coalesce(content, ''))) >= 10 AS enough FROM merged) m)"""
 
+SYNC |= {f"catalog_snapshot_{way}": SYNC["catalog_snapshot"] for way in ("deltas", "compacted")}
+
 OCR = {
     "ocr_queue": f"""
 {WF} SELECT id, filename, filepath, CAST(is_cloud AS INT) AS is_cloud, ocr_page, ocr_total_pages, extension,

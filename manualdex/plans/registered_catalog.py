@@ -8,6 +8,7 @@ from manualdex.operators import duplicates, ocr, status, sync
 from manualdex.operators.sync import STATE
 from manualdex.session import cut_lineage, run_folder
 from manualdex.sources import catalog as C
+from manualdex.sources import deltas
 from manualdex.sources import derived as D
 
 ROOT = "/lib"
@@ -125,6 +126,30 @@ def _snapshot(spark, sf):
     )
 
 
+def _delta_root(spark, sf):
+    """A catalog with one sync committed as changes."""
+    root = run_folder(spark, "deltas")
+    catalog = D.catalog(spark, sf)
+    deltas.create(catalog, root)
+    gone = sync.missing(catalog, D.scan(spark, sf), ROOT)
+    after = cut_lineage(sync.with_outcomes(_synced(spark, sf), D.extraction_results(spark, sf)))
+    deltas.commit(spark, root, sync.changed_rows(deltas.read(spark, root), after), gone)
+    return root
+
+
+def _delta_snapshot(spark, sf, compacted=False):
+    root = _delta_root(spark, sf)
+    if compacted:
+        deltas.compact(spark, root)
+    return deltas.read(spark, root).select(
+        *[c for c in STATE if not c.endswith("_chars")], F.sha2("content", 256).alias("content_hash")
+    )
+
+
+def _delta_tally(report):
+    return lambda spark, sf: report(deltas.tally(spark, _delta_root(spark, sf)))
+
+
 def _needs(spark, sf):
     return D.catalog(spark, sf).select(
         "id",
@@ -169,6 +194,12 @@ SYNC = {
     "sync_counters": _counters,
     "extraction_outcome": _outcome,
     "catalog_snapshot": _snapshot,
+    "catalog_snapshot_deltas": _delta_snapshot,
+    "catalog_snapshot_compacted": lambda spark, sf: _delta_snapshot(spark, sf, compacted=True),
+    "status_counts_deltas": _delta_tally(deltas.status_counts),
+    "database_summary_deltas": _delta_tally(deltas.database_summary),
+    "ocr_pending_count_deltas": _delta_tally(deltas.ocr_pending_count),
+    "analysis_counters_deltas": _delta_tally(deltas.analysis_counters),
     "needs_extraction": _needs,
     "catalog_repair": _repair,
 }
