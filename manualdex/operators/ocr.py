@@ -33,13 +33,8 @@ def queue(files: DataFrame) -> DataFrame:
     return number_rows(rows, [F.col("cost"), F.col("id")], "position")
 
 
-def merged_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """Text to append per file: the pages after the last saved one, in page order.
-
-    Repeated deliveries of a page collapse first. Pages are joined in runs of
-    ``PAGES_PER_PIECE`` and the runs then per file, so a very long document is not built
-    from its single pages in one task.
-    """
+def fresh_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """``file_id``, ``page``, ``p`` (total_pages, text): pages of waiting files after the last saved one, each once."""
     resume = files.filter(waiting()).select(
         F.col("id").alias("file_id"), F.coalesce("ocr_page", F.lit(0)).alias("_saved")
     )
@@ -47,9 +42,17 @@ def merged_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
         F.max(F.struct("total_pages", F.coalesce("text", F.lit("")).alias("text"))).alias("p")
     )
     sizes = pages.groupBy("file_id").agg(F.count(F.lit(1)).alias("pages"))
-    fresh = join_groups(once, resume, sizes, ["file_id"], "pages", "page").filter(
-        F.col("page") > F.col("_saved")
-    )
+    return join_groups(once, resume, sizes, ["file_id"], "pages", "page").filter(F.col("page") > F.col("_saved"))
+
+
+def merged_pages(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """Text to append per file: the pages after the last saved one, in page order.
+
+    Repeated deliveries of a page collapse first. Pages are joined in runs of
+    ``PAGES_PER_PIECE`` and the runs then per file, so a very long document is not built
+    from its single pages in one task.
+    """
+    fresh = fresh_pages(files, pages)
 
     def in_order() -> Column:
         ordered = F.array_sort(F.collect_list(F.struct("at", "text")))

@@ -13,6 +13,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from manualdex import session
 from manualdex.operators import positions as Pos
@@ -219,6 +220,23 @@ def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(OCR_PAGES_SQL, files=catalog(spark, sf_dir))
 
 
+#: Characters of a page of the derived books.
+BOOK_PAGE = 1000
+
+
+def books(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every document as a scanned book that waits for recognition, and its recognised pages; each seventh is blank."""
+    files = texts(spark, sf_dir).select(
+        "id", "filename", "filepath", F.lit(".tif").alias("extension"), F.lit(None).cast("string").alias("content"),
+        F.lit("ocr_pending").alias("extraction_status"), F.lit(None).cast("string").alias("extraction_error"),
+        F.lit(0).alias("ocr_page"), F.lit(0).alias("ocr_total_pages"), F.lit(None).cast("double").alias("ocr_updated"),
+    )
+    cut = F.regexp_extract_all("content", F.lit(rf"(?s).{{1,{BOOK_PAGE}}}"), F.lit(0))
+    pages = texts(spark, sf_dir).select(F.col("id").alias("file_id"), F.size(cut).alias("total_pages"), F.posexplode(cut).alias("at", "text"))
+    blank = F.when((F.col("file_id") + F.col("at")) % 7 == 0, "").otherwise(F.col("text"))
+    return files, pages.select("file_id", (F.col("at") + 1).alias("page"), "total_pages", blank.alias("text"))
+
+
 def dup_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DUP_FILES_SQL, documents=table(spark, sf_dir, "documents"))
 
