@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from manualdex.llm.tables import WORD
+from manualdex.llm.tables import WORD, row_hash, unused
+from manualdex.operators.numbering import number_rows
 from manualdex.session import cut_lineage
 
 #: Stretches into which the key range of each source is cut.
@@ -133,30 +134,56 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs`` with ``epoch``, once per pass in which they are taken, and
     ``words``, the words taken in that pass (fewer than the document has only at a source's cut).
 
-    Documents taken with no words are left out. Rows are told apart by id and text; rows equal in
-    both share one plan row. A column of ``docs`` named ``epoch`` or ``words`` is replaced.
+    Documents taken with no words are left out. Rows are told apart by id and text. Of rows equal in both and lying
+    at a cut, as many are taken as the budget holds, in the order of a hash of the whole row. A column of ``docs``
+    named ``epoch`` or ``words`` is replaced; other columns may have any names, and come out as they went in.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    plan = (
+    own_id, own_key, own_row, epochs, part, size = unused(docs, "_id", "_key", "_row", "_epochs", "_part", "_size")
+    plan = cut_lineage(
         mix(docs, **options)
-        .filter("taken > 0")
-        .groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_key").alias("_key"))
-        .agg(F.max("epochs").alias("_epochs"), F.max("part").alias("_part"), F.max("size").alias("_size"))
-        .withColumn(
-            "_passes",
-            F.expr("sequence(1L, _epochs + if(_part > 0, 1, 0))"),
+        .groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(own_id), F.col("text_key").alias(own_key))
+        .agg(
+            F.max("epochs").alias(epochs),
+            F.sum("part").alias(part),
+            F.max("size").alias(size),
+            F.count(F.lit(1)).alias("rows"),
+            F.max("taken").alias("taken"),
         )
+        .filter("taken > 0")
     )
+    # Rows of a group are cut alike unless it lies at a cut; then they are numbered, each with its own part.
+    divided = (F.col("rows") > 1) & (F.col(part) > 0) & (F.col(part) < F.col("rows") * F.col(size))
     marked = docs.withColumns(
         {
-            "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-            "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+            own_id: F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+            own_key: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
         }
     )
-    kept = [c for c in docs.columns if c not in ("epoch", "words")]
-    return (
-        marked.join(plan, ["_id", "_key"])
-        .select(*kept, F.explode("_passes").alias("epoch"), "_epochs", "_part", "_size")
-        .withColumn("words", F.when(F.col("epoch") <= F.col("_epochs"), F.col("_size")).otherwise(F.col("_part")))
-        .drop("_epochs", "_part", "_size")
+    alike = plan.filter(~divided).select(own_id, own_key, epochs, F.least(part, size).alias(part), size)
+    taken = marked.join(alike, [own_id, own_key]).drop(own_id, own_key)
+    at_cut = plan.filter(divided).select(own_id, own_key, epochs, part, size)
+    if not at_cut.isEmpty():
+        taken = taken.unionByName(_numbered(docs, marked, at_cut, own_id, own_key, own_row, part, size))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("epoch", "words")]
+    passes = F.col(epochs) + F.when(F.col(part) > 0, 1).otherwise(0)
+    numbers = F.when(passes > 0, F.sequence(F.lit(1).cast("long"), passes)).otherwise(F.array().cast("array<bigint>"))
+    words = F.when(F.col("epoch") <= F.col(epochs), F.col(size)).otherwise(F.col(part))
+    return taken.withColumn("epoch", F.explode(numbers)).select(*kept, "epoch", words.alias("words"))
+
+
+def _numbered(
+    docs: DataFrame, marked: DataFrame, at_cut: DataFrame, own_id: str, own_key: str, own_row: str, part: str, size: str
+) -> DataFrame:
+    """Rows of the groups at a cut, each with the part that is left for it after the ones before it."""
+    rows = cut_lineage(marked.join(at_cut, [own_id, own_key]).withColumn(own_row, F.monotonically_increasing_id()))
+    narrow = rows.select(
+        F.col(own_id).alias("i"), F.col(own_key).alias("k"), row_hash(docs).alias("h"), F.col(own_row).alias("r")
     )
+    placed = number_rows(narrow, [F.col("i"), F.col("k"), F.col("h"), F.col("r")], "place")
+    first = placed.groupBy("i", "k").agg(F.min("place").alias("first"))
+    before = placed.join(first, ["i", "k"]).select(F.col("r").alias(own_row), (F.col("place") - F.col("first")).alias("n"))
+    left = F.col(f"rows.{part}") - F.col("before.n") * F.col(f"rows.{size}")
+    own = F.greatest(F.lit(0).cast("long"), F.least(F.col(f"rows.{size}"), left))
+    columns = [F.col(f"rows.`{c}`") for c in rows.columns if c not in (own_id, own_key, own_row, part)]
+    return rows.alias("rows").join(before.alias("before"), own_row).select(*columns, own.alias(part))

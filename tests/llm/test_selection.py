@@ -3,8 +3,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from manualdex.llm import decontaminate, html_text, mixing
+from manualdex.llm import decontaminate, html_text, mixing, tables
 from tests.llm import data
 
 
@@ -61,6 +62,37 @@ def test_mixture_repeats_and_cuts(spark):
     assert all(passes[i] == p.epochs + (p.part > 0) for i, p in plan.items())
 
 
+def test_mixture_of_repeated_rows_keeps_to_the_budget(spark):
+    """A third of the rows without id, equal in text, at the cut; columns named as those used inside."""
+    rows = [(None if i % 3 else i, "five words in a row" if i % 3 else f"one {i}", "a" if i % 3 else "b", i, "k", i % 2, 3, 4, "r") for i in range(300)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, source string, _id long, _key string, _place int, n int, first int, `rows` string"
+    )
+    plan = mixing.mix(docs.select("doc_id", "text", "source")).collect()
+    mixed = mixing.mixture(docs).collect()
+    for source in "ab":
+        assert sum(r.words for r in mixed if r.source == source) == sum(p.taken for p in plan if p.source == source)
+    by_row = Counter()
+    for r in mixed:
+        assert (r._id, r._key, r.first) == (r._id, "k", 4)
+        by_row[r._id] += r.words
+    sizes = {r[3]: len(r[1].split()) for r in rows}
+    assert set(by_row) <= set(sizes) and all(v <= 2 * sizes[i] for i, v in by_row.items())
+    again = sorted(map(str, mixing.mixture(docs.repartition(5)).collect()))
+    assert again == sorted(map(str, mixed))
+
+
+def test_kept_rows_of_clashing_names(spark):
+    rows = [(1, "x", 77, "a"), (1, "x", 88, "b"), (None, "y", 99, "c"), (2, "z", 5, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _KEY string")
+    keys = spark.createDataFrame([(1, "x"), (None, "y")], "id long, text_key string")
+    got = tables.kept_rows(docs, keys, F.col("text"))
+    assert got.schema == docs.schema
+    first = [tuple(r) for r in sorted(got.collect(), key=str)]
+    assert set(first) < set(rows) and len(first) == 2 and {r[0] for r in first} == {1, None}
+    assert first == [tuple(r) for r in sorted(tables.kept_rows(docs.repartition(3), keys, F.col("text")).collect(), key=str)]
+
+
 def windows(rows, items):
     """Best window of each item in each text, by comparing all windows."""
     def split(t):
