@@ -27,8 +27,8 @@ from manualdex.llm.rolling import Stretches, ragged
 from manualdex.operators.topk import top_k
 from manualdex.session import cut_lineage
 
-#: Bytes of text worked on at once, and counts that a task gathers before it emits them.
-SLICE, GATHERED = 1 << 21, 1 << 22
+#: Bytes of text worked on at once, counts that a task gathers before it emits them, and rows emitted at once.
+SLICE, GATHERED, EMITTED = 1 << 21, 1 << 21, 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(12))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -41,7 +41,7 @@ _GAP[[32, 9]] = True
 #: Steps of the score by which candidates are counted before the best are sorted.
 _STEPS = 1000
 
-_COUNTED = "shard int, size int, h long, c long"
+_COUNTED = "shard tinyint, h long, c long"
 _NAMED = "lang string, size int, phrase string, c long"
 
 
@@ -125,6 +125,13 @@ def _summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(parts), return_counts=True)
 
 
+def _parts(columns: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of a size that neither side has to hold many of."""
+    whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+    for at in range(0, whole.num_rows, EMITTED):
+        yield whole.slice(at, EMITTED)
+
+
 def _mine(sizes: list[int], table, shards: int) -> Callable:
     """Counts of all phrases of the given sizes, of the longer ones those whose shorter parts are in the table."""
 
@@ -134,15 +141,10 @@ def _mine(sizes: list[int], table, shards: int) -> Callable:
         shard = TaskContext.get().partitionId() % shards
         gathered: dict[int, list[np.ndarray]] = {s: [] for s in sizes}
 
-        def emit(size: int) -> pa.RecordBatch:
+        def emit(size: int) -> Iterator[pa.RecordBatch]:
             h, c = _summed(gathered[size])
             gathered[size] = []
-            shard_of = np.full(len(h), shard, np.int32)
-            sizes_of = np.full(len(h), size, np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(shard_of), pa.array(sizes_of), pa.array(h.view(np.int64)), pa.array(c)],
-                ["shard", "size", "h", "c"],
-            )
+            yield from _parts([np.full(len(h), shard, np.int8), h.view(np.int64), c], ["shard", "h", "c"])
 
         for batch in batches:
             for data, offsets, langs, names in _slices(batch):
@@ -156,10 +158,10 @@ def _mine(sizes: list[int], table, shards: int) -> Callable:
                         h = h[ok[at] & ok[at + 1]]
                     gathered[size].append(h)
                     if sum(map(len, gathered[size])) >= GATHERED:
-                        yield emit(size)
+                        yield from emit(size)
         for size in sizes:
             if gathered[size]:
-                yield emit(size)
+                yield from emit(size)
 
     return run
 
@@ -170,7 +172,7 @@ def _count(sizes: list[int], table) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
 
-        def emit() -> pa.RecordBatch:
+        def emit() -> Iterator[pa.RecordBatch]:
             h, c, size = (np.concatenate([k[j] for k in kept]) for j in range(3))
             lang, text = (pa.chunked_array([k[j] for k in kept]) for j in (3, 4))
             kept.clear()
@@ -179,7 +181,7 @@ def _count(sizes: list[int], table) -> Callable:
             np.add.at(total, back, c)
             cols = [lang.take(first), pa.array(size[first]), text.take(first), pa.array(total)]
             cols = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols]
-            return pa.RecordBatch.from_arrays(cols, ["lang", "size", "phrase", "c"])
+            yield from _parts(cols, ["lang", "size", "phrase", "c"])
 
         held = 0
         for batch in batches:
@@ -207,10 +209,10 @@ def _count(sizes: list[int], table) -> Callable:
                     kept.append((h, c, np.full(len(h), size, np.int32), lang, words.spelled(at, size)))
                     held += len(h)
                 if held >= GATHERED // 4:
-                    yield emit()
+                    yield from emit()
                     held = 0
         if kept:
-            yield emit()
+            yield from emit()
 
     return run
 
@@ -234,8 +236,8 @@ def frequent_phrases(
 
     ``size`` 0 with an empty phrase counts all words of the language. The result is written to the shared folder.
     """
-    if not 1 <= shards <= support:
-        raise ValueError("shards must be between 1 and the support")
+    if not 1 <= shards <= min(support, 127):
+        raise ValueError("shards must be between 1 and the support, and below 128")
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     key = F.col("h")
