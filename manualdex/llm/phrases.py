@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ _GAP[[32, 9]] = True
 _STEPS = 1000
 
 _COUNTED = "shard tinyint, h long, c long"
-_NAMED = "lang string, size int, phrase string, c long"
+_NAMED = "name string, c long"
 
 
 class _Words:
@@ -167,21 +168,25 @@ def _mine(sizes: list[int], table, shards: int) -> Callable:
 
 
 def _count(sizes: list[int], table) -> Callable:
-    """The phrases themselves with their counts, for all that the table holds, and all words as size 0."""
+    """The phrases themselves with their counts, for all that the table holds, and all words as an empty phrase.
+
+    A name is the language, a tab, which no word holds, and the phrase; names are emitted in order, so that
+    neighbours begin alike and take little room in the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
+        kept: list[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]] = []
 
         def emit() -> Iterator[pa.RecordBatch]:
-            h, c, size = (np.concatenate([k[j] for k in kept]) for j in range(3))
-            lang, text = (pa.chunked_array([k[j] for k in kept]) for j in (3, 4))
+            h, c = (np.concatenate([k[j] for k in kept]) for j in range(2))
+            lang, text = (pa.chunked_array([k[j] for k in kept]) for j in (2, 3))
             kept.clear()
             _, first, back = np.unique(h, return_index=True, return_inverse=True)
             total = np.zeros(len(first), np.int64)
             np.add.at(total, back, c)
-            cols = [lang.take(first), pa.array(size[first]), text.take(first), pa.array(total)]
-            cols = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols]
-            yield from _parts(cols, ["lang", "size", "phrase", "c"])
+            name = pc.binary_join_element_wise(lang.take(first), text.take(first), "\t").combine_chunks()
+            order = pc.sort_indices(name)
+            yield from _parts([name.take(order), pa.array(total).take(order)], ["name", "c"])
 
         held = 0
         for batch in batches:
@@ -194,7 +199,6 @@ def _count(sizes: list[int], table) -> Callable:
                     (
                         mix(lang_hash[there]),
                         seen[there],
-                        np.zeros(len(there), np.int32),
                         all_names.take(there),
                         pa.array([""] * len(there), pa.string()),
                     )
@@ -206,7 +210,7 @@ def _count(sizes: list[int], table) -> Callable:
                     h, first, c = np.unique(h, return_index=True, return_counts=True)
                     at = at[first]
                     lang = all_names.take(words.lang[at])
-                    kept.append((h, c, np.full(len(h), size, np.int32), lang, words.spelled(at, size)))
+                    kept.append((h, c, lang, words.spelled(at, size)))
                     held += len(h)
                 if held >= GATHERED // 4:
                     yield from emit()
@@ -248,8 +252,12 @@ def frequent_phrases(
         known.destroy()
     known = sc.broadcast(bits)
     counted = texts.mapInArrow(_count(list(range(1, longest + 1)), known), _NAMED)
-    total = counted.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("c"))
-    out = cut_lineage(total.filter((F.col("c") >= support) | (F.col("size") == 0)))
+    total = counted.groupBy("name").agg(F.sum("c").alias("c"))
+    lang = F.expr("left(name, length(name) - length(substring_index(name, '\t', -1)) - 1)")
+    named = total.select(lang.alias("lang"), F.substring_index("name", "\t", -1).alias("phrase"), "c")
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ", -1)))
+    named = named.select("lang", size.alias("size"), "phrase", "c")
+    out = cut_lineage(named.filter((F.col("c") >= support) | (F.col("size") == 0)))
     known.destroy()
     return out
 
