@@ -222,10 +222,15 @@ def _count(sizes: list[int], table) -> Callable:
 
 
 def _frequent(texts: DataFrame, sizes: list[int], table, support: int, shards: int) -> DataFrame:
-    """Keys that are frequent in a shard at its part of the support."""
+    """Keys that are frequent in a shard at its part of the support and may have the support in all.
+
+    In a shard where a key is not frequent it has less than the lowered support, which bounds its sum.
+    """
     counted = texts.mapInArrow(_mine(sizes, table, shards), _COUNTED)
     local = -(-support // shards)
-    return counted.groupBy("shard", "h").agg(F.sum("c").alias("c")).filter(F.col("c") >= local).select("h")
+    frequent = counted.groupBy("shard", "h").agg(F.sum("c").alias("c")).filter(F.col("c") >= local)
+    most = F.sum("c") + (F.lit(shards) - F.count(F.lit(1))) * (local - 1)
+    return frequent.groupBy("h").agg(most.alias("most")).filter(F.col("most") >= support).select("h")
 
 
 def frequent_phrases(
