@@ -29,7 +29,7 @@ from manualdex.operators.topk import top_k
 from manualdex.session import cut_lineage
 
 #: Bytes of text worked on at once, counts that a task gathers before it emits them, and rows emitted at once.
-SLICE, GATHERED, EMITTED = 1 << 21, 1 << 21, 1 << 16
+SLICE, GATHERED, EMITTED = 1 << 20, 1 << 21, 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(12))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
