@@ -1,10 +1,10 @@
 """Main text of web pages by the maximum-scoring run of words and tags.
 
-A page is read once as a row of tokens. Words score positive and tags negative, each by how often its
-kind (its element, and whether the page marks its article there) lies inside the main text of labelled
-pages: words get that share, tags what is missing to one. Pages that mark their article with one
-``article`` or ``main`` element label themselves, so Spark counts the kinds over all such pages of the
-table; pages without a mark are scored by their elements alone. A linear scan finds the contiguous run of
+A page is read once as a row of tokens. Words score positive and tags negative, by the share of their kind
+that lies inside the article of labelled pages: a word scores that share, a tag the logarithm of it. The kind of
+a word is its block element and whether it is a link, that of a tag its element. Pages whose one fit ``article``
+or ``main`` element holds most of their words label themselves, so Spark counts the kinds over all such pages
+of the table. Labels serve the counts only: on every page alike, a linear scan finds the contiguous run of
 the highest sum, and its blocks are the text. Parts that are never article text (menus, forms, scripts,
 adverts, comments, …) are known by element, role or class; their words have no score and no place in
 the text.
@@ -13,6 +13,7 @@ the text.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -48,8 +49,20 @@ MARKS = frozenset(
     "replies reply disqus share sharing social related recommended recommendations newsletter subscribe subscription "
     "login signup signin search searchbox toolbar pagination pager skip widget widgets masthead topbar".split()
 )
-#: The same, but only outside a marked article, where a heading may have its own header.
-OUTER_MARKS = frozenset("header head top".split())
+#: Words that name a container. Inside an article a class name marks such a part only if it is made of marks and these.
+CONTAINERS = frozenset(
+    "area block body bottom box button buttons container content entry form group header holder icons inline inner item "
+    "items js left line link links list main outer page panel post posts right row section sticky story text thread "
+    "title top wrap wrapper".split()
+)
+#: The same as marks, but only outside an article, which may have a header of its own.
+OUTER_MARKS = frozenset("header head top foot copyright".split())
+#: Elements that stand inside running text or around one paragraph of it, as a prior for those seldom seen.
+TEXT_LEVEL = frozenset(
+    "a abbr b bdi bdo big blockquote br caption center cite code data dd del dfn dl dt em figcaption figure font h1 h2 h3 h4 "
+    "h5 h6 i img ins kbd li mark ol p picture pre q rp rt ruby s samp small source span strike strong sub sup table "
+    "tbody td tfoot th thead time tr tt u ul var wbr".split()
+)
 #: A tag of these closes an open paragraph.
 CLOSES_P = BLOCK - frozenset("body html head td th tr tbody thead tfoot caption".split())
 #: An opening tag closes an open one of the same group, up to the element that holds the group.
@@ -62,10 +75,10 @@ SIBLINGS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-#: Added to the counts inside and outside, for kinds seen seldom.
-PRIOR = 0.5
-#: Shares of kinds that no labelled page has, on pages without a mark.
-UNSEEN = {"word": 0.8, "tag": 0.7}
+#: Shares expected of kinds without any evidence; each counts as one observation.
+EXPECTED = {"word": 0.8, "text tag": 0.9, "other tag": 0.37}
+#: Scores are whole numbers, so that sums are exact and ties are ties.
+SCALE = 1000
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -84,17 +97,16 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass
 class Page:
-    """Tokens of a page in order. Kind -1 is text outside any article part, which has no score."""
+    """Tokens of a page in order; text of unfit parts has none."""
 
     kinds: list[tuple[str, str]]
-    #: For each token: index of its kind, words (0 for a tag), whether it lies in the marked article.
+    #: For each token: index of its kind, words (0 for a tag), text, number of its block.
     kind: list[int]
     words: list[int]
-    inside: list[bool]
     text: list[str]
-    #: Number of the block of each token.
     block: list[int]
-    marked: bool
+    #: First and last + 1 token between the tags of each outermost fit ``article`` and ``main``.
+    spans: dict[str, list[list[int]]]
 
 
 def _unfit(name: str, attributes: str, in_article: bool) -> bool:
@@ -108,8 +120,11 @@ def _unfit(name: str, attributes: str, in_article: bool) -> bool:
         if key in ("class", "id"):
             if name in ("body", "html", "article", "main"):
                 continue
-            marks = {p.lower() for p in PART.findall(value)}
-            if marks & MARKS or (not in_article and marks & OUTER_MARKS):
+            if in_article:
+                names = [{p.lower() for p in PART.findall(name)} for name in value.split()]
+                if any(n & MARKS and n <= MARKS | CONTAINERS for n in names):
+                    return True
+            elif {p.lower() for p in PART.findall(value)} & (MARKS | OUTER_MARKS):
                 return True
         elif key == "role":
             if value.lower() in ROLES:
@@ -124,58 +139,37 @@ def _unfit(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def _marked_elements(source: str) -> tuple[str, int] | None:
-    """The element that marks the article: the only outermost ``article``, or else the only ``main``."""
-    depth, starts = {"article": 0, "main": 0}, {"article": [], "main": []}
-    for found in TAG.finditer(source):
-        name = found["name"]
-        if name and (name := name.lower()) in depth:
-            if found["slash"]:
-                depth[name] = max(0, depth[name] - 1)
-            else:
-                if depth[name] == 0:
-                    starts[name].append(found.start())
-                depth[name] += 1
-    for name in ("article", "main"):
-        if len(starts[name]) == 1:
-            return name, starts[name][0]
-    return None
-
-
 def read(source: str) -> Page:
     """The tokens of a page."""
-    mark = _marked_elements(source) if re.search(r"<(article|main)\b", source, re.I) else None
-    page = Page([], [], [], [], [], [], mark is not None)
+    page = Page([], [], [], [], [], {"article": [], "main": []})
     index: dict[tuple[str, str], int] = {}
-    stack: list[tuple[str, bool, bool]] = []  # element, unfit, in the marked article
+    stack: list[tuple[str, bool, str]] = []  # element, unfit, block element around or at it
     block, at, open_names = 0, 0, Counter()
 
-    def put(kind: str, element: str, words: int, inside: bool, text: str) -> None:
+    def put(kind: str, element: str, words: int, text: str) -> None:
         key = (kind, element)
         if key not in index:
             index[key] = len(page.kinds)
             page.kinds.append(key)
         page.kind.append(index[key])
         page.words.append(words)
-        page.inside.append(inside)
         page.text.append(text)
         page.block.append(block)
 
     def say(piece: str) -> None:
         if piece and not (stack and stack[-1][1]):
             text = html.unescape(piece)
-            n = len(text.split())
-            element, _, inside = stack[-1] if stack else ("", False, False)
-            if n or text:
-                put("word", element, n, inside, text)
+            put("link" if open_names["a"] else "word", stack[-1][2] if stack else "", len(text.split()), text)
 
     def leave(to: int) -> None:
         nonlocal block
         while len(stack) > to:
-            name = stack.pop()[0]
+            name, unfit, _ = stack.pop()
             open_names[name] -= 1
             if name in BLOCK:
                 block += 1
+            if name in page.spans and not unfit and not open_names[name]:
+                page.spans[name][-1][1] = len(page.kind)
 
     for found in TAG.finditer(source):
         say(source[at : found.start()])
@@ -188,16 +182,14 @@ def read(source: str) -> Page:
             if name in BLOCK:
                 block += 1
             continue
-        inside = stack[-1][2] if stack else False
-        unfit = stack[-1][1] if stack else False
         if found["slash"]:
             if open_names[name]:
                 while stack[-1][0] != name:
                     leave(len(stack) - 1)
-                inside = stack[-1][2]
-                if not stack[-1][1]:
-                    put("tag", name, 0, inside, "")
+                fit = not stack[-1][1]
                 leave(len(stack) - 1)
+                if fit:
+                    put("tag", name, 0, "")
             elif name in BLOCK:
                 block += 1
             continue
@@ -211,37 +203,45 @@ def read(source: str) -> Page:
                 if stack[place][0] in same:
                     leave(place)
                 place -= 1
-        inside = stack[-1][2] if stack else False
-        unfit = stack[-1][1] if stack else False
+        unfit = bool(stack) and stack[-1][1]
         if name in BLOCK:
             block += 1
-        here = inside or (mark is not None and (name, found.start()) == mark)
-        bad = unfit or _unfit(name, found["attrs"], here)
+        in_article = open_names["article"] > 0 or open_names["main"] > 0
+        bad = unfit or _unfit(name, found["attrs"], in_article)
         if not bad:
-            put("tag", name, 0, here, " " if name == "br" else "")
+            put("tag", name, 0, " " if name == "br" else "")
         if name in VOID or found["attrs"].endswith("/") and name not in BLOCK:
             continue
-        stack.append((name, bad, here))
+        if name in page.spans and not bad and not open_names[name]:
+            page.spans[name].append([len(page.kind)] * 2)
+        around = name if name in BLOCK else stack[-1][2] if stack else ""
+        stack.append((name, bad, around))
         open_names[name] += 1
     say(source[at:])
+    leave(0)
     return page
 
 
-def _key(kind: tuple[str, str], marked: bool, inside: bool) -> str:
-    where = ("in" if inside else "out") if marked else "any"
-    return f"{kind[0]} {kind[1]} {where}"
+def label(page: Page) -> tuple[int, int] | None:
+    """The tokens of the article, where the page marks it: those of its only fit outermost ``article``, or
+    else of its only such ``main``, if they hold most of the words."""
+    most = sum(page.words) / 2
+    for name in ("article", "main"):
+        if len(page.spans[name]) == 1:
+            start, end = page.spans[name][0]
+            if sum(page.words[start:end]) > most:
+                return start, end
+    return None
 
 
 def evidence(page: Page) -> dict[str, list[int]]:
-    """Of a labelled page: how many tokens of each kind lie inside and outside the article.
-
-    Each is counted under the kind of a page with a mark and under that of a page without.
-    """
+    """Of a labelled page: how many tokens of each kind lie inside and outside the article."""
     out: dict[str, list[int]] = {}
-    for k, n, inside in zip(page.kind, page.words, page.inside):
-        for marked in (True, False):
-            counts = out.setdefault(_key(page.kinds[k], marked, inside), [0, 0])
-            counts[0 if inside else 1] += n or 1
+    marked = label(page)
+    if marked:
+        for i, (k, n) in enumerate(zip(page.kind, page.words)):
+            counts = out.setdefault(" ".join(page.kinds[k]), [0, 0])
+            counts[0 if marked[0] <= i < marked[1] else 1] += n if page.kinds[k][0] != "tag" else 1
     return out
 
 
@@ -249,12 +249,31 @@ class Weights:
     """Scores of words and tags from counts of labelled pages (kind: inside, outside)."""
 
     def __init__(self, counts: dict[str, tuple[int, int]]):
-        self.share = {k: (i + PRIOR) / (i + o + 2 * PRIOR) for k, (i, o) in counts.items()}
-
-    def of(self, kind: tuple[str, str], marked: bool, inside: bool) -> float:
-        other = float(inside) if marked else UNSEEN[kind[0]]
-        share = self.share.get(_key(kind, marked, inside), other)
-        return share if kind[0] == "word" else share - 1.0
+        self.counts = counts
+
+    def of(self, kind: tuple[str, str]) -> int:
+        """The score of one word or one tag of the kind; words from 0 up, tags below 0."""
+        sort, element = kind
+        expected = EXPECTED["word" if sort != "tag" else "text tag" if element in TEXT_LEVEL else "other tag"]
+        inside, outside = self.counts.get(" ".join(kind), (0, 0))
+        share = (inside + expected) / (inside + outside + 1)
+        return round(SCALE * share) if sort != "tag" else min(-1, round(SCALE * math.log(share)))
+
+
+def best_run(scores: np.ndarray) -> tuple[int, int]:
+    """First and last + 1 place of the contiguous run of the highest positive sum: the shortest of those
+    that have it, and the first of equally short ones; (0, 0) where no sum is positive."""
+    if not len(scores):
+        return 0, 0
+    sums = np.concatenate([[0], np.cumsum(scores, dtype=np.int64)])
+    lowest = np.minimum.accumulate(sums)
+    start = np.maximum.accumulate(np.where(sums == lowest, np.arange(len(sums)), 0))
+    gain = sums - lowest
+    ends = np.flatnonzero(gain == gain.max())
+    if gain[ends[0]] <= 0:
+        return 0, 0
+    end = ends[np.argmin(ends - start[ends])]
+    return int(start[end]), int(end)
 
 
 def main_text(source: str | None, weights: Weights) -> str:
@@ -262,22 +281,13 @@ def main_text(source: str | None, weights: Weights) -> str:
     if not source:
         return ""
     page = read(source)
-    known: dict[tuple[int, bool], float] = {}
-    # The best run is the shortest of those with the highest sum, the first of equals.
-    best, best_from, best_to, run, start = 0.0, 0, 0, 0.0, 0
-    for i, (k, n, inside) in enumerate(zip(page.kind, page.words, page.inside)):
-        weight = known.get((k, inside))
-        if weight is None:
-            weight = known[(k, inside)] = weights.of(page.kinds[k], page.marked, inside)
-        if run <= 0.0:
-            run, start = 0.0, i
-        run += weight * n if page.kinds[k][0] == "word" else weight
-        if run > best + 1e-9:
-            best, best_from, best_to = run, start, i + 1
+    if not page.kind:
+        return ""
+    kinds = np.array([weights.of(k) for k in page.kinds], np.int64)[page.kind]
+    tag = np.array([k[0] == "tag" for k in page.kinds])[page.kind]
+    start, end = best_run(kinds * np.where(tag, 1, page.words))
     blocks: dict[int, list[str]] = {}
-    for i in range(best_from, best_to):
-        if page.marked and not page.inside[i]:
-            continue
+    for i in range(start, end):
         blocks.setdefault(page.block[i], []).append(page.text[i])
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(b for b in joined if b)
@@ -289,12 +299,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source in batch.column(0):
             source = source.as_py()
             if source:
-                page = read(source)
-                if page.marked:
-                    for key, (i, o) in evidence(page).items():
-                        counts = total.setdefault(key, [0, 0])
-                        counts[0] += i
-                        counts[1] += o
+                for key, (i, o) in evidence(read(source)).items():
+                    counts = total.setdefault(key, [0, 0])
+                    counts[0] += i
+                    counts[1] += o
     if total:
         i, o = np.array(list(total.values()), np.int64).T
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(i), pa.array(o)], ["kind", "i", "o"])
@@ -325,11 +333,12 @@ def extract(
     """One row per row of ``pages``: ``page_id``, ``url``, ``text``, ``n_chars`` (code points).
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined in
-    order by a line feed. On a page that marks its article, text outside the mark is never taken.
+    order by a line feed. Whether a page marks its article makes no difference here, only in ``learn``.
 
     Defined cases: null and empty pages, and pages of which nothing scores, have an empty text. Text
-    outside all tags is a block. An unclosed element ends where the element around it ends. Repeated
-    rows are read each, null ids stay null, an empty table gives no rows, other columns are ignored.
+    outside all tags is a block. An unclosed element ends where the element around it ends. A page
+    of any length is read whole, in time linear in it. Of runs with equal sums the shortest, then the first, is taken.
+    Repeated rows are read each, null ids stay null, an empty table gives no rows, other columns are ignored.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 

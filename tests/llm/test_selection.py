@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,51 @@ def test_awkward_pages(spark):
     want = [(1, ""), (2, ""), (None, "plain text"), (4, "open"), (4, "open"), (5, "deep"), (6, "a < b"), (7, ""), (8, "<" * 5000)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert html_text.extract(pages.limit(0), html_text.learn(pages.limit(0))).count() == 0
+
+
+def test_best_run_is_the_best_of_all_runs():
+    rng = random.Random(3)
+    for _ in range(400):
+        scores = [rng.choice([-3, -2, -1, 0, 0, 1, 2, 3]) for _ in range(rng.randint(0, 25))]
+        runs = [(-sum(scores[i:j]), j - i, i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        best = min(runs, default=(0, 0, 0))
+        want = (best[2], best[2] + best[1]) if best[0] < 0 else (0, 0)
+        assert html_text.best_run(np.array(scores, np.int64)) == want
+
+
+BODY = " ".join(f"body{i}" for i in range(40))
+LABELLED = "<html><body><article><h1>one two</h1><p>a b c d e</p><div>taken in here</div></article><div>left out here</div></body></html>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<main><div class='post'>{BODY}</div><section class='comments'><article>one comment</article></section></main>", BODY),
+    (f"<body><div><p>{BODY}</p></div><aside><article>teaser item</article></aside></body>", BODY),
+    (f"<main><p>{BODY}</p><article>related item</article></main>", BODY),
+    (f"<body><h1>Title</h1><p>{BODY}</p><p>End, <a href=x>here</a></p><div class='foot'>Copyright 2024</div>", f"Title\n{BODY}\nEnd, here"),
+    (f"<article><p>first</p><div class='related-work'>{BODY}</div><div class='notice-of-claim'>{BODY}</div></article>", f"first\n{BODY}\n{BODY}"),
+    (f"<article><p>{BODY}</p><div class='comments-area'>{BODY}</div><div class='social share-box'>x</div></article>", BODY),
+    (f"<body><article>{BODY}</article><article>{BODY}</article></body>", f"{BODY}\n{BODY}"),
+    ("<div>stray line</div><article><p>few words</p></article>", "few words"),
+])
+def test_the_run_decides(page, text):
+    """Marks label pages for the counts and don't filter the text of a page."""
+    total = {}
+    for _ in range(50):
+        for kind, (i, o) in html_text.evidence(html_text.read(LABELLED)).items():
+            was = total.get(kind, (0, 0))
+            total[kind] = (was[0] + i, was[1] + o)
+    assert total["word div"] == (150, 150) and total["word p"] == (250, 0)
+    assert html_text.main_text(page, html_text.Weights(total)) == text
+
+
+def test_labels_are_marks_that_hold_most_words():
+    def labelled(page):
+        page = html_text.read(page)
+        span = html_text.label(page)
+        return span and "".join(page.text[span[0] : span[1]])
+
+    assert labelled("<body>x<article><p>a b c</article>") == "a b c"
+    assert labelled("<main>a b<aside><article>c</article></aside> c d") == "a b c d"
+    assert labelled("<p>a b c d<article>x</article>") is None
+    assert labelled("<main><article>a</article><article>b c</article></main>") == "ab c"
+    assert labelled("<p>a b c") is None and labelled("") is None
