@@ -5,8 +5,9 @@ stands unchanged in the longer one, at one of a few places that its length allow
 its segments under (its length, segment number, segment), and probes for every length that a partner may
 have, at every place that a segment can have moved to, under the same kind of key.
 
-Equal lines are one class first, known by two hashes, and only narrow rows are shuffled. Keys that one line
-alone holds are dropped; the texts of the lines left are fetched once. Each gets a sketch, the counts of
+Equal lines are one class first, known by two hashes, so only different lines post and probe, and only narrow rows
+are shuffled from then on. A first pass counts by key which keys several lines meet under; a second joins the keys to
+those alone. The texts of the lines left are fetched once. Each gets a sketch, the counts of
 seven kinds of characters in one long: an edit changes two counts by one at most, so lines whose counts differ by more
 than 2 * threshold in sum are no partners, and that is tested inside the join. Each pair that passes is
 verified by an edit distance whose band of 2 * threshold + 1
@@ -24,20 +25,17 @@ from pyspark.sql import functions as F
 from manualdex.llm.components import components
 from manualdex.session import cut_lineage
 
-#: Lines with fewer characters have no near-equals, only equals.
-MIN_CHARS = 12
 #: Lines of up to two to this power of characters have their whole common start cut off.
 LONGEST_BITS = 20
 #: Kinds of characters that a sketch counts.
 KINDS = ("e", "a", "n", "t", "ro", "is", "0123456789")
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and size of segment ``i`` of ``parts``: even sizes, the longer ones last."""
-    even, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    short = parts - longer
-    start = (i - 1) * even + F.greatest(F.lit(i - 1) - short, F.lit(0)) + 1
-    return start.cast("int"), (even + F.when(F.lit(i) > short, 1).otherwise(0)).cast("int")
+    even, short = F.floor(length / parts).cast("int"), parts - (length % parts)
+    start = (i - 1) * even + F.greatest(i - 1 - short, F.lit(0)) + 1
+    return start.cast("int"), (even + F.when(i > short, 1).otherwise(0)).cast("int")
 
 
 def places(threshold: int) -> list[tuple[int, int, int]]:
@@ -51,17 +49,32 @@ def places(threshold: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(line: Column, length: Column, threshold: int) -> Column:
-    """Array of (key, whether it is posted) of a line."""
-    parts, found = threshold + 1, []
-    for longer, i, move in places(threshold):
-        partner = length - longer
-        start, size = _segment(partner, i, parts)
-        at = start + move
-        fits = (partner >= MIN_CHARS) & (at >= 1) & (at + size - 1 <= length)
-        key = F.xxhash64(partner, F.lit(i), F.substring(line, at, size))
-        found.append(F.when(fits, F.struct(key.alias("key"), F.lit(longer == 0 and move == 0).alias("posted"))))
-    return F.array_compact(F.array(*found))
+def _posts(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """``id``, ``n``, ``key``, ``posted`` (or else only probed) of ``lines`` (``id``, ``line``).
+
+    The probes are dealt out as rows first, so that one short expression makes the key of each.
+    """
+    probes = F.array(*[
+        F.struct(F.lit(longer).alias("longer"), F.lit(i).alias("i"), F.lit(move).alias("move"))
+        for longer, i, move in places(threshold)
+    ])
+    n, parts = F.col("n"), threshold + 1
+    start, size = _segment(F.col("partner"), F.col("p.i"), parts)
+    return (
+        lines.select("id", "line", F.length("line").alias("n"))
+        .filter(n >= min_chars)
+        .select("id", "line", "n", F.explode(probes).alias("p"))
+        .withColumn("partner", n - F.col("p.longer"))
+        .filter(F.col("partner") >= min_chars)
+        .withColumns({"at": start + F.col("p.move"), "size": size})
+        .filter("at >= 1 AND at + size - 1 <= n")
+        .select(
+            "id",
+            "n",
+            F.xxhash64("partner", F.col("p.i"), F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("key"),
+            ((F.col("p.longer") == 0) & (F.col("p.move") == 0)).alias("posted"),
+        )
+    )
 
 
 def _sketch(line: Column) -> Column:
@@ -138,10 +151,18 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``place`` (from 0), ``line`` (outer spaces and tabs gone) of every line that isn't blank."""
-    split = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    """``doc_id``, ``text_key``, ``place`` (from 0), ``line`` (outer spaces and tabs gone) of every line that isn't blank.
+
+    ``text_key`` is null for rows with an id; rows without one are told apart by two hashes of their text.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.when(F.col(id_col).isNull(), F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")))
     return (
-        docs.select(F.col(id_col).alias("doc_id"), split.alias("place", "line"))
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            own.alias("text_key"),
+            F.posexplode(F.split(text, "\n")).alias("place", "line"),
+        )
         .withColumn("line", F.trim(F.col("line"), F.lit(" \t\r")))
         .filter("line <> ''")
     )
@@ -152,45 +173,46 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")))
 
 
-def line_classes(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line that isn't blank: ``doc_id``, ``place``, ``first_doc``, ``first_place``, ``kept``.
+def line_classes(
+    docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None
+) -> DataFrame:
+    """One row per line that isn't blank: ``doc_id``, ``text_key``, ``place``, ``first_doc``, ``first_place``, ``kept``.
 
     Lines belong together when at most ``threshold`` edits of single characters part them, directly or
-    over other lines; lines with fewer than ``MIN_CHARS`` characters only when equal. The first
-    (``first_doc``, ``first_place``) of a class is kept.
+    over other lines. The first (``first_doc``, ``first_place``) of a class is kept. Lines of up to
+    ``threshold`` characters, which as many edits replace whole, belong to equal ones only; ``min_chars`` raises
+    that bound for callers to whom short lines that differ are different.
 
-    Defined cases: null and empty texts have no lines. A null id sorts after all others. Rows
-    with one id count as one document, and lines equal in id and place are kept or dropped together. An
+    Defined cases: null and empty texts have no lines. Rows with one id count as one document, and so do
+    rows without id that have one text (``text_key``); these sort after all others, by the hashes. Lines
+    equal in document and place are kept or dropped together. Lines of any length are compared whole. An
     empty table gives no rows; other columns are ignored.
     """
+    least = max(threshold + 1, min_chars or 0)
     every = _named(lines(docs, id_col, text_col))
-    seen = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
+    seen = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "place")
     found = cut_lineage(every.select("id", seen.alias("at")))
     first = found.groupBy("id").agg(F.min("at").alias("at"))
-    size = F.length("line")
-    posts = (
-        every.filter(size >= MIN_CHARS)
-        .select("id", size.alias("n"), F.explode(_keys(F.col("line"), size, threshold)).alias("k"))
-        .select("id", "n", F.col("k.key").alias("key"), F.col("k.posted").alias("posted"))
-    )
-    # Lists with one line only are of no use; a list's leader is its smallest posted line.
-    lists = (
+    different = cut_lineage(_named(every.select("line").distinct()))
+    posts = _posts(different, threshold, least)
+    # Lists with one line only are of no use; a list's leader is its smallest posted line. Lines are told apart by
+    # one hash here: the leader's equal in it, if any, is a leader too.
+    one = F.col("id.h")
+    lists = cut_lineage(
         posts.groupBy("key")
-        .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.when(F.col("posted"), F.col("id"))).alias("leader"))
+        .agg(F.min(one).alias("low"), F.max(one).alias("high"), F.min(F.when(F.col("posted"), one)).alias("leader"))
         .filter("low <> high AND leader IS NOT NULL")
         .select("key", "leader")
     )
     open_posts = cut_lineage(posts.join(lists, "key").distinct())
     texts = cut_lineage(
-        every.select("id", "line")
-        .join(open_posts.select("id").distinct(), "id", "left_semi")
-        .groupBy("id")
-        .agg(F.first("line").alias("line"))
+        different.join(open_posts.select("id").distinct(), "id", "left_semi")
+        .select("id", "line")
         .withColumn("sketch", _sketch(F.col("line")))
     )
     open_posts = cut_lineage(open_posts.join(texts.select("id", "sketch"), "id"))
     texts = texts.select("id", "line")
-    leaders = open_posts.filter("posted AND id = leader").select(
+    leaders = open_posts.filter("posted AND id.h = leader").select(
         "key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")
     )
     to_leader = (
@@ -240,6 +262,7 @@ def line_classes(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", te
         .join(heads, "id")
         .select(
             F.col("at.doc_id").alias("doc_id"),
+            F.col("at.text_key").alias("text_key"),
             F.col("at.place").alias("place"),
             F.col("head.doc_id").alias("first_doc"),
             F.col("head.place").alias("first_place"),
@@ -287,11 +310,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return cut_lineage(both.filter(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b"))
 
 
-def deduplicated(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per id that has lines: ``doc_id``, ``n_lines``, ``n_dropped``, ``dropped`` (places, in order)."""
-    found = line_classes(docs, threshold, id_col, text_col)
-    return found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum((~F.col("kept")).cast("long")).alias("n_dropped"),
-        F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("place")))).alias("dropped"),
+def deduplicated(
+    docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text", min_chars: int | None = None
+) -> DataFrame:
+    """One row per document that has lines: ``doc_id``, ``n_lines``, ``n_dropped``, ``dropped`` (places, in order).
+
+    Documents are as in ``line_classes``: rows without id give one row for each text.
+    """
+    found = line_classes(docs, threshold, id_col, text_col, min_chars)
+    # Copies of a document without id hold the same places; each counts once.
+    places = found.groupBy("doc_id", "text_key", "place").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    once = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.col("rows"))
+    return (
+        places.groupBy("doc_id", "text_key")
+        .agg(
+            F.sum(once).alias("n_lines"),
+            F.sum(F.when(F.col("kept"), 0).otherwise(once)).cast("long").alias("n_dropped"),
+            F.sort_array(F.collect_list(F.when(~F.col("kept"), F.array_repeat("place", once.cast("int"))))).alias("dropped"),
+        )
+        .select("doc_id", "n_lines", "n_dropped", F.flatten("dropped").alias("dropped"))
     )

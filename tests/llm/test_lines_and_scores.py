@@ -69,7 +69,7 @@ def test_line_classes_match_all_pairs(spark, threshold):
     unique = sorted(parent)
     for i, a in enumerate(unique):
         for b in unique[:i]:
-            if min(len(a), len(b)) >= line_dedup.MIN_CHARS and abs(len(a) - len(b)) <= threshold:
+            if min(len(a), len(b)) > threshold and abs(len(a) - len(b)) <= threshold:
                 if distance(a, b) <= threshold:
                     parent[root(a)] = root(b)
     head = {}
@@ -89,6 +89,20 @@ def test_lines_of_awkward_rows(spark):
     assert line_dedup.deduplicated(data.documents(spark, []), threshold=1).count() == 0
 
 
+def test_short_lines_and_rows_without_id(spark):
+    """Lines of 11 and 12 characters link; rows without id are a document for each text."""
+    texts = ["elevenchars\nown a b c d e f", "elevenchbrs", "twelve chars", "twelve chbr", "ab\nax", "ab"]
+    docs = data.documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.place): r.kept for r in line_dedup.line_classes(docs).collect()}
+    assert got == {(0, 0): True, (0, 1): True, (1, 0): False, (2, 0): True, (3, 0): False, (4, 0): True, (4, 1): True, (5, 0): False}
+    raised = {(r.doc_id, r.place): r.kept for r in line_dedup.line_classes(docs, min_chars=12).collect()}
+    assert raised[1, 0] and raised[3, 0] and not raised[5, 0]
+    lone = [(None, f"first line {c * 9}\nsame line for all of them", "en", "a") for c in "abcd" * 3] + [(7, "same line for all of them", "en", "a")]
+    rows = line_dedup.deduplicated(data.documents(spark, lone)).collect()
+    assert len(rows) == 5
+    assert all((r.n_lines, r.n_dropped, r.dropped) == ((1, 0, []) if r.doc_id == 7 else (2, 1, [1])) for r in rows)
+
+
 def scores(rows, share, min_count=2):
     """By id (words, words scored by their bigram, score), by counting in dictionaries."""
     texts = [(i, data.words(t)) for i, t in rows]
