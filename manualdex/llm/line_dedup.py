@@ -6,8 +6,8 @@ its segments under (its length, segment number, segment), and probes for every l
 have, at every place that a segment can have moved to, under the same kind of key.
 
 Equal lines are one class first, known by two hashes, so only different lines post and probe, and only narrow rows
-are shuffled from then on. A first pass counts by key which keys several lines meet under; a second joins the keys to
-those alone. The texts of the lines left are fetched once. Each gets a sketch, the counts of
+are shuffled from then on. A first pass counts which keys several lines meet under, by their first bits; a second keeps
+the posts and probes of those alone. The texts of the lines left are fetched once. Each gets a sketch, the counts of
 seven kinds of characters in one long: an edit changes two counts by one at most, so lines whose counts differ by more
 than 2 * threshold in sum are no partners, and that is tested inside the join. Each pair that passes is
 verified by an edit distance whose band of 2 * threshold + 1
@@ -27,6 +27,10 @@ from manualdex.session import cut_lineage
 
 #: Lines of up to two to this power of characters have their whole common start cut off.
 LONGEST_BITS = 20
+#: First bits of a key by which it is counted.
+MARK_BITS = 48
+#: Most marks (8 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_MARKS = 1 << 21
 #: Kinds of characters that a sketch counts.
 KINDS = ("e", "a", "n", "t", "ro", "is", "0123456789")
 
@@ -195,16 +199,25 @@ def line_classes(
     first = found.groupBy("id").agg(F.min("at").alias("at"))
     different = cut_lineage(_named(every.select("line").distinct()))
     posts = _posts(different, threshold, least)
-    # Lists with one line only are of no use; a list's leader is its smallest posted line. Lines are told apart by
-    # one hash here: the leader's equal in it, if any, is a leader too.
-    one = F.col("id.h")
-    lists = cut_lineage(
-        posts.groupBy("key")
-        .agg(F.min(one).alias("low"), F.max(one).alias("high"), F.min(F.when(F.col("posted"), one)).alias("leader"))
+    # Most keys are one line's own. They are found by counting marks, which are shorter than keys; a mark that two
+    # keys share only lets rows through that the lists below drop.
+    posts = posts.withColumn("mark", F.shiftrightunsigned("key", 64 - MARK_BITS))
+    marks = cut_lineage(
+        posts.groupBy("mark")
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.col("posted").cast("int")).alias("posted"))
+        .filter("n > 1 AND posted = 1")
+        .select("mark")
+    )
+    met = F.broadcast(marks) if marks.count() <= BROADCAST_MARKS else marks
+    open_posts = cut_lineage(posts.join(met, "mark", "left_semi").drop("mark").distinct())
+    # A list's leader is its smallest posted line.
+    lists = (
+        open_posts.groupBy("key")
+        .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.when(F.col("posted"), F.col("id"))).alias("leader"))
         .filter("low <> high AND leader IS NOT NULL")
         .select("key", "leader")
     )
-    open_posts = cut_lineage(posts.join(lists, "key").distinct())
+    open_posts = cut_lineage(open_posts.join(lists, "key"))
     texts = cut_lineage(
         different.join(open_posts.select("id").distinct(), "id", "left_semi")
         .select("id", "line")
@@ -212,7 +225,7 @@ def line_classes(
     )
     open_posts = cut_lineage(open_posts.join(texts.select("id", "sketch"), "id"))
     texts = texts.select("id", "line")
-    leaders = open_posts.filter("posted AND id.h = leader").select(
+    leaders = open_posts.filter("posted AND id = leader").select(
         "key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")
     )
     to_leader = (

@@ -89,8 +89,11 @@ def test_lines_of_awkward_rows(spark):
     assert line_dedup.deduplicated(data.documents(spark, []), threshold=1).count() == 0
 
 
-def test_short_lines_and_rows_without_id(spark):
+@pytest.mark.parametrize("broadcast, bits", [(1 << 21, 48), (0, 3)])
+def test_short_lines_and_rows_without_id(spark, monkeypatch, broadcast, bits):
     """Lines of 11 and 12 characters link; rows without id are a document for each text."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_MARKS", broadcast)
+    monkeypatch.setattr(line_dedup, "MARK_BITS", bits)
     texts = ["elevenchars\nown a b c d e f", "elevenchbrs", "twelve chars", "twelve chbr", "ab\nax", "ab"]
     docs = data.documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
     got = {(r.doc_id, r.place): r.kept for r in line_dedup.line_classes(docs).collect()}
