@@ -1,7 +1,7 @@
 """Exact duplicates by content sort, with DataFrame functions only.
 
 Every row gets a sort key: the first characters of its normalised text, the text's SHA-256 and a
-salt taken from its id. ``repartitionByRange`` samples splitters over that key and deals the
+salt taken from its id, or without one from its place. ``repartitionByRange`` samples splitters over that key and deals the
 texts out by range; each partition sorts externally by key, text and id, so equal texts lie next to
 each other, and neighbours are compared in full. The text itself isn't the range key, because
 Spark's splitter sample then brings whole texts to the driver; the key is at most 200 bytes.
@@ -41,12 +41,14 @@ def exact_dedup(
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
     norm = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+    # Rows without id are dealt by where they stand in the table, so that their copies spread as well.
+    place = F.monotonically_increasing_id().cast("string")
     keyed = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).select(
         "doc_id",
         "norm",
         F.sha2("norm", 256).alias("text_sha256"),
         F.substring("norm", 1, HEAD).alias("head"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), place)), F.lit(SALTS)).cast("int").alias("salt"),
     )
     run = ["head", "text_sha256", "salt"]
     id_order = F.col("doc_id").asc_nulls_first() if keep == "largest" else F.col("doc_id").desc_nulls_first()
@@ -73,8 +75,12 @@ def exact_dedup(
         "salt",
         pick.over(whole).alias("keep_id"),
         F.sum(F.col("place").cast("long")).over(whole).alias("group_size"),
+        "best",
     )
-    kept = F.col("last") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    # Runs of rows without id may tie; the first salt of the best id keeps its row.
+    best = F.col("best").eqNullSafe(F.col("keep_id"))
+    runs = runs.withColumn("keeps", best & (F.col("salt") == F.min(F.when(best, F.col("salt"))).over(whole))).drop("best")
+    kept = F.col("last") & F.col("keeps")
     return rows.join(runs, ["text_sha256", "salt"]).select(
         "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256"
     )

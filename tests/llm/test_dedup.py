@@ -94,3 +94,16 @@ def test_dense_family_around_the_threshold(spark):
     want = data.near([(i, t) for i, t, *_ in rows], 3, 85)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert 1 < len({c for _, c in want.values()}) < 260
+
+
+def test_copies_without_id_are_spread(spark, monkeypatch):
+    """Copies of one text, none with an id: one group, one row kept, over several salts."""
+    written = []
+    cut = exact_dedup.cut_lineage
+    monkeypatch.setattr(exact_dedup, "cut_lineage", lambda rows: written.append(cut(rows)) or written[-1])
+    docs = spark.createDataFrame([(None, "Same text")] * 300 + [(None, "other"), (4, "OTHER")], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(docs.repartition(4)).collect()
+    same = [r for r in got if r.group_size == 300]
+    assert len(same) == 300 and sum(r.kept for r in same) == 1 and {r.keep_id for r in same} == {None}
+    assert sorted((r.doc_id is None, r.keep_id, r.kept) for r in got if r.group_size == 2) == [(False, 4, True), (True, 4, False)]
+    assert written[0].select("salt").distinct().count() > 20
