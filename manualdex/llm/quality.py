@@ -9,10 +9,12 @@ a plain projection in the scan.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,14 @@ class Rules:
     bias: float
     rules: list[tuple[tuple[Term, ...], float]]
 
+    def to_json(self) -> str:
+        return json.dumps([self.names, self.bias, self.rules])
+
+    @staticmethod
+    def from_json(text: str) -> Rules:
+        names, bias, rules = json.loads(text)
+        return Rules(names, bias, [(tuple((at, cut, above) for at, cut, above in terms), w) for terms, w in rules])
+
     def score(self, statistic: dict[str, Column]) -> Column:
         """The probability as a column over columns of the statistics."""
         odds = F.lit(self.bias)
@@ -203,7 +213,8 @@ def learn(
     """Rules that tell label 1 from 0. ``labels`` has ``id_col`` and ``label``.
 
     At most about ``sample`` labelled ids are used, chosen by a hash of the id; rows without id or label
-    are left out. The sampled labels are small and broadcast; only their statistics reach the driver.
+    are left out. The sampled labels are small and broadcast. The sample's statistics, about 100 bytes a row,
+    meet in one task, which fits the rules there; only the rules reach the driver.
     """
     usable = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_label")).filter(
         "_id IS NOT NULL AND _label IS NOT NULL"
@@ -216,13 +227,18 @@ def learn(
         .join(F.broadcast(chosen), "_id")
         .select("_id", "_label", *[c.alias(k) for k, c in statistics(F.col("_text")).items()])
     )
-    found = rows.toArrow()
     names = list(statistics(F.lit("")))
-    # Rows come in any order: sort them, so that the same rows give the same rules.
-    order = np.lexsort([*[found[k].to_numpy() for k in reversed(names)], found["_id"].to_numpy(zero_copy_only=False)])
-    x = np.stack([found[k].to_numpy() for k in names], axis=1)[order].reshape(len(order), len(names))
-    y = found["_label"].to_numpy().astype(float)[order]
-    return fit(x, y, names)
+
+    def fitted(found: pa.Table) -> pa.Table:
+        # Rows come in any order: sort them, so that the same rows give the same rules.
+        keys = [*[found[k].to_numpy() for k in reversed(names)], found["_id"].to_numpy()]
+        order = np.lexsort(keys)
+        x = np.stack([found[k].to_numpy() for k in names], axis=1)[order]
+        rules = fit(x, found["_label"].to_numpy().astype(float)[order], names)
+        return pa.table({"rules": [rules.to_json()]})
+
+    found = rows.groupBy().applyInArrow(fitted, "rules string").first()
+    return Rules.from_json(found["rules"]) if found else Rules(names, 0.0, [])
 
 
 def score(docs: DataFrame, rules: Rules, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

@@ -122,6 +122,7 @@ def test_compiled_rules_score_as_the_model(spark):
     odds = rules.bias + sum(w * quality._holds(x, t) for t, w in rules.rules)
     assert np.allclose(got, 1 / (1 + np.exp(-odds))) and np.mean((got > 0.5) == y) > 0.97
     assert len(rules.rules) < len(quality.extract_rules(x, y))
+    assert quality.Rules.from_json(rules.to_json()) == rules
 
 
 def test_token_counts_match_the_library(spark):
