@@ -4,13 +4,14 @@ Statistics of a text (lengths, shares of kinds of characters, shares of distinct
 column expressions over the whole text. Shallow boosted trees are grown on the statistics of a bounded
 sample of labelled documents; every path from a root to a node is a rule, a conjunction of comparisons.
 Lasso logistic regression weighs the rules, and those it keeps become one column expression, so scoring is
-a plain projection in the scan.
+a plain projection in the scan, in which each statistic is worked out once a text.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,35 +35,57 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACES = " \t\n\x0b\x0c\r"
 
 
-def _count(text: Column, chars: str) -> Column:
-    """How many characters of the text are among ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+NAMES = [
+    "chars", "words", "word_length", "upper", "digits", "ends", "stress", "bars", "signs", "white",
+    "distinct_words", "distinct_lines", "line_words",
+]
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The statistics of a text, null counting as empty; each is 0 for an empty text."""
-    text = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    plain = F.translate(text, _SPACES[1:], " " * 5)
-    words = F.array_remove(F.split(plain, " "), "")
-    lines = F.array_remove(F.split(text, "\n"), "")
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used and wherever the optimizer
+    moves the result."""
+    return F.transform(F.array(value), use)[0]
+
+
+def statistics(text: Column) -> Column:
+    """The statistics of a text as a struct of ``NAMES``, null counting as empty; each is 0 for an empty text."""
+
+    def of(text: Column) -> Column:
+        parts = F.struct(
+            F.length(text).alias("length"),
+            F.length(F.translate(text, _SPACES, "")).alias("black"),
+            F.array_remove(F.split(F.translate(text, _SPACES[1:], " " * 5), " "), "").alias("words"),
+            F.array_remove(F.split(text, "\n"), "").alias("lines"),
+        )
+        return _once(parts, lambda p: _statistics(text, p["length"], p["black"], p["words"], p["lines"]))
+
+    return _once(F.coalesce(text, F.lit("")), of)
+
+
+def _statistics(text: Column, length: Column, black: Column, words: Column, lines: Column) -> Column:
+    chars = F.greatest(length, F.lit(1)).cast("double")
     n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
     n_lines = F.greatest(F.size(lines), F.lit(1)).cast("double")
-    return {
-        "chars": F.log1p(F.length(text).cast("double")),
-        "words": F.log1p(F.size(words).cast("double")),
-        "word_length": (F.length(text) - _count(text, _SPACES)) / n_words,
-        "upper": _count(text, _LETTERS) / chars,
-        "digits": _count(text, "0123456789") / chars,
-        "ends": _count(text, ".?,;:") / chars,
-        "stress": _count(text, "!") / chars,
-        "bars": _count(text, "|<>{}[]=/\\_~^") / chars,
-        "signs": _count(text, "#$%&*@+") / chars,
-        "white": _count(text, _SPACES) / chars,
-        "distinct_words": F.size(F.array_distinct(words)) / n_words,
-        "distinct_lines": F.size(F.array_distinct(lines)) / n_lines,
-        "line_words": F.log1p(F.size(words) / n_lines),
-    }
+
+    def share(kinds: str) -> Column:
+        return (length - F.length(F.translate(text, kinds, ""))) / chars
+
+    values = [
+        F.log1p(length.cast("double")),
+        F.log1p(F.size(words).cast("double")),
+        black / n_words,
+        share(_LETTERS),
+        share("0123456789"),
+        share(".?,;:"),
+        share("!"),
+        share("|<>{}[]=/\\_~^"),
+        share("#$%&*@+"),
+        (length - black) / chars,
+        F.size(F.array_distinct(words)) / n_words,
+        F.size(F.array_distinct(lines)) / n_lines,
+        F.log1p(F.size(words) / n_lines),
+    ]
+    return F.struct(*[v.alias(k) for k, v in zip(NAMES, values, strict=True)])
 
 
 #: One comparison: the statistic's place, the cut, and whether its value is above the cut.
@@ -225,9 +248,10 @@ def learn(
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .join(F.broadcast(chosen), "_id")
-        .select("_id", "_label", *[c.alias(k) for k, c in statistics(F.col("_text")).items()])
+        .select("_id", "_label", statistics(F.col("_text")).alias("_stat"))
+        .select("_id", "_label", "_stat.*")
     )
-    names = list(statistics(F.lit("")))
+    names = NAMES
 
     def fitted(found: pa.Table) -> pa.Table:
         # Rows come in any order: sort them, so that the same rows give the same rules.
@@ -249,8 +273,5 @@ def score(docs: DataFrame, rules: Rules, threshold: float = 0.3, text_col: str =
     through. An empty table gives no rows.
     """
     kept = [F.col(c) for c in docs.columns if c not in ("score", "predicted")]
-    stats = {f"_stat_{k}": v for k, v in statistics(F.col(text_col)).items()}
-    scored = docs.select(*kept, *[v.alias(k) for k, v in stats.items()]).withColumn(
-        "score", rules.score({k: F.col(f"_stat_{k}") for k in rules.names})
-    )
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*stats)
+    chance = _once(statistics(F.col(text_col)), lambda s: rules.score({k: s[k] for k in rules.names}))
+    return docs.select(*kept, chance.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
