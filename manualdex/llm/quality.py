@@ -250,7 +250,10 @@ def score(docs: DataFrame, rules: Rules, threshold: float = 0.3, text_col: str =
     """
     kept = [F.col(c) for c in docs.columns if c not in ("score", "predicted")]
     stats = {f"_stat_{k}": v for k, v in statistics(F.col(text_col)).items()}
-    scored = docs.select(*kept, *[v.alias(k) for k, v in stats.items()]).withColumn(
+    # Plain columns would be put back into every rule that reads them, in a filter on the prediction too, and
+    # make a plan of many times the size; what a generator gives is worked out once and only referred to.
+    worked_out = docs.select(*kept, *[v.alias(k) for k, v in stats.items()])
+    scored = worked_out.select(*kept, F.stack(F.lit(1), *stats).alias(*stats)).withColumn(
         "score", rules.score({k: F.col(f"_stat_{k}") for k in rules.names})
     )
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*stats)

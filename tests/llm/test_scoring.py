@@ -148,3 +148,17 @@ def test_blocks_of_a_long_text_count_as_one(monkeypatch):
     whole = counting.counts(data.LONG)
     monkeypatch.setattr(token_counts, "BLOCK", 1000)
     assert counting.counts(data.LONG) == whole
+
+
+def test_a_filter_on_the_prediction_does_not_repeat_the_statistics(spark):
+    terms = [((i % 3, i / 40, i % 2 == 0), ((i + 1) % 3, i / 50, True)) for i in range(40)]
+    rules = quality.Rules(list(quality.statistics(F.lit(""))), 0.1, [(t, 0.01 * i) for i, t in enumerate(terms)])
+    kept = quality.score(data.documents(spark).select("doc_id", "text"), rules).filter("predicted = 1")
+    plan = kept._jdf.queryExecution().optimizedPlan()
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        text = plan.toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert text.count("0123456789") == 1
+    assert kept.count() == sum(r.predicted for r in quality.score(data.documents(spark), rules).collect())
