@@ -7,7 +7,9 @@ The union of what is frequent in any shard contains every globally frequent phra
 all of it exactly, by the phrases themselves. A shard isn't a task: its counts are summed by shuffling
 64-bit keys, so it may be of any size.
 
-A scan tests candidates against a bit table of fixed size (16 MB, whatever the input). A bit that is set wrongly costs a row and changes nothing, as wrong candidates fail the exact support.
+While candidates are mined, a phrase is named by ``KEY_BITS`` bits of its hash, in one number with the shard; phrases
+that share them are mined together, which can only raise their count. A scan tests candidates against a bit table of fixed
+size (16 MB, whatever the input), at two places. A bit that is set wrongly costs a row and changes nothing, as wrong candidates fail the exact support.
 Every task sums its own counts before it emits, so the most frequent word is one row a task.
 """
 
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from manualdex.llm.bit_table import bit_table, is_set
+from manualdex.llm.bit_table import KEY_BITS, bit_table, is_set
 from manualdex.llm.grams import LOWER, U, buffers, mix
 from manualdex.llm.rolling import Stretches, ragged
 from manualdex.operators.topk import top_k
@@ -42,7 +44,10 @@ _GAP[[32, 9]] = True
 #: Steps of the score by which candidates are counted before the best are sorted.
 _STEPS = 1000
 
-_COUNTED = "shard tinyint, h long, c long"
+#: Bits of a phrase's hash by which it is mined.
+_KEY = U((1 << KEY_BITS) - 1)
+
+_COUNTED = "key long, c long"
 _NAMED = "name string, c long"
 
 
@@ -145,7 +150,7 @@ def _mine(sizes: list[int], table, shards: int) -> Callable:
         def emit(size: int) -> Iterator[pa.RecordBatch]:
             h, c = _summed(gathered[size])
             gathered[size] = []
-            yield from _parts([np.full(len(h), shard, np.int8), h.view(np.int64), c], ["shard", "h", "c"])
+            yield from _parts([(h | U(shard << KEY_BITS)).view(np.int64), c], ["key", "c"])
 
         for batch in batches:
             for data, offsets, langs, names in _slices(batch):
@@ -155,9 +160,9 @@ def _mine(sizes: list[int], table, shards: int) -> Callable:
                     if table is not None and size > 2 and len(at):
                         ok = np.zeros(len(words.starts) + 1, bool)
                         shorter_at, shorter = words.phrases(size - 1, lang_hash)
-                        ok[shorter_at] = is_set(table.value, shorter)
+                        ok[shorter_at] = is_set(table.value, shorter & _KEY, twice=True)
                         h = h[ok[at] & ok[at + 1]]
-                    gathered[size].append(h)
+                    gathered[size].append(h & _KEY)
                     if sum(map(len, gathered[size])) >= GATHERED:
                         yield from emit(size)
         for size in sizes:
@@ -205,7 +210,7 @@ def _count(sizes: list[int], table) -> Callable:
                 )
                 for size in sizes:
                     at, h = words.phrases(size, lang_hash)
-                    hit = is_set(table.value, h)
+                    hit = is_set(table.value, h & _KEY, twice=True)
                     at, h = at[hit], h[hit]
                     h, first, c = np.unique(h, return_index=True, return_counts=True)
                     at = at[first]
@@ -228,9 +233,10 @@ def _frequent(texts: DataFrame, sizes: list[int], table, support: int, shards: i
     """
     counted = texts.mapInArrow(_mine(sizes, table, shards), _COUNTED)
     local = -(-support // shards)
-    frequent = counted.groupBy("shard", "h").agg(F.sum("c").alias("c")).filter(F.col("c") >= local)
+    frequent = counted.groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= local)
     most = F.sum("c") + (F.lit(shards) - F.count(F.lit(1))) * (local - 1)
-    return frequent.groupBy("h").agg(most.alias("most")).filter(F.col("most") >= support).select("h")
+    h = F.col("key").bitwiseAND(F.lit(int(_KEY))).alias("h")
+    return frequent.groupBy(h).agg(most.alias("most")).filter(F.col("most") >= support).select("h")
 
 
 def frequent_phrases(
@@ -250,10 +256,10 @@ def frequent_phrases(
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     key = F.col("h")
-    bits = bit_table(_frequent(texts, [1, 2] if longest > 1 else [1], None, support, shards), key)
+    bits = bit_table(_frequent(texts, [1, 2] if longest > 1 else [1], None, support, shards), key, twice=True)
     for size in range(3, longest + 1):
         known = sc.broadcast(bits)
-        bits = bits | bit_table(_frequent(texts, [size], known, support, shards), key)
+        bits = bits | bit_table(_frequent(texts, [size], known, support, shards), key, twice=True)
         known.destroy()
     known = sc.broadcast(bits)
     counted = texts.mapInArrow(_count(list(range(1, longest + 1)), known), _NAMED)

@@ -2,9 +2,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from manualdex.llm import phrases
+from manualdex.llm import bit_table, phrases
 from tests.llm import data
 
 LANGS = [None, "en", "und", "de"]
@@ -79,3 +82,28 @@ def test_empty_and_invalid(spark):
     assert phrases.collocations(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         phrases.collocations(frame(spark, []), support=2, shards=3)
+
+
+def test_bits_at_two_places_let_fewer_others_through(spark):
+    rng = np.random.default_rng(4)
+    held, others = rng.integers(0, 1 << bit_table.KEY_BITS, (2, 300_000))
+    keys = spark.createDataFrame(pa.table({"h": held}))
+    once = bit_table.bit_table(keys, F.col("h"))
+    twice = bit_table.bit_table(keys, F.col("h"), twice=True)
+    held, others = held.astype(np.uint64), others.astype(np.uint64)
+    assert bit_table.is_set(twice, held, twice=True).all()
+    assert bit_table.is_set(twice, others, twice=True).sum() < bit_table.is_set(once, others).sum() / 20
+
+
+def test_phrases_that_share_a_mined_key_are_counted_apart(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "_KEY", np.uint64(7))
+    rng = random.Random(1)
+    rows = [("en", " ".join(rng.choice("abcdefghij") for _ in range(60))) for _ in range(30)]
+    assert found(phrases.collocations(frame(spark, rows), 10, 3, 50, 300)) == plain(rows, 10, 3, 50, 300)
+
+
+def test_mined_rows_are_one_number_and_a_count(spark):
+    texts = spark.createDataFrame([("en", "a b a b a b")], "lang string, text string")
+    rows = texts.mapInArrow(phrases._mine([1, 2], None, 2), phrases._COUNTED)
+    assert [t for _, t in rows.dtypes] == ["bigint", "bigint"]
+    assert sorted(r.c for r in rows.collect()) == [2, 3, 3, 3] and all(r.key < 2 << 40 for r in rows.collect())
