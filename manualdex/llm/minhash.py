@@ -24,7 +24,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -295,9 +295,9 @@ def _across(posts: DataFrame, shingles: DataFrame, leaders: DataFrame, percent:
     """Links between components that are still apart, confirmed on full sets, one for each class and component.
 
     Classes with one first leader are dealt into blocks of about ``BLOCK`` shingles. A class outside the
-    largest component of a list is sent to the blocks that share a shingle of its prefix, and is compared
-    there with a whole block in one row, so only links become rows, and of links of a class into one
-    component, which all say the same, the first.
+    largest component of a list is sent to the blocks that share a shingle of its prefix. The classes sent to one
+    block are put into lots of as many shingles, and a whole lot is compared with a whole block in one row, so only
+    links become rows, and of links of a class into one component, which all say the same, the first.
     """
     members = posts.select("rep", "n", "comp").distinct()
     common = shingles.join(members, "rep", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
@@ -336,26 +336,50 @@ def _across(posts: DataFrame, shingles: DataFrame, leaders: DataFrame, percent:
     lists = cut_lineage(narrow.join(largest, "shingle"))
     minor = lists.filter("comp <> major").select("shingle", F.col("rep").alias("a"))
     sent = minor.join(lists.select("shingle", "block").distinct(), "shingle").select("a", "block").distinct()
-    blocks = sets.groupBy("block").agg(F.collect_list(F.struct("rep", "n", "comp", "whole")).alias("held"))
-    own = sets.select(F.col("rep").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "comp", "whole")])
-
-    def links(b: Column) -> Column:
-        both = F.size(F.array_intersect("whole_a", b["whole"]))
-        enough = 100 * both >= percent * (F.col("n_a") + b["n"] - both)
-        return (b["comp"] != F.col("comp_a")) & _could("n_a", b["n"], percent) & enough
-
-    passed = F.transform(F.filter("held", links), lambda b: F.struct(b["comp"].alias("comp"), b["rep"].alias("b")))
-    found = sent.join(own, "a").join(blocks, "block").select("a", F.explode(_firsts(passed)).alias("f"))
-    found = found.select("a", "f.*").groupBy("a", "comp").agg(F.min("b").alias("b"))
+    member = F.struct("rep", "n", "comp", "whole")
+    blocks = sets.groupBy("block").agg(F.collect_list(member).alias("held"))
+    lots = sent.join(members.select(F.col("rep").alias("a"), "n"), "a").groupBy("block").agg(
+        F.ceil(F.sum("n") / BLOCK).alias("lots")
+    )
+    dealt = sent.join(lots, "block").select(
+        F.col("a").alias("rep"), F.col("block").alias("to"), F.pmod(F.xxhash64("a", "block"), F.col("lots")).alias("lot")
+    )
+    asked = dealt.join(sets, "rep").groupBy("to", "lot").agg(F.collect_list(member).alias("asked"))
+    # The work of a row is large for its bytes, so rows are dealt over all partitions.
+    parts = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = asked.join(blocks, F.col("to") == F.col("block")).repartition(parts, "to", "lot").select("asked", "held")
+    found = rows.mapInArrow(_linked_sets(percent), "a long, comp long, b long")
+    found = found.groupBy("a", "comp").agg(F.min("b").alias("b"))
     return cut_lineage(found.select("a", "b"))
 
 
-def _firsts(linked: Column) -> Column:
-    """Of (comp, b) in any order the smallest b of each comp."""
-    kind = "array<struct<comp:bigint,b:bigint>>"
+def _linked_sets(percent: int) -> Callable:
+    """For each class asked about the smallest class of every other component that it links with, of those held."""
 
-    def keep(done: Column, x: Column) -> Column:
-        known = (F.size(done) > 0) & (F.element_at(done, -1)["comp"] == x["comp"])
-        return F.when(known, done).otherwise(F.concat(done, F.array(x))).cast(kind)
+    def parts(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
+        rows = rows.values
+        rep, n, comp = (rows.field(c).to_numpy() for c in ("rep", "n", "comp"))
+        whole = rows.field("whole")
+        return rep, n, comp, whole.flatten().to_numpy(), np.concatenate(([0], np.cumsum(whole.value_lengths().to_numpy())))
 
-    return F.aggregate(F.array_sort(linked), F.array().cast(kind), keep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.empty((0, 3), np.int64)]
+            for asked, held in zip(batch.column("asked"), batch.column("held")):
+                rep, n, comp, shingles, at = parts(held)
+                known, number = np.unique(shingles, return_inverse=True)
+                for a, size, own, first, end in zip(*(x := parts(asked))[:3], x[4], x[4][1:]):
+                    own_set = x[3][first:end]
+                    place = np.minimum(np.searchsorted(known, own_set), len(known) - 1)
+                    there = np.zeros(len(known), bool)
+                    there[place[known[place] == own_set]] = True
+                    both = np.add.reduceat(there[number], at[:-1], dtype=np.int64)
+                    linked = (comp != own) & (100 * both >= percent * (size + n - both))
+                    by = np.lexsort((rep[linked], comp[linked]))
+                    other, b = comp[linked][by], rep[linked][by]
+                    new = np.append(True, other[1:] != other[:-1])[: len(other)]
+                    found.append(np.stack([np.full(new.sum(), a), other[new], b[new]], axis=1))
+            rows = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["a", "comp", "b"])
+
+    return run

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from manualdex.llm import exact_dedup, minhash
@@ -107,3 +108,38 @@ def test_copies_without_id_are_spread(spark, monkeypatch):
     assert len(same) == 300 and sum(r.kept for r in same) == 1 and {r.keep_id for r in same} == {None}
     assert sorted((r.doc_id is None, r.keep_id, r.kept) for r in got if r.group_size == 2) == [(False, 4, True), (True, 4, False)]
     assert written[0].select("salt").distinct().count() > 20
+
+
+def test_lots_are_compared_with_blocks_like_single_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 200)
+    rng = random.Random(11)
+    base = rng.sample(range(10**6), 60)
+    sets = {i: sorted({*rng.sample(base, rng.randint(44, 60)), *rng.sample(range(10**6), rng.randint(0, 9))}) for i in range(60)}
+    comp = {i: i % 7 if i < 30 else i for i in sets}
+    posts = spark.createDataFrame([(i, len(s), comp[i]) for i, s in sets.items()], "rep long, n long, comp long")
+    shingles = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "rep long, shingle long")
+    leaders = spark.createDataFrame([(i, 0) for i in sets if i], "a long, b long")
+    got = {tuple(r) for r in minhash._across(posts, shingles, leaders, 85).collect()}
+    near = {(a, b) for a, x in sets.items() for b, y in sets.items() if comp[a] != comp[b] and 100 * len({*x} & {*y}) >= 85 * len({*x, *y})}
+    assert got and got <= near
+    joined = lambda links: {frozenset(c) for c in groups(sets, [*links, *((i, comp[i]) for i in sets)])}
+    assert joined(got) == joined(near)
+    # A lot and a block each hold few sets, whatever the size of the family, and a class meets each block once.
+    met = minhash._linked_sets(85)
+    row = [{"rep": i, "n": len(s), "comp": comp[i], "whole": s} for i, s in sets.items()]
+    batch = pa.RecordBatch.from_pylist([{"asked": row, "held": row}])
+    least = {}
+    for a, b in near:
+        least[a, comp[b]] = min(b, least.get((a, comp[b]), b))
+    assert {tuple(r.values()) for out in met([batch]) for r in out.to_pylist()} == {(a, c, b) for (a, c), b in least.items()}
+
+
+def groups(ids, links):
+    head = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            head[a] = head[b] = min(head[a], head[b])
+    out = {}
+    for i, h in head.items():
+        out.setdefault(h, set()).add(i)
+    return out.values()
