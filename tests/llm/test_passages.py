@@ -90,3 +90,20 @@ def test_empty_and_invalid(spark):
     assert passages.remove_repeats(empty).count() == 0
     with pytest.raises(ValueError):
         passages.remove_repeats(empty, 63)
+
+
+def test_a_block_of_a_key_beyond_the_limit_is_one_row(spark, monkeypatch):
+    monkeypatch.setattr(passages, "LIMIT", 0)
+    rng = random.Random(7)
+    core = "".join(rng.choice("abcdefgh") for _ in range(100))
+    texts = [(core[:50] + rng.choice("xyz") + core[50:] + "".join(rng.choice("abcdefgh") for _ in range(30))).encode() for _ in range(40)]
+    rows = [(1, i, 1, bytearray(t)) for i, t in enumerate(texts)]
+    units = spark.createDataFrame(rows, "key long, content long, n long, text binary")
+    found = passages._hot_found(units, 64, (16, 1)).collect()
+    # A window is a row of its own on the last level, but its block comes back as one row with few spans.
+    cut = units.mapInArrow(passages._blocks(64, 16), passages._BLOCK)
+    assert 0 < len(found) <= cut.count()
+    assert all(x.b < y.a for r in found for x, y in zip(r.spans, r.spans[1:]))
+    seen = Counter(t[i : i + 64] for t in texts for i in range(len(t) - 63))
+    want = {(i, at) for i, t in enumerate(texts) for at in range(len(t) - 63) if seen[t[at : at + 64]] > 1}
+    assert {(r.content, at) for r in found for s in r.spans for at in range(s.a, s.b)} == want
