@@ -31,6 +31,8 @@ LONGEST_BITS = 20
 MARK_BITS = 48
 #: Most marks (8 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_MARKS = 1 << 21
+#: First characters of the longer line after which a pair that has used up its edits is dropped.
+EARLY = 32
 #: Kinds of characters that a sketch counts.
 KINDS = ("e", "a", "n", "t", "ro", "is", "0123456789")
 
@@ -99,9 +101,11 @@ def _apart(a: str, b: str) -> Column:
     return out
 
 
-def within(a: Column, b: Column, threshold: int) -> Column:
+def within(a: Column, b: Column, threshold: int, chars: int | None = None) -> Column:
     """Whether the edit distance of two lines is at most ``threshold``.
 
+    With ``chars``, whether it can be: so many characters of the longer line are passed with some cell still reached.
+
     One pass over the longer line with the band of the distance matrix around its diagonal in one word:
     bit k of a state word for e errors says that the shorter line's prefix that ends k - threshold places
     from the diagonal is reached with at most e errors.
@@ -110,6 +114,8 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     full = (1 << width) - 1
     long_side = F.when(F.length(a) >= F.length(b), a).otherwise(b)
     short_side = F.when(F.length(a) >= F.length(b), b).otherwise(a)
+    if chars:
+        long_side, short_side = F.substring(long_side, 1, chars), F.substring(short_side, 1, chars + threshold)
     # Worked out once a pair, as bound values, and not again for every character.
     sides = F.struct(
         F.split(long_side, "").alias("long"),
@@ -147,6 +153,8 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
     def decide(sides: Column) -> Column:
         last = F.aggregate(sides["long"], first, lambda state, c: step(sides, state, c))
+        if chars:
+            return last[f"s{threshold}"] != 0
         end = threshold - (sides["n"] - sides["size"])
         reached = F.call_function("shiftright", last[f"s{threshold}"], end).bitwiseAND(1) == 1
         return F.when(sides["n"] - sides["size"] <= threshold, F.coalesce(reached, F.lit(False))).otherwise(False)
@@ -197,7 +205,12 @@ def line_classes(
     seen = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "place")
     found = cut_lineage(every.select("id", seen.alias("at")))
     first = found.groupBy("id").agg(F.min("at").alias("at"))
-    different = cut_lineage(_named(every.select("line").distinct()))
+    # Different lines are numbered when they are written, as numbers are half as wide as names.
+    different = cut_lineage(
+        _named(every.select("line").distinct())
+        .withColumnRenamed("id", "name")
+        .withColumn("id", F.monotonically_increasing_id())
+    )
     posts = _posts(different, threshold, least)
     # Most keys are one line's own. They are found by counting marks, which are shorter than keys; a mark that two
     # keys share only lets rows through that the lists below drop.
@@ -264,12 +277,15 @@ def line_classes(
     )
     more = _verified(across, texts, threshold)
     known = components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    member = first.join(known, first["id"] == known["id"], "left").select(
-        first["id"], "at", F.coalesce("component", first["id"]).alias("comp")
+    linked = different.select("id", "name").join(known, "id").select(F.col("name").alias("id"), "component")
+    member = cut_lineage(first.join(linked, "id", "left"))
+    # Lines without a link are their own heads, and only the others are grouped.
+    heads = member.filter("component IS NOT NULL").groupBy("component").agg(F.min("at").alias("head"))
+    heads = (
+        member.join(heads, "component")
+        .select("id", "head")
+        .union(member.filter("component IS NULL").select("id", F.col("at").alias("head")))
     )
-    member = cut_lineage(member)
-    heads = member.groupBy("comp").agg(F.min("at").alias("head"))
-    heads = member.join(heads, "comp").select("id", "head")
     return (
         found.select("id", "at")
         .join(heads, "id")
@@ -320,7 +336,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
         )
         # Written, as the filter would else be pushed below and hold the cuts many times over.
         both = cut_lineage(cut)
-    return cut_lineage(both.filter(within(F.col("line_a"), F.col("line_b"), threshold)).select("a", "b"))
+    # Most pairs differ from the start of what is left of them.
+    a, b = F.col("line_a"), F.col("line_b")
+    near = F.when(within(a, b, threshold, EARLY), within(a, b, threshold)).otherwise(False)
+    return cut_lineage(both.filter(near).select("a", "b"))
 
 
 def deduplicated(

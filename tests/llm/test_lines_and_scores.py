@@ -180,3 +180,17 @@ def test_registered_lines_within_two_edits(spark, tmp_path):
     data.documents(spark, [(*r, "en", "a") for r in rows]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.n_dropped for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: 0, 2: 1, 3: 0}
+
+
+@pytest.mark.parametrize("threshold, chars", [(1, 4), (2, 8), (2, 32)])
+def test_pairs_dropped_early_are_no_partners(spark, threshold, chars):
+    rng = random.Random(threshold + chars)
+    pairs = [("", ""), ("", "a"), ("abc", "abcabc"), ("x" * 40, "y" * 40)]
+    for _ in range(150):
+        a = "".join(rng.choice("abcé") for _ in range(rng.randint(1, 70)))
+        b = "".join(rng.choice("abcé") for _ in range(rng.randint(1, 70)))
+        pairs.append((a, rng.choice([edited(rng, a, rng.randint(0, 5)), b])))
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = rows.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), threshold, chars).alias("w")).collect()
+    assert all(r.w for r in got if distance(r.a, r.b) <= threshold)
+    assert sum(not r.w for r in got) > 20
