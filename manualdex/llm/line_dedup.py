@@ -7,11 +7,11 @@ have, at every place that a segment can have moved to, under the same kind of ke
 
 Equal lines are one class first, known by two hashes, so only different lines post and probe, and only narrow rows
 are shuffled from then on. A first pass counts which keys several lines meet under, by their first bits; a second keeps
-the posts and probes of those alone. The texts of the lines left are fetched once. Each gets a sketch, the counts of
-seven kinds of characters in one long: an edit changes two counts by one at most, so lines whose counts differ by more
-than 2 * threshold in sum are no partners, and that is tested inside the join. Each pair that passes is
-verified by an edit distance whose band of 2 * threshold + 1
-cells is one machine word, moved along the lines character by character.
+the posts and probes of those alone. The texts of the lines left are picked out where they lie, so that the texts of all
+lines are shuffled once only. Each gets a sketch, the counts of 64 kinds of characters modulo 4: an edit changes two
+counts by one at most, so lines whose counts differ by more than 2 * threshold in sum are no partners, and that is
+tested inside the join by counting bits. Each pair that passes is verified by an edit distance whose band of
+2 * threshold + 1 cells is one machine word, moved along the lines character by character.
 
 A list of one key is first linked to its leader alone; only lists that still hold several components are
 joined with themselves, and then only rows outside their largest component with those of others.
@@ -29,12 +29,14 @@ from manualdex.session import cut_lineage
 LONGEST_BITS = 20
 #: First bits of a key by which it is counted.
 MARK_BITS = 48
-#: Most marks (8 bytes each) that are broadcast; more are joined by a shuffle.
+#: Most marks or line numbers (8 bytes each) that are broadcast; of more, a table of bits is.
 BROADCAST_MARKS = 1 << 21
+#: Bits of that table, as a power of two; it is broadcast in words of 64.
+TABLE_BITS = 27
 #: First characters of the longer line after which a pair that has used up its edits is dropped.
 EARLY = 32
-#: Kinds of characters that a sketch counts.
-KINDS = ("e", "a", "n", "t", "ro", "is", "0123456789")
+#: Kinds of characters that a sketch counts, by their code points.
+KINDS = 64
 
 
 def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
@@ -84,21 +86,43 @@ def _posts(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
 
 
 def _sketch(line: Column) -> Column:
-    """The counts of the ``KINDS`` of characters, modulo 512, nine bits each."""
-    out = F.lit(0).cast("long")
-    for i, kind in enumerate(KINDS):
-        count = (F.length(line) - F.length(F.translate(line, kind, ""))) % 512
-        out = out + count.cast("long") * F.lit(1 << (9 * i)).cast("long")
-    return out
+    """How often a line has characters of each of the ``KINDS``, modulo 4, a bit of ``x`` and one of ``y`` for each kind.
+
+    The bits are 00, 01, 11, 10 for 0 to 3: one more or less of a kind changes one bit.
+    """
+    none = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+
+    def add(state: Column, c: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.ascii(c) % KINDS).cast("int"))
+        # Where both bits are equal the second changes, else the first.
+        same = F.bitwise_not(state["x"].bitwiseXOR(state["y"])).bitwiseAND(bit)
+        return F.struct(
+            state["x"].bitwiseXOR(same.bitwiseXOR(bit)).alias("x"), state["y"].bitwiseXOR(same).alias("y")
+        )
+
+    return F.aggregate(F.split(line, ""), none, add)
 
 
 def _apart(a: str, b: str) -> Column:
-    """Sum of the differences of the counts of two sketches, around 512."""
-    out = F.lit(0)
-    for i in range(len(KINDS)):
-        x, y = (F.shiftright(c, 9 * i).bitwiseAND(511) for c in (a, b))
-        out = out + F.least(F.abs(x - y), 512 - F.abs(x - y))
-    return out
+    """Sum of the differences of the counts of two sketches, around 4."""
+    return F.bit_count(F.col(f"{a}.x").bitwiseXOR(F.col(f"{b}.x"))) + F.bit_count(F.col(f"{a}.y").bitwiseXOR(F.col(f"{b}.y")))
+
+
+def _among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` is in ``keys`` (that column alone, numbers).
+
+    Few keys are broadcast. Of many, a table of bits of fixed size is, and only the rows that it lets through are
+    joined by a shuffle.
+    """
+    if keys.count() <= BROADCAST_MARKS:
+        return rows.join(F.broadcast(keys), key, "left_semi")
+    place = F.xxhash64(key).bitwiseAND((1 << TABLE_BITS) - 1)
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(63).cast("int")
+    table = keys.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    table = table.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    held = F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(1) == 1
+    through = rows.withColumn("word", word).join(F.broadcast(table), "word").filter(held).drop("word", "bits")
+    return through.join(keys, key, "left_semi")
 
 
 def within(a: Column, b: Column, threshold: int, chars: int | None = None) -> Column:
@@ -221,8 +245,7 @@ def line_classes(
         .filter("n > 1 AND posted = 1")
         .select("mark")
     )
-    met = F.broadcast(marks) if marks.count() <= BROADCAST_MARKS else marks
-    open_posts = cut_lineage(posts.join(met, "mark", "left_semi").drop("mark").distinct())
+    open_posts = cut_lineage(_among(posts, "mark", marks).drop("mark").distinct())
     # A list's leader is its smallest posted line.
     lists = (
         open_posts.groupBy("key")
@@ -231,11 +254,8 @@ def line_classes(
         .select("key", "leader")
     )
     open_posts = cut_lineage(open_posts.join(lists, "key"))
-    texts = cut_lineage(
-        different.join(open_posts.select("id").distinct(), "id", "left_semi")
-        .select("id", "line")
-        .withColumn("sketch", _sketch(F.col("line")))
-    )
+    linked = cut_lineage(open_posts.select("id").distinct())
+    texts = cut_lineage(_among(different.select("id", "line"), "id", linked).withColumn("sketch", _sketch(F.col("line"))))
     open_posts = cut_lineage(open_posts.join(texts.select("id", "sketch"), "id"))
     texts = texts.select("id", "line")
     leaders = open_posts.filter("posted AND id = leader").select(

@@ -194,3 +194,67 @@ def test_pairs_dropped_early_are_no_partners(spark, threshold, chars):
     got = rows.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), threshold, chars).alias("w")).collect()
     assert all(r.w for r in got if distance(r.a, r.b) <= threshold)
     assert sum(not r.w for r in got) > 20
+
+
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_sketches_of_near_lines_differ_by_little(spark, threshold):
+    rng = random.Random(threshold)
+    pairs = []
+    for _ in range(100):
+        a = "".join(rng.choice("abcé xyz日本語9") for _ in range(rng.randint(1, 70)))
+        pairs.append((a, edited(rng, a, rng.randint(0, threshold)), True))
+        pairs.append((a, a + "jklm" if threshold == 1 else a + "jklmo", False))
+    rows = spark.createDataFrame(pairs, "a string, b string, near boolean")
+    rows = rows.select("near", line_dedup._sketch(F.col("a")).alias("sa"), line_dedup._sketch(F.col("b")).alias("sb"))
+    got = rows.select("near", line_dedup._apart("sa", "sb").alias("d")).collect()
+    assert all((r.d <= 2 * threshold) == r.near for r in got)
+
+
+def test_a_family_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Each copy has four letters put in somewhere, so two of them share a segment but are eight edits apart."""
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))
+    lines = set()
+    while len(lines) < 120:
+        at = rng.randrange(len(base))
+        lines.add(base[:at] + "".join(rng.sample("abcdefghijklmnopqrs", 4)) + base[at:])
+    docs = data.documents(spark, [(i, x, "en", "a") for i, x in enumerate(sorted(lines))])
+    counted, real = [], line_dedup._verified
+
+    def verified(pairs, *rest):
+        counted.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verified", verified)
+    got = line_dedup.line_classes(docs).collect()
+    assert len(got) == 120 and sum(counted) < 120 * 119 / 2 / 3
+
+
+@pytest.mark.parametrize("broadcast", [1 << 21, 0])
+def test_rows_among_keys(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_MARKS", broadcast)
+    monkeypatch.setattr(line_dedup, "TABLE_BITS", 9)
+    rows = spark.range(-500, 500).withColumn("line", F.col("id").cast("string"))
+    keys = spark.range(-500, 500, 7).union(spark.createDataFrame([(1 << 62,), (9999,)], "id long"))
+    got = line_dedup._among(rows, "id", keys).collect()
+    assert sorted((r.id, r.line) for r in got) == [(i, str(i)) for i in range(-500, 500, 7)]
+    assert line_dedup._among(rows, "id", keys.limit(0)).count() == 0
+
+
+def test_texts_of_all_lines_are_shuffled_once(spark, monkeypatch):
+    """With every join a shuffle unless told, the texts of linked lines are still picked out without one."""
+    plans, real = [], line_dedup.cut_lineage
+
+    def cut(df):
+        if "sketch" in df.columns and "line" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(line_dedup, "cut_lineage", cut)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert line_dedup.line_classes(data.documents(spark)).count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 1 and "SortMergeJoin" not in plans[0]
