@@ -60,7 +60,8 @@ def places(threshold: int) -> list[tuple[int, int, int]]:
 def _posts(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """``id``, ``n``, ``key``, ``posted`` (or else only probed) of ``lines`` (``id``, ``line``).
 
-    The probes are dealt out as rows first, so that one short expression makes the key of each.
+    The probes are dealt out as rows first, so that one short expression makes the key of each. Lines of one byte a
+    character are cut as bytes, without counting characters; their keys are the same either way.
     """
     probes = F.array(*[
         F.struct(F.lit(longer).alias("longer"), F.lit(i).alias("i"), F.lit(move).alias("move"))
@@ -68,10 +69,14 @@ def _posts(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     ])
     n, parts = F.col("n"), threshold + 1
     start, size = _segment(F.col("partner"), F.col("p.i"), parts)
+
+    def key(cut: Column) -> Column:
+        return F.xxhash64("partner", F.col("p.i"), F.substring(cut, F.col("at"), F.col("size")))
+
     return (
-        lines.select("id", "line", F.length("line").alias("n"))
+        lines.select("id", "line", F.length("line").alias("n"), F.col("line").cast("binary").alias("bytes"))
         .filter(n >= min_chars)
-        .select("id", "line", "n", F.explode(probes).alias("p"))
+        .select("id", "line", "n", "bytes", F.explode(probes).alias("p"))
         .withColumn("partner", n - F.col("p.longer"))
         .filter(F.col("partner") >= min_chars)
         .withColumns({"at": start + F.col("p.move"), "size": size})
@@ -79,7 +84,7 @@ def _posts(lines: DataFrame, threshold: int, min_chars: int) -> DataFrame:
         .select(
             "id",
             "n",
-            F.xxhash64("partner", F.col("p.i"), F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("key"),
+            F.when(F.length("bytes") == n, key(F.col("bytes"))).otherwise(key(F.col("line"))).alias("key"),
             ((F.col("p.longer") == 0) & (F.col("p.move") == 0)).alias("posted"),
         )
     )
