@@ -279,6 +279,15 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _meet(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join by shuffle, never by a broadcast.
+
+    Spark sizes a table by its file and columns: rows that a task makes of a word, and packed files, are many times
+    what it takes them for, so both sides could be sent to the driver.
+    """
+    return left.join(right.hint("merge"), key, how)
+
+
 def neighbours(vocabulary: DataFrame) -> DataFrame:
     """All pairs ``word``, ``near`` of distinct words of ``vocabulary`` (``word``) exactly one edit apart, both ways round."""
     only = vocabulary.select("word")
@@ -287,18 +296,18 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
     states = only.mapInArrow(
         _states, "key long, own int, me long, word string, way int, place int, done boolean"
     )
-    live = cut_lineage(states.join(edges, "key").filter("own <> over").select(*_COLUMNS))
+    live = cut_lineage(_meet(states, edges, "key").filter("own <> over").select(*_COLUMNS))
     finished = live.filter("done").select("me", "reached")
     stride, walked = STRIDE, STRIDE
     while walked <= longest - longest // 2:
         stride, walked = 2 * stride, walked + 2 * stride
         nodes = only.mapInArrow(_nodes, "reached long").distinct()
         moved = live.filter("NOT done").mapInArrow(_further(stride), _STATE)
-        live = cut_lineage(moved.join(nodes, "reached", "left_semi").select(*_COLUMNS))
+        live = cut_lineage(_meet(moved, nodes, "reached", "left_semi").select(*_COLUMNS))
         finished = finished.union(live.filter("done").select("me", "reached"))
     ends = cut_lineage(only.mapInArrow(_ends, "reached long, near string, way int"))
     own = ends.filter("way = 0").select(F.col("reached").alias("me"), F.col("near").alias("word"))
-    pairs = finished.distinct().join(ends.drop("way"), "reached").join(own, "me").select("word", "near")
+    pairs = _meet(_meet(finished.distinct(), ends.drop("way"), "reached"), own, "me").select("word", "near")
     confirmed = pairs.filter(F.levenshtein("word", "near", 1) == 1)
     return confirmed.union(confirmed.select("near", "word")).distinct()
 
@@ -325,13 +334,13 @@ def variants(
     if ratio < 2:
         raise ValueError("a form must be at least twice as frequent, or forms could lead in circles")
     vocabulary = cut_lineage(words(docs, min_length, min_count, every, id_col, text_col))
-    pairs = neighbours(vocabulary).join(vocabulary.select(F.col("word").alias("near"), F.col("n").alias("m")), "near")
+    pairs = _meet(neighbours(vocabulary), vocabulary.select(F.col("word").alias("near"), F.col("n").alias("m")), "near")
     # Of equal counts the smallest word: order by -m, then by the word's bytes, which is code-point order.
     best = pairs.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "near")).alias("best")
     )
     kept = cut_lineage(
-        vocabulary.join(best, "word", "left").select(
+        _meet(vocabulary, best, "word", "left").select(
             "word",
             "n",
             F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -339,7 +348,7 @@ def variants(
             F.when(-F.col("best.m") >= ratio * F.col("n"), -F.col("best.m")).alias("form_n"),
         )
     )
-    return kept.join(_roots(kept), "word", "left").select(
+    return _meet(kept, _roots(kept), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
 
@@ -353,7 +362,7 @@ def _roots(kept: DataFrame) -> DataFrame:
     while True:
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
         steps = cut_lineage(
-            steps.join(ahead, "root", "left").select(
+            _meet(steps, ahead, "root", "left").select(
                 "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
             )
         )

@@ -97,3 +97,19 @@ def test_empty_and_invalid(spark):
     assert spelling.variants(frame(spark, [(1, "lonely"), (2, None)])).count() == 0
     with pytest.raises(ValueError):
         spelling.variants(frame(spark, []), ratio=1)
+
+
+def test_no_table_of_the_words_is_broadcast(spark, monkeypatch):
+    """Spark takes the tables made of the words for small ones; no join may rest on that."""
+    plans, cut = [], spelling.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return cut(df)
+
+    monkeypatch.setattr(spelling, "cut_lineage", seen)
+    rows = [(i, "spelling speling spellings " * (3 if i else 1)) for i in range(3)]
+    out = spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().toString())
+    assert {r["word"]: r["n_near"] for r in out.collect()} == {"spelling": 2, "speling": 1, "spellings": 1}
+    assert sum("Join" in p for p in plans) > 3 and not [p for p in plans if "BroadcastHashJoin" in p]
