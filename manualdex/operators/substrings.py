@@ -2,7 +2,7 @@
 
 An index lies beside a catalog version and has three tables. ``grams`` holds a row per trigram and document, in files
 sorted by both, so a look-up reads the row groups of its trigrams and a trigram of every document is
-spread over many files. ``counts`` has the number of documents of each trigram, at most one row per trigram there is.
+spread over ``LANES`` files. ``counts`` has the number of documents of each trigram, at most one row per trigram there is.
 ``blocks`` holds the catalog rows in hash blocks of the id, as partitions: rows are fetched for
 candidates by partition pruning, other blocks are not opened.
 """
@@ -23,6 +23,8 @@ PIECE = 1 << 16
 BLOCK_ROWS, MAX_BLOCKS = 4096, 10_000
 #: Trigrams of a needle that are intersected: the rarest, and others up to so many times as common.
 MOST_GRAMS, COMMONER = 8, 8
+#: Files that the documents of a trigram are dealt over.
+LANES = 16
 #: Candidates that may be broadcast (8 bytes each); a needle with more is searched by a scan.
 MOST_CANDIDATES = 1 << 20
 
@@ -66,10 +68,13 @@ def write_index(files: DataFrame, root: str, block_rows: int = BLOCK_ROWS, piece
         .select("id", F.explode_outer(trigrams(F.col("piece"))).alias("gram"))
         .filter("gram IS NOT NULL")
     )
+    # Dealt by hash: to find ranges, Spark would work all trigrams out a second time.
     (
-        held.repartitionByRange("gram", "id")
-        .dropDuplicates(["gram", "id"])
+        held.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(LANES)))
+        .repartition("gram", "lane")
+        .dropDuplicates(["gram", "lane", "id"])
         .sortWithinPartitions("gram", "id")
+        .select("gram", "id")
         .write.mode("overwrite")
         .parquet(f"{root}/grams")
     )

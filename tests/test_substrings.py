@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from manualdex.operators import substrings
 from manualdex.plans import explain
@@ -70,3 +71,21 @@ def test_empty_catalog(spark, files, tmp_path):
     none = files.filter("id < 0")
     index = substrings.write_index(none, str(tmp_path / "none"))
     assert explain.substring_total_by_index(none, index, "needle").first().total == 0
+
+
+def test_texts_are_cut_into_trigrams_once(spark, tmp_path):
+    """Of each text the trigrams are worked out once, and the row is read once more for its block."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        seen.add(1)
+        return f"text {i % 7} of {i}"
+
+    made = F.udf(text, "string").asNondeterministic()
+    files = spark.range(0, 200, 1, 4).select(
+        "id", F.lit("a").alias("filename"), F.lit("/a").alias("filepath"), made("id").alias("content")
+    )
+    index = substrings.write_index(files, str(tmp_path))
+    assert seen.value == 400
+    grams = index.read(spark, "grams")
+    assert grams.count() == grams.distinct().count() and grams.filter("gram = 'ext'").count() == 200
